@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelloom.operators.groups import median, quantiles, rank_in_group, weighted_median
 from voxelloom.operators.planes import plane_ransac, signed_distance, smallest_axis, tilt_deg
@@ -84,7 +85,7 @@ def rect_gap(a: str = "", b: str = "o_") -> Column:
     return F.least(*[rect_distance(x, y, b) for x, y in footprint_corners(a)], *[rect_distance(x, y, a) for x, y in footprint_corners(b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rect_iou(cu: pd.Series, cv: pd.Series, l: pd.Series, w: pd.Series, yaw: pd.Series, cu2: pd.Series, cv2: pd.Series, l2: pd.Series, w2: pd.Series, yaw2: pd.Series) -> pd.Series:
     """Plan-view intersection over union of two rotated rectangles, a batch at a time."""
 

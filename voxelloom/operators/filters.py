@@ -37,21 +37,29 @@ def _column(by: list[str]):
     return Window.partitionBy(*by, "u").orderBy("v")
 
 
-def _near(by: list[str], axis: str, reach: int):
-    """Cells within ``reach`` along one axis; RANGE, since a pixel may be missing."""
-    return (_row(by) if axis == "u" else _column(by)).rangeBetween(-reach, reach)
-
-
 def _at(by: list[str], axis: str, step: int, value: str) -> Column:
     """Value of the pixel exactly ``step`` away along an axis, NULL when missing."""
     w = (_row(by) if axis == "u" else _column(by)).rangeBetween(step, step)
     return F.first(value).over(w)
 
 
+def neighbourhood(pixels: DataFrame, by: list[str], reach: int, lows: dict[str, Column], highs: dict[str, Column]) -> DataFrame:
+    """Adds minima and maxima over the (2 reach + 1) square, one axis at a time, combined before the shuffle.
+
+    Values also pass through places where a pixel is missing, so the square is whole at holes.
+    """
+    names = [*lows, *highs]
+    out = pixels.select(*by, "u", "v", *[c.alias(n) for n, c in {**lows, **highs}.items()])
+    for axis, rest in (("u", "v"), ("v", "u")):
+        out = out.withColumn("_o", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).groupBy(*by, rest, (F.col(axis) + F.col("_o")).alias(axis)).agg(
+            *[F.min(n).alias(n) for n in lows], *[F.max(n).alias(n) for n in highs])
+    return pixels.join(out.select(*by, "u", "v", *names), [*by, "u", "v"], "left")
+
+
 def erode_mask(pixels: DataFrame, by: list[str], mask: str, reach: int, out: str | None = None) -> DataFrame:
     """Square erosion of a boolean column; missing pixels do not erode."""
-    step = pixels.withColumn("_e", F.min(F.col(mask).cast("int")).over(_near(by, "u", reach)))
-    return step.withColumn(out or mask, F.min("_e").over(_near(by, "v", reach)) == 1).drop("_e")
+    step = neighbourhood(pixels, by, reach, {"_e": F.col(mask).cast("int")}, {})
+    return step.withColumn(out or mask, F.col("_e") == 1).drop("_e")
 
 
 def with_edge_keep(pixels: DataFrame, by: list[str], rel_thresh: float = 0.02, dilate: int = 1, z: str = "z", **kw) -> DataFrame:
@@ -93,14 +101,12 @@ def with_incidence_keep(pixels: DataFrame, by: list[str], max_deg: float = 70.0)
 def with_flying_keep(pixels: DataFrame, by: list[str], thresh: float, relative: bool = False, dilate: int = 0, z: str = "z") -> DataFrame:
     """Adds ``keep_flying``: 3x3 depth range below the threshold; the steep mask is what grows."""
     v = pixels.withColumn("_z", F.when(valid_depth(F.col(z)), F.col(z)))
-    rows = v.withColumn("_lo", F.min("_z").over(_near(by, "u", 1))).withColumn("_hi", F.max("_z").over(_near(by, "u", 1)))
-    both = rows.withColumn("_lo", F.min("_lo").over(_near(by, "v", 1))).withColumn("_hi", F.max("_hi").over(_near(by, "v", 1)))
+    both = neighbourhood(v, by, 1, {"_lo": F.col("_z")}, {"_hi": F.col("_z")})
     span = F.col("_hi") - F.col("_lo")
     steep = (span / F.col("_z") if relative else span) >= thresh
     marked = both.withColumn("_steep", F.coalesce(steep, F.lit(False)).cast("int"))
     if dilate:
-        marked = marked.withColumn("_steep", F.max("_steep").over(_near(by, "u", dilate)))
-        marked = marked.withColumn("_steep", F.max("_steep").over(_near(by, "v", dilate)))
+        marked = neighbourhood(marked, by, dilate, {}, {"_grown": F.col("_steep")}).withColumn("_steep", F.col("_grown")).drop("_grown")
     return marked.withColumn("keep_flying", (F.col("_steep") == 0) & F.col("_z").isNotNull()).drop("_z", "_lo", "_hi", "_steep")
 
 

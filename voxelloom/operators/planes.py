@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelloom.functions.geometry import Vec, clamp, cross, dot, minus, norm, vec
 from voxelloom.operators.groups import any_hot, median, quantiles
@@ -16,7 +17,10 @@ from voxelloom.operators.robust import _group_median
 from voxelloom.session import materialise
 
 
-@F.pandas_udf("nx double, ny double, nz double, e0 double, e1 double, e2 double, ax double, ay double, az double")
+AXIS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz", "e0", "e1", "e2", "ax", "ay", "az")])
+
+
+@F.pandas_udf(AXIS)
 def smallest_axis(cov: pd.Series) -> pd.DataFrame:
     """Eigenvalues ascending, the axis of the smallest (nz >= 0) and of the largest, of 3x3 covariances."""
     m = np.stack([np.asarray(c, float).reshape(3, 3) for c in cov]) if len(cov) else np.zeros((0, 3, 3))

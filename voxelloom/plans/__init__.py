@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("clouds",)
+PARTS = ("clouds", "views", "records")
 
 
 def load_catalog():

@@ -43,7 +43,7 @@ CLOUD = """cloud AS (SELECT l_linestatus AS run_id, l_returnflag AS camera, l_qu
 POINTS3 = """pts AS (SELECT vec_id AS pid, label AS camera, CAST(embedding[1] AS DOUBLE) AS x,
   CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
 CAMS = """cams AS (SELECT DISTINCT label AS camera, 500.0 + 10 * label AS fx, 505.0 + 10 * label AS fy, 320.0 + label AS cx, 240.0 - label AS cy,
-  640 AS width, 480 AS height, cos(0.1 * label) AS co, sin(0.1 * label) AS si, 0.02 * label AS t0, -0.01 * label AS t1, 0.5 + 0.03 * label AS t2,
+  640 AS width, 480 AS height, cos(0.1 * label) AS co, sin(0.1 * label) AS si, CAST(0.02 AS DOUBLE) * label AS t0, CAST(-0.01 AS DOUBLE) * label AS t1, CAST(0.5 AS DOUBLE) + CAST(0.03 AS DOUBLE) * label AS t2,
   -0.1 + 0.01 * label AS k1, 0.02 AS k2, 0.001 AS p1, -0.002 AS p2, 0.003 AS k3 FROM embeddings)"""
 PLACEMENTS = """placements AS (SELECT o_orderpriority AS camera, n_name AS capture, o_orderstatus AS label,
   c_acctbal / 10000 AS h_true, o_totalprice / 100000 AS h_meas, o_orderkey FROM orders
