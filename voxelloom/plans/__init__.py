@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("clouds", "views", "records")
+PARTS = ("grading", "clouds", "views", "records", "live")
 
 
 def load_catalog():

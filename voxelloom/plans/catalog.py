@@ -104,7 +104,7 @@ class Tables:
 
     def frames(self) -> DataFrame:
         return self.table("events").select(
-            (F.col("user_id") % 10).alias("rig"), F.col("event_type").alias("camera"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("metric"), "user_id")
+            (F.col("user_id") % 10).alias("rig"), F.col("event_type").alias("camera"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("metric"), "user_id")
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:

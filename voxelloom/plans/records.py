@@ -289,7 +289,7 @@ def best_triples(t):
     return rounded(boxes.best_triples(boxes.track_triples(triple_log(t), ["rig"], 1800.0, 0.02), ["rig"]), 6, "score")
 
 
-ON_BOX = f"""{BOXES}, {CLOUD}, pt AS (SELECT 'Brand#' || (1 + l_partkey % 25) AS capture, (l_partkey % 1000) * 0.009 AS u, (l_orderkey % 2000) * 0.009 AS v, h / 400 AS h FROM cloud)"""
+ON_BOX = f"""{BOXES}, {CLOUD}, pt AS (SELECT 'Brand#' || (1 + l_partkey % 25) AS capture, (l_partkey % 1000) * CAST(0.009 AS DOUBLE) AS u, (l_orderkey % 2000) * CAST(0.009 AS DOUBLE) AS v, h / 400 AS h FROM cloud)"""
 
 
 def belt_points(t: Tables):
@@ -340,9 +340,9 @@ def dominant_camera(t):
 
 
 @query("pca_extent", f"""WITH {ON_BOX}, m AS (SELECT capture, avg(u) AS mx, avg(v) AS my, 0.5 * atan2(2 * covar_pop(u, v), var_pop(u) - var_pop(v)) AS yaw FROM pt GROUP BY capture), r AS (SELECT capture, (u - mx) * cos(yaw) + (v - my) * sin(yaw) AS a, (v - my) * cos(yaw) - (u - mx) * sin(yaw) AS b FROM pt JOIN m USING (capture)),
-  q AS (SELECT capture, count(*) AS n, quantile_cont(a, 0.99) - quantile_cont(a, 0.01) AS la, quantile_cont(b, 0.99) - quantile_cont(b, 0.01) AS lb FROM r GROUP BY capture) SELECT capture, n, round(mx, 6) AS mx, round(my, 6) AS my, round(yaw, 5) AS yaw, round(greatest(la, lb), 5) AS length, round(least(la, lb), 5) AS width FROM q JOIN m USING (capture)""")
+  q AS (SELECT capture, count(*) AS n, quantile_cont(a, 0.99) - quantile_cont(a, 0.01) AS la, quantile_cont(b, 0.99) - quantile_cont(b, 0.01) AS lb FROM r GROUP BY capture) SELECT capture, n, round(mx, 9) AS mx, round(my, 9) AS my, round(yaw, 5) AS yaw, round(greatest(la, lb), 5) AS length, round(least(la, lb), 5) AS width FROM q JOIN m USING (capture)""")
 def pca_extent(t):
-    return rounded(rounded(boxes.pca_extent(belt_points(t), ["capture"]), 6, "mx", "my"), 5, "yaw", "length", "width")
+    return rounded(rounded(boxes.pca_extent(belt_points(t), ["capture"]), 9, "mx", "my"), 5, "yaw", "length", "width")
 
 
 @query("min_area_rect")
@@ -598,7 +598,7 @@ def bench_pivot(t):
     return rounded(runs.bench_pivot(s, "subset", "res", ["F", "O", "P"]), 6, "F", "O", "P")
 
 
-@query("run_ordering", "SELECT o_orderpriority AS subset, count(*) AS runs, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS position FROM orders GROUP BY ALL")
+@query("run_ordering", "SELECT subset, runs, row_number() OVER (ORDER BY runs DESC, subset) - 1 AS position FROM (SELECT o_orderpriority AS subset, count(*) AS runs FROM orders GROUP BY ALL)")
 def run_ordering(t):
     g = t.table("orders").groupBy(F.col("o_orderpriority").alias("subset")).agg(F.count(F.lit(1)).alias("runs"))
     return groups.rank_in_group(g, [], [("runs", "desc"), ("subset", "asc")], "position")
