@@ -154,16 +154,23 @@ def unsupported_census(supported: DataFrame, by: list[str], h: str, bin_size: fl
 def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str], jumps: int = 2, max_rounds: int = 60) -> DataFrame:
     """Labels ``nodes(by..., id)`` by the smallest id reachable over ``edges(by..., a, b)``.
 
-    Each round points every vertex at its smallest neighbour, shortens those pointers, and keeps only
-    edges between different vertices; the edge list shrinks until it is empty.
+    Each round orders the vertices by a fresh hash, points each at its first neighbour, shortens those
+    pointers, and keeps only edges between different vertices. Hashed order keeps pointer chains short
+    on long thin shapes too, so the edge list shrinks by a factor per round until it is empty.
     """
     both = edges.select(*by, "a", "b").union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
     both = materialise(both, "cc-edges")
-    label = materialise(nodes.select(*by, "id").distinct().withColumn("label", F.col("id")), "cc-labels")
-    for _ in range(max_rounds):
+    label = materialise(nodes.select(*by, "id").distinct().withColumn("root", F.col("id")), "cc-labels")
+    for turn in range(max_rounds):
         if both.isEmpty():
-            return label
-        parent = materialise(both.groupBy(*by, "a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "cc-parent")
+            least = label.groupBy(*by, "root").agg(F.min("id").alias("label"))
+            return label.join(least, [*by, "root"]).select(*by, "id", "label")
+
+        def order(c: str) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))
+
+        first = both.groupBy(*by, "a").agg(F.min(order("b")).alias("_m"))
+        parent = materialise(first.select(*by, "a", F.least(order("a"), F.col("_m"))["id"].alias("p")), "cc-parent")
         for _ in range(jumps):
             up = parent.select(*by, F.col("a").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, [*by, "p"]).select(*by, "a", F.col("pp").alias("p"))
@@ -171,8 +178,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str], jump
         pa = parent.withColumnRenamed("p", "pa")
         pb = parent.select(*by, F.col("a").alias("b"), F.col("p").alias("pb"))
         both = materialise(both.join(pa, [*by, "a"]).join(pb, [*by, "b"]).select(*by, F.col("pa").alias("a"), F.col("pb").alias("b")).filter("a != b").distinct(), "cc-edges")
-        move = parent.select(*by, F.col("a").alias("label"), "p")
-        label = materialise(label.join(move, [*by, "label"], "left").select(*by, "id", F.coalesce("p", "label").alias("label")), "cc-labels")
+        move = parent.select(*by, F.col("a").alias("root"), "p")
+        label = materialise(label.join(move, [*by, "root"], "left").select(*by, "id", F.coalesce("p", "root").alias("root")), "cc-labels")
     raise RuntimeError("components did not settle")
 
 
