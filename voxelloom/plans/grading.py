@@ -88,3 +88,37 @@ def layer_table(t):
     near = c.join(merged.select("camera", F.col("rank").alias("layer"), "z"), "camera").filter("abs(h - z) < 3")
     area = near.groupBy("camera", "layer").agg((F.count_distinct(F.floor(F.col("u") / 2), F.floor("v")) * 2.0).alias("area"))
     return rounded(merged.withColumnRenamed("rank", "layer").join(area, ["camera", "layer"]), 6, "z", "n")
+
+
+@query("parcel_table")
+def parcel_table(t):
+    from voxelloom.operators.parcels import parcel_table as table
+
+    c = t.cloud()
+    ref = rasters.height_raster(c.filter("camera = 'N'"), ["run_id"], CELL, HU, HV, M)
+    fused = rasters.height_raster(c.filter("camera <> 'N'"), ["run_id"], CELL, HU, HV, M)
+    p = table(ref, materialise(fused, "fused"), ["run_id"], CELL, 45.0)
+    return rounded(p.select("run_id", "parcel", "cells", "fused_cells", "core_height", "fused_height", "height_difference", "mean_difference"), 6, "core_height", "fused_height", "height_difference", "mean_difference")
+
+
+@query("belt_footprint")
+def belt_footprint(t):
+    from voxelloom.operators.parcels import belt_footprint as belt
+
+    return rounded(belt(t.cloud().filter("abs(h - 40) < 10"), ["run_id"], 1.0, 1, 3.0), 6, "cu", "cv", "length", "width", "yaw", "coverage")
+
+
+@query("per_view_faces")
+def per_view_faces(t):
+    from voxelloom.operators.parcels import per_view_faces as faces
+
+    p = t.cloud().select("run_id", "camera", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("pid"), (F.col("u") / 25).alias("x"), (F.col("v") / 5).alias("y"), (F.col("h") / 100).alias("z"))
+    centres = t.cloud().select("camera").distinct().select("camera", F.lit(2.0).alias("kx"), F.lit(0.5).alias("ky"), F.lit(3.0).alias("kz"))
+    f, _ = faces(p, centres, ["run_id"], 20, 0.04, 0.05, tol=0.02, band=0.05, trials=16)
+    return rounded(f.select("run_id", "camera", "inliers", "offset", "incidence", "comb", "weight"), 6, "offset", "incidence", "comb", "weight")
+
+
+@query("identify_deck")
+def identify_deck(t):
+    p = planes.peel_planes(t.points3(), ["camera"], 2, 0.08, 0.05, trials=16, refits=1)[0]
+    return rounded(planes.identify_deck(p, ["camera"], (0.0, 0.5)), 6, "nx", "ny", "nz", "d", "fraction")

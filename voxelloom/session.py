@@ -42,8 +42,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Write ``df`` once and read it back: later passes start from files that outlive executors."""
+    """Write ``df`` once and read it back: later passes start from files that outlive executors.
+
+    A task closes a file every ``voxelloom.rowsPerFile`` rows, so a source that came as one split is
+    read back by many tasks without a shuffle.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", spark.conf.get("voxelloom.rowsPerFile", "4000000")).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
