@@ -48,7 +48,7 @@ CAMS = """cams AS (SELECT DISTINCT label AS camera, 500.0 + 10 * label AS fx, 50
 PLACEMENTS = """placements AS (SELECT o_orderpriority AS camera, n_name AS capture, o_orderstatus AS label,
   c_acctbal / 10000 AS h_true, o_totalprice / 100000 AS h_meas, o_orderkey FROM orders
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
-BOXES = """boxes AS (SELECT p_brand AS capture, p_partkey AS id, (p_partkey % 20) * 0.45 AS cu, CAST((p_partkey // 20) % 40 AS DOUBLE) * 0.45 AS cv,
+BOXES = """boxes AS (SELECT p_brand AS capture, p_partkey AS id, (p_partkey % 20) * 0.45 + (p_partkey % 7) * 0.0013 AS cu, CAST((p_partkey // 20) % 40 AS DOUBLE) * 0.45 AS cv,
   0.2 + p_size / 100 AS length, 0.15 + (p_size % 7) / 50 AS width, p_retailprice / 10000 + (p_partkey % 5) / 25 AS top, p_size * 10 AS n_points,
   0.4 + (p_partkey % 13) / 20 AS coverage, 0.5 + (p_partkey % 9) / 20 AS inlier_fraction, p_type FROM part)"""
 FRAMES = """frames AS (SELECT user_id % 10 AS rig, event_type AS camera, ts, event_id AS seq, value AS metric, user_id FROM events)"""
@@ -97,7 +97,7 @@ class Tables:
     def boxes(self) -> DataFrame:
         k = F.col("p_partkey")
         return self.table("part").select(
-            F.col("p_brand").alias("capture"), k.alias("id"), ((k % 20) * 0.45).alias("cu"), (F.floor(k / 20) % 40 * 0.45).alias("cv"),
+            F.col("p_brand").alias("capture"), k.alias("id"), ((k % 20) * 0.45 + k % 7 * 0.0013).alias("cu"), (F.floor(k / 20) % 40 * 0.45).alias("cv"),
             (0.2 + F.col("p_size") / 100).alias("length"), (0.15 + F.col("p_size") % 7 / 50).alias("width"),
             (F.col("p_retailprice") / 10000 + k % 5 / 25).alias("top"), (F.col("p_size") * 10).alias("n_points"),
             (0.4 + k % 13 / 20).alias("coverage"), (0.5 + k % 9 / 20).alias("inlier_fraction"), F.col("p_size"), F.col("p_type"))
