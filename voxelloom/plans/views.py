@@ -489,12 +489,12 @@ BIL = f"""{PIX}, k AS (SELECT l_returnflag AS camera, l_orderkey * 100 + l_linen
   s AS (SELECT c.camera, kp_id, count(z) AS k, sum(w * z) AS z FROM c LEFT JOIN pix ON pix.camera = c.camera AND pix.u = pu AND pix.v = pv GROUP BY ALL)"""
 
 
-@query("sample_depth_bilinear", f"WITH {BIL} SELECT camera, kp_id, CASE WHEN k = 4 THEN round(z, 6) END AS depth FROM s")
+@query("sample_depth_bilinear", f"WITH {BIL} SELECT camera, kp_id, CASE WHEN k = 4 THEN round(z, 9) END AS depth FROM s")
 def sample_depth_bilinear(t):
     k = t.table("lineitem").groupBy(F.col("l_returnflag").alias("camera"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("kp_id")).agg(
         F.max(F.col("l_quantity") + F.col("l_tax") * 7).alias("u"), F.max(F.col("l_discount") * 100 + F.col("l_tax") * 3).alias("v"))
     d = joins.sample_depth(k, pixels(t), ["camera"], 51, 11, "bilinear")
-    return rounded(d.select("camera", "kp_id", "depth"), 6, "depth")
+    return rounded(d.select("camera", "kp_id", "depth"), 9, "depth")
 
 
 @query("render_reference", f"""WITH {CLOUD}, k AS (SELECT camera, CAST(floor(u) AS BIGINT) AS u, CAST(floor(v) AS BIGINT) AS v, h AS z FROM cloud WHERE h > 70), {", ".join(
