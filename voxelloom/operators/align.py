@@ -132,11 +132,12 @@ def gauge_from_deck(points: DataFrame, by: list[str], along_normal: str, target:
     return s.drop("_t")
 
 
-def gauge_multi_camera(points: DataFrame, by: list[str], lo: float = 0.5, hi: float = 4.0, iters: int = 30, **kw) -> DataFrame:
-    """Scale about each point's own camera at which the median height is zero, by bisection.
+def gauge_multi_camera(points: DataFrame, by: list[str], lo: float = 0.5, hi: float = 4.0, iters: int = 30, tol: float = 1e-9, **kw) -> DataFrame:
+    """Scale about each point's own camera at which the median height is zero. NULL without a sign change.
 
-    Height is affine in the scale: ``h0 + s * h1`` with ``h0`` the camera's height and ``h1`` the
-    point's height over its camera. All groups halve together; one median per step. NULL without a sign change.
+    Height is affine in the scale: ``h0 + s * h1`` with ``h0`` the camera's height and ``h1`` the point's
+    height over its camera. The bracket of every group closes in the same pass, one median per pass, by
+    false position; an end kept twice weighs half, so both ends move and few passes are needed.
     """
     rows = materialise(points.select(*by, F.col("h0").cast("double").alias("_a"), F.col("h1").cast("double").alias("_b")), "gauge")
 
@@ -144,14 +145,24 @@ def gauge_multi_camera(points: DataFrame, by: list[str], lo: float = 0.5, hi: fl
         return median(rows.join(at, by).withColumn("_h", F.col("_a") + F.col("_s") * F.col("_b")), by, "_h", name, **kw).drop("n")
 
     groups = rows.select(*by).distinct()
-    ends = med(groups.withColumn("_s", F.lit(lo)), "_fa").join(med(groups.withColumn("_s", F.lit(hi)), "_fb"), by)
-    state = materialise(ends.filter(F.col("_fa") * F.col("_fb") <= 0).select(*by, "_fa", F.lit(lo).alias("_l"), F.lit(hi).alias("_r")), "gauge-state")
+    ends = med(groups.withColumn("_s", F.lit(lo)), "_fl").join(med(groups.withColumn("_s", F.lit(hi)), "_fr"), by)
+    state = materialise(ends.filter(F.col("_fl") * F.col("_fr") <= 0).select(
+        *by, F.lit(lo).alias("_l"), "_fl", F.lit(hi).alias("_r"), "_fr", F.lit(0).alias("_kept"), F.lit(lo).alias("scale"), F.lit(float("inf")).alias("_res")), "gauge-state")
     for _ in range(iters):
-        mid = state.withColumn("_s", (F.col("_l") + F.col("_r")) / 2)
+        cut = (F.col("_l") * F.col("_fr") - F.col("_r") * F.col("_fl")) / (F.col("_fr") - F.col("_fl"))
+        mid = state.withColumn("_s", F.when(F.col("_fr") == F.col("_fl"), F.col("_l")).otherwise(cut))
         f = mid.join(med(mid.select(*by, "_s"), "_fm"), by)
-        left = F.col("_fa") * F.col("_fm") <= 0
-        state = materialise(f.select(*by, F.when(left, F.col("_fa")).otherwise(F.col("_fm")).alias("_fa"), F.when(left, F.col("_l")).otherwise(F.col("_s")).alias("_l"), F.when(left, F.col("_s")).otherwise(F.col("_r")).alias("_r")), "gauge-state")
-    return groups.join(state.select(*by, ((F.col("_l") + F.col("_r")) / 2).alias("scale")), by, "left")
+        left = F.col("_fl") * F.col("_fm") <= 0  # the root is in the left part: the right end moves
+        state = materialise(f.select(
+            *by,
+            F.when(left, F.col("_l")).otherwise(F.col("_s")).alias("_l"),
+            F.when(left, F.col("_fl") * F.when(F.col("_kept") == -1, 0.5).otherwise(1.0)).otherwise(F.col("_fm")).alias("_fl"),
+            F.when(left, F.col("_s")).otherwise(F.col("_r")).alias("_r"),
+            F.when(left, F.col("_fm")).otherwise(F.col("_fr") * F.when(F.col("_kept") == 1, 0.5).otherwise(1.0)).alias("_fr"),
+            F.when(left, -1).otherwise(1).alias("_kept"), F.col("_s").alias("scale"), F.abs("_fm").alias("_res")), "gauge-state")
+        if state.filter(F.col("_res") > tol).isEmpty():
+            break
+    return groups.join(state.select(*by, "scale"), by, "left")
 
 
 def gauge_diagnose(centres: DataFrame, by: list[str]) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from voxelloom.plans.catalog import CAMS, FRAMES, Tables, query, rounded
 from voxelloom.streaming import stateful, windows
 
-EVENTS = ["click", "error", "login", "purchase", "view"]
-
 
 def frame_stream(t: Tables):
     return windows.read_table_stream(t.spark, t.folder, "events").select(

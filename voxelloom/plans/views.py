@@ -583,7 +583,7 @@ def gauge_from_deck(t):
 @query("gauge_multi_camera", f"WITH {CLOUD} SELECT camera, round(60 / median(h), 5) AS scale FROM cloud GROUP BY camera")
 def gauge_multi_camera(t):
     p = t.cloud().select("camera", F.lit(60.0).alias("h0"), (-F.col("h")).alias("h1"))
-    return rounded(align.gauge_multi_camera(p, ["camera"], 0.5, 4.0, 26), 5, "scale")
+    return rounded(align.gauge_multi_camera(p, ["camera"], 0.5, 4.0), 5, "scale")
 
 
 @query("consensus_scale_vote")
