@@ -618,13 +618,13 @@ def peel_levels(points: DataFrame, by: list[str], max_levels: int, level_gap: fl
 # --- parcels of a reference raster ----------------------------------------------------------------
 
 
-def parcel_components(cells: DataFrame, by: list[str], cell: float, lo: float, hi: float | None = None, core: int = 1, **kw) -> DataFrame:
+def parcel_components(cells: DataFrame, by: list[str], cell: float, lo: float, hi: float | None = None, core: int = 1, labels: DataFrame | None = None, **kw) -> DataFrame:
     """Components of cells above ``lo``: area, core height median (cells left after erosion), PCA dimensions, p97 height."""
     from voxelloom.operators.spatial import component_stats, erode, label_cells
 
     tall = materialise(cells.filter((F.col("h") > lo) & (F.lit(True) if hi is None else F.col("h") < hi)).select(*by, "iu", "iv", "h"), "parcels")
-    labels = materialise(label_cells(tall, by), "parcel-labels")
-    lab = tall.join(labels, [*by, "iu", "iv"]).withColumn("u", (F.col("iu") + 0.5) * cell).withColumn("v", (F.col("iv") + 0.5) * cell)
+    labels = materialise(label_cells(tall, by), "parcel-labels") if labels is None else labels
+    lab = materialise(tall.join(labels, [*by, "iu", "iv"]).withColumn("u", (F.col("iu") + 0.5) * cell).withColumn("v", (F.col("iv") + 0.5) * cell), "parcel-cells")
     keys = [*by, "label"]
     inner = erode(labels, keys, core).withColumn("_core", F.lit(True))
     cored = lab.join(inner, [*keys, "iu", "iv"], "left_semi")

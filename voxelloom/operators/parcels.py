@@ -55,10 +55,11 @@ def per_view_faces(points: DataFrame, centres: DataFrame, by: list[str], min_poi
 def parcel_table(reference: DataFrame, fused: DataFrame, by: list[str], cell: float, lo: float, **kw) -> DataFrame:
     """Parcels of the reference raster beside the same cells of the fused raster: heights, dimensions, differences."""
     ref = materialise(reference, "ref-raster")
-    parcels = materialise(label_parcels(parcel_components(ref, by, cell, lo, **kw), by), "parcels")
     tall = ref.filter(F.col("h") > lo)
-    labels = label_cells(tall.select(*by, "iu", "iv"), by)
+    labels = materialise(label_cells(tall.select(*by, "iu", "iv"), by), "parcel-labels")
+    parcels = materialise(label_parcels(parcel_components(ref, by, cell, lo, labels=labels, **kw), by), "parcels")
     cells = labels.join(fused.select(*by, "iu", "iv", F.col("h").alias("h_fused")), [*by, "iu", "iv"], "left").join(tall.select(*by, "iu", "iv", "h"), [*by, "iu", "iv"])
+    cells = materialise(cells, "parcel-cells")
     from voxelloom.operators.groups import median
 
     seen = cells.groupBy(*by, "label").agg(F.count("h_fused").alias("fused_cells"), F.avg(F.col("h_fused") - F.col("h")).alias("mean_difference"))
