@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from voxelloom.llm.sampling import labelled
 from voxelloom.llm.textbytes import Words, map_texts, pieces, pool_max, struct_array
 
-BUCKETS = 1 << 16
-DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
+BUCKETS = 1 << 19
+DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 STEMS = (4, 5, 6)  # a word counts with its first bytes too, so that unseen inflections are known by their stems
 
 _WORDS = T.StructType([T.StructField("words", T.BinaryType())])
@@ -65,7 +65,7 @@ class ConvNet:
         return np.concatenate(done)
 
 
-def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.03, seed: int = 11) -> ConvNet:
+def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.03, prior: float = 60.0, seed: int = 11) -> ConvNet:
     """Trains on documents given as bucket rows.
 
     The table's first dimension starts from smoothed log-odds of a bucket's presence in toxic documents, which
@@ -82,12 +82,13 @@ def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int =
     for bag, label in zip(bags, y):
         seen[int(label), np.unique(bag)] += 1
     share, total = y.mean(), seen.sum(0)
-    table[:, 0] = np.where(total >= 3, np.log((seen[1] + 5 * share) / (total + 5) / share), 0).clip(-1, None)
+    table[:, 0] = np.log((seen[1] + prior * share) / (total + prior) / share).clip(-1, None)
     kernels[0][0][:, 0] = 0
     kernels[0][0][0, 0] = 1
     net.out[:] = rng.normal(0, 0.1, len(net.out))
     net.out[0], net.bias = 1.0, -4.0
-    sums = [np.full_like(p, 1e-3) for p in (table, *kernels, net.out)]
+    table_sum = np.full_like(table, 1e-3)
+    sums = [np.full_like(p, 1e-3) for p in (*kernels, net.out)]
     bias_sum = 1e-3
     sizes = np.array([len(b) for b in bags])
     for _ in range(epochs):
@@ -106,7 +107,7 @@ def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int =
             row, column = np.nonzero(z == top[doc])
             where = np.zeros(top.shape, np.int64)
             where[doc[row], column] = row  # one place of each maximum
-            d_table, d_kernels = np.zeros_like(table), []
+            touched, flows, d_kernels = [], [], []
             for n, k in enumerate(kernels):
                 own = slice(n * FILTERS, (n + 1) * FILTERS)
                 g, pos, dk = d_top[:, own], where[:, own], np.zeros_like(k)
@@ -115,10 +116,15 @@ def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int =
                     gj = np.where((pos + j < len(doc)) & (doc[to] == np.arange(len(part))[:, None]), g, 0)
                     dk[j] = np.einsum("dfe,df->ef", e[to], gj)
                     flow = gj[:, :, None] * k[j].T[None]
-                    for c in range(x.shape[1]):
-                        np.add.at(d_table, x[to, c].ravel(), flow.reshape(-1, DIM))
+                    touched += [x[to, c].ravel() for c in range(x.shape[1])]
+                    flows += [flow.reshape(-1, DIM)] * x.shape[1]
                 d_kernels.append(dk)
-            for p_, s, d in zip((table, *kernels, net.out), sums, (d_table, *d_kernels, d_out)):
+            rows, at_row = np.unique(np.concatenate(touched), return_inverse=True)
+            d_table = np.zeros((len(rows), DIM), np.float32)
+            np.add.at(d_table, at_row, np.concatenate(flows))
+            table_sum[rows] += d_table**2
+            table[rows] -= rate * d_table / np.sqrt(table_sum[rows])
+            for p_, s, d in zip((*kernels, net.out), sums, (*d_kernels, d_out)):
                 s += d * d
                 p_ -= rate * d / np.sqrt(s)
             bias_sum += d_bias**2
