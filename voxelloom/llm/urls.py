@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: or path, ``^`` the end of a host name, ``||`` the start of a host label.
 DEFAULT_RULES = ("||adult-*^", "||casino-*^", "||porn-*^", "||spam-*^", "||torrent-*^", "||malware-*^", "||phishing-*^", "||tracker-*^")
 
-SMALL = 20_000  # rules up to which the index is broadcast
+SMALL = 20_000  # rules, or tokens of rules, up to which they are broadcast
 
 
 @dataclass(frozen=True)
@@ -89,6 +89,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", keep: list
     if not rules:
         return sites.select("doc", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     wanted = spark.createDataFrame([(t,) for t in used], "token string")
+    wanted = F.broadcast(wanted) if len(used) <= SMALL else wanted
     seen = sites.select(F.explode(_tokens(F.concat("host", "path"))).alias("token")).join(wanted, "token", "left_semi")
     often = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}  # at most the rules' tokens
     index = rule_index(spark, rules, often)
