@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Se
     linked, and ``cluster_id`` is the smallest doc_id of a component of links. ``kept`` marks the row with that id
     (the smaller text_hash if several rows have it). text_hash is xxhash64 of the text as given.
 
-    Only classes meet. First each class meets one leader of its band values and components of those links are
+    Only classes meet. First each class meets the leader of each of its band values and components of those links are
     formed; then band values that still hold several components are paired inside: directly up to
     ``settings.direct`` members, beyond that by the sets' rarest shingles, one of which any two sets of that
     similarity share. So a passage or group that fills a band value never makes all its pairs, and no link is cut.
@@ -206,10 +206,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Se
     def banded() -> DataFrame:
         return some.select(F.explode("bands").alias("band"), "key")
 
-    shared = banded().groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
-    members = materialise(banded().join(shared.select("band", "least"), "band").distinct(), "members")
-    led = members.filter(F.col("key") != F.col("least")).filter(_compatible("key", "least", s)).groupBy("key").agg(F.min("least").alias("a"))
-    pairs = materialise(led.select("a", F.col("key").alias("b")), "led")
+    drawn = F.struct(F.xxhash64("band", "key").alias("h"), "key")  # another leader for each band value, whoever shares several of them
+    shared = banded().groupBy("band").agg(F.min(drawn).alias("leader"), F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
+    members = materialise(banded().join(shared.select("band", F.col("leader.key").alias("leader")), "band").distinct(), "members")
+    led = members.filter(F.col("key") != F.col("leader")).filter(_compatible("key", "leader", s))
+    pairs = materialise(led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct(), "led")
 
     needed = members.select("key").distinct().join(classes, "key").select("at", "key")
     wanted = needed.select("at.doc_id", "at.text_hash", F.col("key").alias("want"))
@@ -228,7 +229,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Se
     left = materialise(labelled.join(open_, "band"), "left")
     small = left.filter(F.col("n") <= s.direct).select("band", "key", "label")
     direct = _cross(small, "band", s)
-    rare = _cross(_rare_shingles(left.filter(F.col("n") > s.direct).select("key", "label").distinct(), sets, s), "shingle", s)
+    hot = left.filter(F.col("n") > s.direct).select("key", "label").distinct()
+    rare = _cross(_rare_shingles(hot, sets, s), "shingle", s, F.least("ra", "rb") >= s.similarity / (1 + s.similarity) * (F.col("na") + F.col("nb")) - 1e-9)
     more = materialise(direct.union(rare).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     links = links.union(verified(more, "links"))
 
@@ -248,18 +250,21 @@ def _components(links: DataFrame) -> DataFrame:
     return materialise(connected_components(ends, links, []).select(F.col("id").alias("key"), "label"), "components")
 
 
-def _cross(members: DataFrame, by: str, s: Settings) -> DataFrame:
+def _cross(members: DataFrame, by: str, s: Settings, reach: Column | None = None) -> DataFrame:
     """Pairs (a, b) of one ``by`` value whose components differ and whose sizes allow the similarity."""
-    a = members.select(by, F.col("key").alias("a"), F.col("label").alias("la"))
-    b = members.select(by, F.col("key").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, by).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _compatible("a", "b", s)).select("a", "b").distinct()
+    more = [c for c in members.columns if c not in (by, "key", "label")]
+    a, b = (members.select(by, F.col("key").alias(x), F.col("label").alias("l" + x), *[F.col(c).alias(c + x) for c in more]) for x in "ab")
+    good = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (_compatible("a", "b", s) if reach is None else reach)
+    return a.join(b, by).filter(good).select("a", "b").distinct()
 
 
 def _rare_shingles(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(shingle, key, label) of each set's rarest shingles: two sets of the similarity share one of these.
+    """(shingle, key, label, n, r) of each set's rarest shingles: two sets of the similarity share one of these.
 
     A set of n shares at least ``similarity`` n shingles with any partner, so among its n - ceil(similarity n) + 1
-    rarest, in one order for all sets, is one that the partner has among its own.
+    rarest, in one order for all sets, is one that the partner has among its own. r counts the set's shingles from
+    this one on: if it is the first that two sets share, they share no more than the smaller r, and the similarity
+    asks for ``similarity`` / (1 + ``similarity``) of both sizes together.
     """
     def unpack(batches):
         for batch in batches:
@@ -272,7 +277,7 @@ def _rare_shingles(members: DataFrame, sets: DataFrame, s: Settings) -> DataFram
     ranked = rows.join(often, "shingle").groupBy("key", "label").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # one document's shingles
     size = F.size("s")
     first = F.slice("s", 1, size - F.ceil(s.similarity * size - 1e-9).cast("int") + 1)
-    return ranked.select(F.explode(first).alias("s"), "key", "label").select("s.shingle", "key", "label")
+    return ranked.select(F.posexplode(first).alias("at", "s"), "key", "label", size.alias("n")).filter("s.n > 1").select("s.shingle", "key", "label", "n", (F.col("n") - F.col("at")).alias("r"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
