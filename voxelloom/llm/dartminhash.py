@@ -22,7 +22,7 @@ from voxelloom.operators.spatial import connected_components
 from voxelloom.session import materialise
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
-_SKETCH = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
+_SKETCH = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("members", T.BinaryType())])
 
 
@@ -35,8 +35,7 @@ class Settings:
     rows: int = 6
     bands: int = 36
     weighted: bool = False  # repeated shingles count as often as they occur (in the signature), or once
-    direct: int = 32  # members of a band value that are paired directly; more go by rare shingles
-    apart: float = 0.15  # signatures that agree on less than similarity - apart are not compared further
+    direct: int = 16  # members of a band value that are paired directly; more go by rare shingles
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -114,7 +113,7 @@ def _keys(h: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def _sketch(column: pa.Array, s: Settings) -> pa.StructArray:
-    keys, bands, signatures = [], [], []
+    keys, bands = [], []
     k = s.rows * s.bands
     for i, j, data, off in pieces(column):
         h, times, first = _shingles(Words(data, off), s.words)
@@ -131,8 +130,7 @@ def _sketch(column: pa.Array, s: Settings) -> pa.StructArray:
                 acc = mix64(acc * np.uint64(31) + bits[:, r :: s.rows])
             values = acc.view(np.int64)
             bands += [[] if gone else v for gone, v in zip(none, values.tolist())]
-            signatures += [None if gone else v.tobytes() for gone, v in zip(none, (bits & np.uint64(255)).astype(np.uint8))]
-    return struct_array(_SKETCH, [keys, bands, signatures])
+    return struct_array(_SKETCH, [keys, bands])
 
 
 def _sets(column: pa.Array, s: Settings) -> pa.StructArray:
@@ -145,13 +143,6 @@ def _sets(column: pa.Array, s: Settings) -> pa.StructArray:
     return struct_array(_SET, [keys, members])
 
 
-def _agree(batches, least: float):
-    for batch in batches:
-        a, b = (np.array([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()]) for c in (2, 3))
-        ok = np.flatnonzero((a == b).mean(1) >= least) if len(a) else np.zeros(0, np.int64)
-        yield batch.select(["a", "b"]).take(pa.array(ok))
-
-
 def _alike(batches, least: float):
     for batch in batches:
         keep = []
@@ -199,9 +190,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Se
     source = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"))
     made = map_texts(source, "text", ["doc_id", "text_hash"], partial(_sketch, s=s), _SKETCH).select("doc.*", "out.*")
     sketch = materialise(made, "sketch")
-    some = sketch.filter(F.col("signature").isNotNull())
+    some = sketch.filter(F.size("bands") > 0)
     # one place of each set, to fetch its text from; the smallest id names the class
-    classes = materialise(some.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"), F.min("signature").alias("signature")), "classes")
+    classes = materialise(some.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at")), "classes")
 
     def banded() -> DataFrame:
         return some.select(F.explode("bands").alias("band"), "key")
@@ -218,8 +209,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Se
     sets = materialise(map_texts(texts, "text", ["want"], partial(_sets, s=s), _SET).filter("doc.want = out.key").select("out.*").dropDuplicates(["key"]), "sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        near = _with_both(pairs, classes, "signature").mapInArrow(partial(_agree, least=s.similarity - s.apart), "a binary, b binary")
-        return materialise(_with_both(near, sets, "members").mapInArrow(partial(_alike, least=s.similarity), "a binary, b binary"), tag)
+        return materialise(_with_both(pairs, sets, "members").mapInArrow(partial(_alike, least=s.similarity), "a binary, b binary"), tag)
 
     links = verified(pairs, "links")
     part = _components(links)
