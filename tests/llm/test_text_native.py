@@ -1,0 +1,111 @@
+"""Exact copies, personal data, chats and URLs against plain Python."""
+
+import random
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from voxelloom.llm import chat, exact_dedup, pii, urls
+
+ODD = [None, "", " \t\n", "a b", "ab", "a  b", "a\u00a0b", "x" * 5000, "é \x0b\x0c\r", "ab"]
+
+
+def docs_of(spark, texts, ids=None):
+    rows = [(i if ids is None else ids[k], t) for k, (i, t) in enumerate(enumerate(texts))]
+    return spark.createDataFrame(rows, "doc_id long, text string"), rows
+
+
+@pytest.mark.parametrize("chars,batch", [(64, 64 << 30), (1, 64 << 30), (64, 1)])
+def test_copies(spark, chars, batch):
+    rng = random.Random(1)
+    texts = ODD + [" ".join(rng.choice("abc") for _ in range(rng.randrange(4))) for _ in range(80)]
+    df, rows = docs_of(spark, texts)
+    _, got = exact_dedup.find_copies(df.repartition(5), digest_chars=chars, bytes_per_batch=batch)
+    want = brute.copies(rows)
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"], r["text_sha256"]) for r in got.collect()}
+    assert found == want and all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got.collect())
+
+
+def test_copies_keep_odd_rows_and_columns(spark):
+    df = spark.createDataFrame([(1, "a", 7, "p"), (1, "a", 7, "p"), (None, "a ", 8, "q"), (None, None, 9, None), (2, "b", 1, "r")], "doc_id long, text string, row_id int, digest string")
+    kept = sorted(exact_dedup.drop_copies(df).collect(), key=str)
+    assert kept == sorted(df.filter("(doc_id is null) or doc_id = 2").collect(), key=str) and exact_dedup.drop_copies(df).columns == df.columns
+    same = spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string")
+    assert exact_dedup.drop_copies(same).count() == 1
+    assert exact_dedup.drop_copies(same.filter("doc_id = 9")).count() == 0
+
+
+def test_state_goes_on_with_later_arrivals(spark):
+    path, state = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for part, texts in enumerate((["a", "b"], ["a ", "c"])):
+        df, _ = docs_of(spark, texts, [part * 10, part * 10 + 1])
+        exact_dedup.arrivals(df).select("row_id", "doc_id", "n_points", "text_sha256").write.mode("append").parquet(path)
+        stream = spark.readStream.schema("row_id long, doc_id long, n_points long, text_sha256 string").parquet(path)
+        got = exact_dedup.stream_state(stream, state)
+    assert sorted((r["best"]["doc_id"], r["members"]) for r in got.collect()) == [(1, 1), (10, 2), (11, 1)]
+
+
+def test_personal_data(spark):
+    rng = random.Random(2)
+    parts = ["a.b@c.de", "x@y", "@", "a@b.c_d@e.f", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "007.0.0.001", "4111 1111 1111 1111", "4111-1111-1111-1112", "12 34", "+49 (30) 123456-78", "+1", "+123 ", "é", "—", "12345678901234567890",
+             "0" * 16, "-", ".", " ", "a", "5", "+", "_x@y.z-", "😀"]
+    texts = [None, "", *parts] + ["".join(rng.choice(parts) + rng.choice(["", " ", ""]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    texts += ["a" * 60000, "1" * 60000, "a." * 20000 + "@", "x@" + "a." * 20000 + "b", "1 " * 9000, "1.2.3.4 " * 300 + "+49 30 1234567 " * 200]
+    df, rows = docs_of(spark, texts)
+    got = pii.find_pii(df.repartition(4)).select("doc_id", F.filter("pii", lambda s: s["kind"].isin(*pii.BASE)).alias("p")).collect()
+    for r in got:
+        assert [(s["kind"], s["start"], s["end"]) for s in r["p"]] == brute.base_spans(texts[r["doc_id"]]), texts[r["doc_id"]][:80]
+    df, _ = docs_of(spark, ["Konto DE89 3704 0044 0532 0130 00 ok", "DE89370400440532013001", "tel. 030 1234 5678", "030 1234 5678", "mail a@b.de"])
+    found = {r["doc_id"]: r for r in pii.redact(pii.find_pii(df)).collect()}
+    assert [[s["kind"] for s in found[k]["pii"]] for k in range(5)] == [["iban"], [], ["local_phone"], [], ["email"]]
+    assert found[0]["text"] == "Konto <IBAN> ok" and found[4]["text"] == "mail <EMAIL>" and found[4]["pii"][0]["score"] == 1.0
+    clash = spark.createDataFrame([(None, "a@b.de", 1)], "doc_id long, text string, pii int")
+    assert pii.find_pii(clash).first()["pii"][0]["kind"] == "email" and pii.find_pii(clash.filter("false")).count() == 0
+
+
+TRAPS = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>", "\\", "\\\\<|x", "a\\", "", "<<SYS>><</SYS>>", "<\\|im_sep|>", "<<|", "é\n\n", "<|im_sep|>\\n"]
+
+
+def test_chats_come_back_as_they_were(spark):
+    rows = [(c, t, role, TRAPS[(c + t) % len(TRAPS)] if (c + t) % 5 else None) for c in range(11) for t, role in enumerate(["user", "assistant", "sys<|im_sep|>tem", None, "assistant"] * 8)]
+    df = spark.createDataFrame(rows + [(None, None, "user", "lost")], "conv_id long, turn long, role string, text string")
+    written = chat.format_turns(chat.canonical(df.repartition(3), ["conv_id", "turn"]))
+    got = {r["conv_id"]: r for r in chat.digests(chat.read_turns(written)).collect()}
+    for c in range(11):
+        own = [(r or "", t or "") for k, _, r, t in rows if k == c]
+        learned = "".join(t for r, t in own if r == "assistant")
+        r = got[c]
+        assert (r["n_turns"], r["turns_sha256"]) == (40, brute.sha("".join(f"{a}\n{b}\n" for a, b in own)))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(learned), brute.sha(learned))
+        assert r["formatted_chars"] == sum(len(x["formatted"]) for x in written.filter(F.col("conv_id") == c).collect())
+    assert got[None]["n_turns"] == 1 and chat.format_turns(chat.canonical(df.filter("false"), ["conv_id", "turn"])).count() == 0
+
+
+def test_layouts_by_fingerprint(spark):
+    records = ['{"messages":[{"role":"user","content":"a"},{"content":null,"role":"assistant"}]}', '{"response":3,"prompt":"x"}', '{"instruction":"i","input":"","output":"o"}',
+               '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}', '{"role":"user","text":"t"}', '{"messages":[]}', "broken", None, '{"b":{"c":1}}']
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(records)], "id int, j string")
+    got = {r["id"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in chat.canonical_json(df, "j", ["id"]).collect()}
+    assert got == {0: [("user", "a"), ("assistant", "")], 1: [("user", "x"), ("assistant", "3")], 2: [("user", "i"), ("assistant", "o")], 3: [("user", "h"), ("assistant", "g")], 4: [("user", "t")], 5: [], 6: None, 7: None, 8: None}
+    with pytest.raises(ValueError, match="layout"):
+        chat.canonical(df, ["id"])
+    table = spark.createDataFrame([(1, [("user", "q")])], "id int, messages array<struct<role:string,content:string>>")
+    assert [tuple(t) for t in chat.canonical(table, ["id"]).first()["turns"]] == [("user", "q")]
+
+
+def test_urls(spark):
+    rules = [urls.site_rule(v, s) for v, s in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"))] + [urls.pattern_rule("block", "||adult-*^")]
+    cases = {
+        "http://example.com/en/1": ("example.com", "/en/1", "example.com/en/", "block"), "https://a.WWW.Example.com/en/": ("a.www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://xexample.com/en/1": ("xexample.com", "/en/1", "com/", "allow"), "http://example.com/En/1?q#f": ("example.com", "/En/1", "com/", "allow"), "http://example.com": ("example.com", "", None, "allow"),
+        "http://adult-x.example.org/a": ("adult-x.example.org", "/a", None, "block"), "http://b.adult-x.org": ("b.adult-x.org", "", None, "block"), "http://myadult-x.org/": ("myadult-x.org", "/", None, "allow"),
+        "http://a.net/es/b://c": ("a.net", "/es/b://c", "net/es/", "block"), "net/es/": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://?x=com/": ("", "", None, "allow"), "http://com/": ("com", "/", "com/", "allow"),
+        "http://adult-x.com/": ("adult-x.com", "/", "com/", "allow")}
+    df = spark.createDataFrame([(k, u, "z", 1) for k, u in enumerate(cases)] * 2, "page_id int, url string, host string, token int")
+    got = urls.judge_urls(df.repartition(3), rules).collect()
+    assert len(got) == 2 * len(cases)
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == cases[r["doc"]["url"]], r
+    assert urls.judge_urls(df.filter("false"), rules).count() == 0 and urls.judge_urls(df, []).filter("verdict = 'allow'").count() == df.count()

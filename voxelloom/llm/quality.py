@@ -55,7 +55,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         begin = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
         line_doc = np.searchsorted(off, begin, "right") - 1
         n_lines = np.bincount(line_doc, minlength=n) if len(end) else np.zeros(n)
-        line_kinds, _ = _top_share(line_doc, Prefix(data).of(begin, end), n)
+        line_kinds, _ = _top_share(line_doc, Prefix(data).of(begin, end + (data[end] != 10)), n)
         lines = np.maximum(n_lines, 1)
         share = [per_doc(flag, off) / one for flag in (_UPPER[data], _DIGIT[data], _SPACE[data], _STOP[data], _ODD[data], data >= 128, data == 33, data == 124, data == 10)]
         capital = per_doc(_UPPER[data[w.start]] if len(w.start) else np.zeros(0, bool), w.first) / some
