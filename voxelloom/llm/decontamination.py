@@ -40,7 +40,7 @@ def _item_windows(column: pa.Array, length: int) -> pa.StructArray:
 class Gram:
     """Windows of one block, sorted hashes first: a bitmap and a search answer almost all misses in numpy."""
 
-    BITS = 22
+    BITS = 21
 
     def __init__(self, pairs: list[tuple[bytes, int | None]]):
         self.items: dict[bytes, list[int]] = {}
@@ -148,31 +148,42 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     hits words but is not listed. Repeated rows and ids are judged row by row. An empty benchmark hits nothing.
     ``clean`` asks for the text without hit words (null otherwise).
     """
-    spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
+    state = _found(docs, benchmark, keep, text, length, block, clean)
+    if not clean:
+        state = state.withColumn("text", F.lit(None).cast("string"))
+    return state.select("doc", "text", "n_words", "runs", "items").mapInArrow(partial(_summed, length_of_doc=clean), T.StructType([state.schema["doc"], T.StructField("out", _RESULT)]))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str, length: int, block: int, with_text: bool) -> DataFrame:
+    """doc, text (if asked for or if there are more passes), n_words, and what each pass found: runs of hit words, items."""
+    spark = docs.sparkSession
     windows = materialise(benchmark_windows(benchmark, length), "windows")
     passes = max(1, -(-windows.count() // block))
     part = F.pmod(F.xxhash64("window", "item_id"), F.lit(passes))
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"),
-                        F.lit(0).cast("long").alias("n_words"), F.array().cast("array<binary>").alias("runs"), F.array().cast("array<bigint>").alias("items"))
+    carried = ["doc", "text"] if with_text or passes > 1 else ["doc"]
+    state = None
     for k in range(passes):
         pairs = [(bytes(r["window"]), r["item_id"]) for r in windows.filter(part == k).collect()]  # at most about `block` rows
-        gram = spark.sparkContext.broadcast(Gram(pairs))
+        find = partial(_find, gram=spark.sparkContext.broadcast(Gram(pairs)))
         if k:
             state = materialise(state, "contamination")
-        names = state.columns
-        found = map_texts(state, "text", names if clean or k + 1 < passes else [c for c in names if c != "text"], partial(_find, gram=gram), _FOUND)
-        state = found.select("doc.doc", F.col("doc.text").alias("text") if clean or k + 1 < passes else F.lit(None).cast("string").alias("text"), "out.n_words",
-                             F.concat("doc.runs", F.array("out.runs")).alias("runs"), F.concat("doc.items", "out.items").alias("items"))
-    return state.mapInArrow(partial(_summed, length_of_doc=clean), T.StructType([state.schema["doc"], T.StructField("out", _RESULT)]))
+            found = map_texts(state, "text", state.columns, find, _FOUND)
+            state = found.select(*[f"doc.{c}" for c in carried], "doc.n_words", F.concat("doc.runs", F.array("out.runs")).alias("runs"), F.concat("doc.items", "out.items").alias("items"))
+        elif len(carried) > 1:
+            both = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+            state = map_texts(both, "text", carried, find, _FOUND).select("doc.doc", "doc.text", "out.n_words", F.array("out.runs").alias("runs"), "out.items")
+        else:
+            state = map_texts(docs, text, keep, find, _FOUND).select("doc", "out.n_words", F.array("out.runs").alias("runs"), "out.items")
+    return state
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", length: int = 10) -> DataFrame:
     """``docs`` without contaminated rows (``remove="documents"``) or with the hit words cut out of their text ("spans")."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    found = find_contamination(docs, benchmark, text=text, length=length, clean=remove == "spans")
     if remove == "documents":
-        return found.filter("out.n_hit = 0").select("doc.*")
+        return _found(docs, benchmark, docs.columns, text, length, BLOCK, False).filter(F.forall("runs", lambda r: F.length(r) == 0)).select("doc.*")
+    found = find_contamination(docs, benchmark, text=text, length=length, clean=True)
     cut = F.when(F.col("out.n_hit") > 0, F.col("out.clean")).otherwise(F.col(f"doc.`{text}`"))
     return found.select(*[cut.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -149,11 +150,14 @@ def map_texts(docs: DataFrame, text: str, keep: list[str], fn: Callable[[pa.Arra
 
     The kept columns stay inside a struct, so their names may clash with nothing.
     """
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")
+    inside = text in keep and docs.schema[text].dataType == T.StringType()
+    source = docs.select(doc) if inside else docs.select(doc, F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), fn(batch.column(1))], ["doc", "out"])
+            texts = pc.struct_field(batch.column(0), [keep.index(text)]) if inside else batch.column(1)  # a kept text is sent once
+            yield pa.RecordBatch.from_arrays([batch.column(0), fn(texts)], ["doc", "out"])
 
     return source.mapInArrow(run, T.StructType([source.schema["doc"], T.StructField("out", result)]))
 
