@@ -117,8 +117,8 @@ def visible(u: Column, v: Column, margin: float = 0.0) -> Column:
     inside = (
         (u >= margin)
         & (v >= margin)
-        & (u <= F.col("width") - 1 - margin)
-        & (v <= F.col("height") - 1 - margin)
+        & (u < F.col("width") - margin)
+        & (v < F.col("height") - margin)
     )
     return F.coalesce(inside, F.lit(False))
 

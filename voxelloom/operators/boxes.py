@@ -412,13 +412,28 @@ def grow_face(points: DataFrame, face: DataFrame, by: list[str], tol: float, cel
 
 
 def comb_fraction(points: DataFrame, by: list[str], along: str, across: str, bin_size: float) -> DataFrame:
-    """Empty-bin share along the ray less that across it."""
+    """Empty-bin share along the ray less that across it, within 0 and 1.
 
-    def empty(c: str) -> Column:
-        b = F.floor(F.col(c) / bin_size)
-        return 1.0 - F.count_distinct(b) / (F.max(b) - F.min(b) + 1)
+    Bins divide the extent evenly, at least four; an extent below three bins has no empty ones, and a group of fewer
+    than twelve points no comb. Rows count for the group's extent only where both coordinates are known.
+    """
+    known = points.filter(F.col(along).isNotNull() & F.col(across).isNotNull())
+    size = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{k}{i}") for i, c in enumerate((along, across)) for k, f in (("lo", F.min), ("hi", F.max))])
+
+    def bins(i: int) -> Column:
+        return F.greatest(F.lit(4), F.floor((F.col(f"_hi{i}") - F.col(f"_lo{i}")) / bin_size))
+
+    def bin_of(i: int, c: str) -> Column:  # the upper edge belongs to the last bin
+        return F.least(F.floor((F.col(c) - F.col(f"_lo{i}")) * bins(i) / (F.col(f"_hi{i}") - F.col(f"_lo{i}"))), bins(i) - 1)
+
+    def empty(i: int) -> Column:
+        wide = F.first(F.col(f"_hi{i}") - F.col(f"_lo{i}")) >= 3 * bin_size
+        return F.when(wide, 1.0 - F.count_distinct(f"_b{i}") / F.first(bins(i))).otherwise(0.0)
 
-    return points.groupBy(*by).agg((empty(along) - empty(across)).alias("comb"))
+    placed = known.alias("p").join(size.alias("s"), [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]).select("p.*", *[f"s.{c}" for c in size.columns if c not in by])
+    placed = placed.withColumns({f"_b{i}": F.when(F.col(f"_hi{i}") > F.col(f"_lo{i}"), bin_of(i, c)) for i, c in enumerate((along, across))})
+    comb = F.greatest(F.lit(0.0), F.least(F.lit(1.0), empty(0) - empty(1)))
+    return placed.groupBy(*by).agg(F.when(F.first("_n") < 12, 0.0).otherwise(comb).alias("comb"))
 
 
 def face_weight(n: Column, incidence_deg: Column, comb: Column, floor: float = 0.05) -> Column:

@@ -91,15 +91,13 @@ def intrinsics_consistency(rows: DataFrame, by: list[str], order: list[str], fx:
 
 
 def skew_report(frames: DataFrame, by: list[str], camera: str = "camera", device: str = "dev_ts_ns", host: str = "host_ts_ns") -> DataFrame:
-    """Largest minus smallest device time per capture (host clock if any is missing) in ms, and the camera furthest from the mean."""
+    """Largest minus smallest device time per capture (host clock if any is missing) in ms, and the camera whose device clock is latest (none on the host clock)."""
     use_dev = F.count(device) == F.count(F.lit(1))
     agg = frames.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cameras"), F.when(use_dev, F.lit("device")).otherwise("host").alias("clock"),
         F.when(use_dev, F.max(device) - F.min(device)).otherwise(F.max(host) - F.min(host)).alias("_span"),
-        F.when(use_dev, F.avg(device)).otherwise(F.avg(host)).alias("_mean"))
-    j = frames.join(agg, by).withColumn("_off", F.abs(F.when(F.col("clock") == "device", F.col(device)).otherwise(F.col(host)) - F.col("_mean")))
-    worst = j.groupBy(*by).agg(F.max_by(camera, F.struct("_off", camera)).alias("worst_camera"))
-    return agg.join(worst, by).select(*by, "cameras", "clock", (F.col("_span") / 1e6).alias("skew_ms"), "worst_camera")
+        F.when(use_dev, F.max(F.struct(F.col(device).alias("t"), F.col(camera).alias("c")))["c"]).alias("worst_camera"))
+    return agg.select(*by, "cameras", "clock", (F.col("_span") / 1e6).alias("skew_ms"), "worst_camera")
 
 
 def exposure_uniformity(readback: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

@@ -238,22 +238,24 @@ def plane_screen(planes: DataFrame, by: list[str], deck_d: float, reference: Dat
 
 
 def two_plane_scale_offset(planes: DataFrame, camera: str = "camera", surface: str = "surface") -> DataFrame:
-    """Scale and offset that bring a camera's two surfaces onto the mean of the other cameras'.
+    """Scale and offset of a camera against the mean of the others: measured = scale * mean + offset on both surfaces.
 
-    ``planes`` holds one depth (``z``) per camera and surface, surfaces named 'near' and 'far'.
+    ``planes`` holds one depth (``z``) per camera and surface, surfaces named 'near' and 'far'. Both are null where the
+    others' surfaces lie within a micrometre of each other.
     """
     total = planes.groupBy(surface).agg(F.sum("z").alias("_s"), F.count(F.lit(1)).alias("_k"))
     loo = planes.join(total, surface).withColumn("_ref", (F.col("_s") - F.col("z")) / (F.col("_k") - 1))
     wide = loo.groupBy(camera).agg(
         *[F.max(F.when(F.col(surface) == s, F.col(c))).alias(f"{c}_{s}") for s in ("near", "far") for c in ("z", "_ref")]
     )
-    s = (F.col("_ref_far") - F.col("_ref_near")) / (F.col("z_far") - F.col("z_near"))
-    return wide.withColumn("scale", s).withColumn("offset", F.col("_ref_near") - F.col("scale") * F.col("z_near")).select(camera, "scale", "offset")
+    apart = F.col("_ref_far") - F.col("_ref_near")
+    s = F.when(F.abs(apart) >= 1e-6, (F.col("z_far") - F.col("z_near")) / apart)
+    return wide.withColumn("scale", s).withColumn("offset", F.col("z_near") - F.col("scale") * F.col("_ref_near")).select(camera, "scale", "offset")
 
 
 def classify_camera_bias(scale: Column, offset: Column, tilt: Column, scale_tol: float = 0.01, offset_tol: float = 0.010, tilt_tol: float = 0.5) -> Column:
     s, o, t = F.abs(scale - 1.0) > scale_tol, F.abs(offset) > offset_tol, tilt > tilt_tol
-    return F.when(t, "tilt").when(s & o, "scale and offset").when(s, "scale").when(o, "offset").otherwise("consistent")
+    return F.when(s & o, "scale and offset").when(s, "scale").when(o, "offset").when(t, "tilt").otherwise("consistent")
 
 
 def camera_conditioning(centres: DataFrame, by: list[str], xyz=("x", "y", "z")) -> DataFrame:

@@ -313,25 +313,14 @@ def leave_one_plane_out(df: DataFrame, by: list[str], plane: str, measured: str,
 
 
 def power_law(df: DataFrame, by: list[str], n: str, t: str, min_points: int = 3) -> DataFrame:
-    """Exponent of t ~ n^k from logs, with the rms misfit of the power, linear and quadratic laws."""
+    """Exponent of t ~ a n^k from logs, and the rms misfit in units of t of a n^k, a n and a n^2 with the fitted a."""
     rows = df.filter((F.col(n) > 0) & (F.col(t) > 0)).select(*by, F.col(n).cast("double").alias("_n"), F.col(t).cast("double").alias("_t"))
     ln_n, ln_t = F.ln("_n"), F.ln("_t")
-    fit = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("points"),
-        F.regr_slope(ln_t, ln_n).alias("exponent"),
-        F.regr_intercept(ln_t, ln_n).alias("ln_a"),
-        F.avg(ln_t - ln_n).alias("ln_lin"),
-        F.avg(ln_t - 2 * ln_n).alias("ln_quad"),
-    ).filter(F.col("points") >= min_points)
-    r = {
-        "rms_power": ln_t - (F.col("exponent") * ln_n + F.col("ln_a")),
-        "rms_linear": ln_t - ln_n - F.col("ln_lin"),
-        "rms_quadratic": ln_t - 2 * ln_n - F.col("ln_quad"),
-    }
+    fit = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), F.regr_slope(ln_t, ln_n).alias("exponent"), F.exp(F.regr_intercept(ln_t, ln_n)).alias("_a")).filter(F.col("points") >= min_points)
+    laws = {"rms_power": F.col("exponent"), "rms_linear": F.lit(1.0), "rms_quadratic": F.lit(2.0)}
     return rows.join(fit, by).groupBy(*by).agg(
         F.max("points").alias("points"), F.max("exponent").alias("exponent"),
-        *[F.sqrt(F.avg(e * e)).alias(k) for k, e in r.items()],
-    )
+        *[F.sqrt(F.avg(F.pow(F.col("_a") * F.pow("_n", k) - F.col("_t"), 2))).alias(name) for name, k in laws.items()])
 
 
 def plane_leverage_se(df: DataFrame, by: list[str], z: str, at: Column, s_eff: Column) -> DataFrame:

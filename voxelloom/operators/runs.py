@@ -23,10 +23,16 @@ def parse_run(name: Column, cameras: list[str] | None = None) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """Seconds since the epoch from ISO with or without T and fraction, ``yyyyMMdd_HHmmss``, or a plain number."""
-    t = F.substring(F.trim(text), 1, 26)
-    stamps = [F.try_to_timestamp(t, F.lit(f)) for f in (
-        "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyyMMdd_HHmmss")]
+    """Seconds since the epoch from ISO with or without T, fraction and offset, ``yyyyMMdd_HHmmss``, or a plain number.
+
+    An offset (Z, +02, +0200 or +02:00) counts; without one the session's zone holds. Digits of the fraction beyond
+    the sixth are dropped.
+    """
+    t = F.regexp_replace(F.trim(text), r"(\.[0-9]{6})[0-9]+", "$1")
+    t = F.regexp_replace(t, r"(:[0-9]{2}(?:\.[0-9]+)?)([+-][0-9]{2})(?::?([0-9]{2}))?$", "$1$2:$3")
+    t = F.regexp_replace(t, ":$", ":00")
+    part = "[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]"
+    stamps = [F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss" + part, "yyyy-MM-dd HH:mm:ss" + part, "yyyyMMdd_HHmmss")]
     return F.coalesce(F.unix_micros(F.coalesce(*stamps)) / 1e6, F.expr("1D") * text.try_cast("double"))
 
 

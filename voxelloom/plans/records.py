@@ -350,7 +350,9 @@ def min_area_rect(t):
     return rounded(boxes.min_area_rect(belt_points(t), ["capture"], 0.05, 3.0), 6, "cu", "cv", "length", "width", "yaw", "coverage")
 
 
-@query("comb_fraction", f"""WITH {ON_BOX} SELECT capture, round((1 - count(DISTINCT floor(u / 0.05)) / (max(floor(u / 0.05)) - min(floor(u / 0.05)) + 1)) - (1 - count(DISTINCT floor(v / 0.05)) / (max(floor(v / 0.05)) - min(floor(v / 0.05)) + 1)), 8) AS comb FROM pt GROUP BY capture""")
+@query("comb_fraction", f"""WITH {ON_BOX} , e AS (SELECT capture, count(*) AS n, min(u) AS u0, max(u) - min(u) AS us, greatest(4, floor((max(u) - min(u)) / 0.05)) AS ub, min(v) AS v0, max(v) - min(v) AS vs, greatest(4, floor((max(v) - min(v)) / 0.05)) AS vb FROM pt GROUP BY capture)
+  SELECT capture, CASE WHEN any_value(n) < 12 THEN 0.0 ELSE round(greatest(0.0, least(1.0, CASE WHEN any_value(us) < 0.15 THEN 0.0 ELSE 1 - count(DISTINCT least(floor((u - u0) * ub / nullif(us, 0)), ub - 1)) / any_value(ub) END
+  - CASE WHEN any_value(vs) < 0.15 THEN 0.0 ELSE 1 - count(DISTINCT least(floor((v - v0) * vb / nullif(vs, 0)), vb - 1)) / any_value(vb) END)), 8) END AS comb FROM pt JOIN e USING (capture) GROUP BY capture""")
 def comb_fraction(t):
     return rounded(boxes.comb_fraction(belt_points(t), ["capture"], "u", "v", 0.05), 8, "comb")
 
@@ -480,9 +482,9 @@ def frame_sets(t: Tables):
         F.max(F.unix_micros("ts") * 1000).alias("host_ts_ns"), F.when(F.max("seq") % 5 > 0, F.max(F.unix_micros("ts")) * 1000 + F.max("seq") % 1000).alias("dev_ts_ns"))
 
 
-@query("skew_report", f"""WITH {SETS}, a AS (SELECT rig, capture, count(*) AS cameras, count(dev) = count(*) AS dv, CASE WHEN count(dev) = count(*) THEN max(dev) - min(dev) ELSE max(host) - min(host) END AS span FROM fs GROUP BY ALL) SELECT rig, capture, cameras, CASE WHEN dv THEN 'device' ELSE 'host' END AS clock, round(span / 1e6, 6) AS skew_ms FROM a""")
+@query("skew_report", f"""WITH {SETS}, a AS (SELECT rig, capture, count(*) AS cameras, count(dev) = count(*) AS dv, CASE WHEN count(dev) = count(*) THEN max(dev) - min(dev) ELSE max(host) - min(host) END AS span, CASE WHEN count(dev) = count(*) THEN arg_max(camera, (dev, camera)) END AS worst_camera FROM fs GROUP BY rig, capture) SELECT rig, capture, cameras, CASE WHEN dv THEN 'device' ELSE 'host' END AS clock, round(span / 1e6, 6) AS skew_ms, worst_camera FROM a""")
 def skew_report(t):
-    return rounded(calib.skew_report(frame_sets(t), ["rig", "capture"]).drop("worst_camera"), 6, "skew_ms")
+    return rounded(calib.skew_report(frame_sets(t), ["rig", "capture"]), 6, "skew_ms")
 
 
 @query("sync_filter", f"""WITH {SETS}, a AS (SELECT rig, capture, count(*) AS n_frames, CASE WHEN count(dev) = count(*) THEN max(dev) - min(dev) ELSE max(host) - min(host) END / 1e6 AS s FROM fs GROUP BY ALL) SELECT rig, capture, n_frames, round(s, 6) AS spread_ms, s <= 600000 AS in_sync FROM a""")
@@ -604,11 +606,11 @@ def run_ordering(t):
     return groups.rank_in_group(g, [], [("runs", "desc"), ("subset", "asc")], "position")
 
 
-@query("power_law", """WITH r AS (SELECT o_orderpriority AS subset, ln(o_custkey + 1) AS x, ln(o_totalprice) AS y FROM orders), f AS (SELECT subset, count(*) AS points, regr_slope(y, x) AS k, regr_intercept(y, x) AS c, avg(y - x) AS l, avg(y - 2 * x) AS q FROM r GROUP BY subset)
-  SELECT subset, any_value(points) AS points, round(any_value(k), 6) AS exponent, round(sqrt(avg(pow(y - (k * x + c), 2))), 6) AS rms_power, round(sqrt(avg(pow(y - x - l, 2))), 6) AS rms_linear, round(sqrt(avg(pow(y - 2 * x - q, 2))), 6) AS rms_quadratic FROM r JOIN f USING (subset) GROUP BY subset""")
+@query("power_law", """WITH r AS (SELECT o_orderpriority AS subset, ln(o_custkey + 1) AS x, ln(o_totalprice / 1e6) AS y FROM orders), f AS (SELECT subset, count(*) AS points, regr_slope(y, x) AS k, exp(regr_intercept(y, x)) AS a FROM r GROUP BY subset)
+  SELECT subset, any_value(points) AS points, round(any_value(k), 6) AS exponent, round(sqrt(avg(pow(a * exp(k * x) - exp(y), 2))), 4) AS rms_power, round(sqrt(avg(pow(a * exp(x) - exp(y), 2))), 4) AS rms_linear, round(sqrt(avg(pow(a * exp(2 * x) - exp(y), 2))), 4) AS rms_quadratic FROM r JOIN f USING (subset) GROUP BY subset""")
 def power_law(t):
-    o = t.table("orders").select(F.col("o_orderpriority").alias("subset"), (F.col("o_custkey") + 1).alias("n"), F.col("o_totalprice").alias("t"))
-    return rounded(robust.power_law(o, ["subset"], "n", "t"), 6, "exponent", "rms_power", "rms_linear", "rms_quadratic")
+    o = t.table("orders").select(F.col("o_orderpriority").alias("subset"), (F.col("o_custkey") + 1).alias("n"), (F.col("o_totalprice") / 1e6).alias("t"))
+    return rounded(rounded(robust.power_law(o, ["subset"], "n", "t"), 6, "exponent"), 4, "rms_power", "rms_linear", "rms_quadratic")
 
 
 @query("acquisition_rate", f"""WITH {FRAMES}, g AS (SELECT rig, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY rig ORDER BY ts)) / 1e6 AS gap FROM frames), r AS (SELECT rig, 1 / gap AS rate FROM g WHERE gap > 0), q AS (SELECT rig, median(rate) AS m, list_sort(list(rate)) AS l, count(*) AS n FROM r GROUP BY rig),
@@ -670,7 +672,7 @@ def set_operations(t):
 
 
 @query("classify_camera_bias", f"""WITH {PLACEMENTS}, c AS (SELECT camera, label, regr_slope(h_meas, h_true) AS s, avg(h_meas - h_true) - 2.2 AS o, abs(corr(h_meas, h_true)) * 10 AS t FROM placements GROUP BY ALL)
-  SELECT camera, label, CASE WHEN t > 0.5 THEN 'tilt' WHEN abs(s - 1) > 0.01 AND abs(o) > 0.01 THEN 'scale and offset' WHEN abs(s - 1) > 0.01 THEN 'scale' WHEN abs(o) > 0.01 THEN 'offset' ELSE 'consistent' END AS verdict FROM c""")
+  SELECT camera, label, CASE WHEN abs(s - 1) > 0.01 AND abs(o) > 0.01 THEN 'scale and offset' WHEN abs(s - 1) > 0.01 THEN 'scale' WHEN abs(o) > 0.01 THEN 'offset' WHEN t > 0.5 THEN 'tilt' ELSE 'consistent' END AS verdict FROM c""")
 def classify_camera_bias(t):
     c = t.placements().groupBy("camera", "label").agg(F.regr_slope("h_meas", "h_true").alias("s"), (F.avg(F.col("h_meas") - F.col("h_true")) - 2.2).alias("o"), (F.abs(F.corr("h_meas", "h_true")) * 10).alias("t"))
     return c.select("camera", "label", planes.classify_camera_bias(F.col("s"), F.col("o"), F.col("t")).alias("verdict"))
@@ -691,7 +693,7 @@ def residual_after_deployed(t):
 
 @query("two_plane_scale_offset", f"""WITH {PLACEMENTS}, z AS (SELECT camera, CASE WHEN label = 'F' THEN 'near' ELSE 'far' END AS surface, avg(h_meas) + CASE WHEN label = 'F' THEN 0 ELSE 1 END AS z FROM placements WHERE label IN ('F', 'O') GROUP BY camera, label),
   l AS (SELECT camera, surface, z, (sum(z) OVER (PARTITION BY surface) - z) / (count(*) OVER (PARTITION BY surface) - 1) AS r FROM z), w AS (SELECT camera, max(z) FILTER (surface = 'near') AS zn, max(z) FILTER (surface = 'far') AS zf, max(r) FILTER (surface = 'near') AS rn, max(r) FILTER (surface = 'far') AS rf FROM l GROUP BY camera)
-  SELECT camera, round((rf - rn) / (zf - zn), 6) AS scale, round(rn - (rf - rn) / (zf - zn) * zn, 6) AS offset FROM w""")
+  SELECT camera, round((zf - zn) / (rf - rn), 6) AS scale, round(zn - (zf - zn) / (rf - rn) * rn, 6) AS offset FROM w""")
 def two_plane_scale_offset(t):
     p = t.placements().filter("label in ('F', 'O')").groupBy("camera", "label").agg(F.avg("h_meas").alias("m")).select("camera", F.when(F.col("label") == "F", "near").otherwise("far").alias("surface"), (F.col("m") + F.when(F.col("label") == "F", 0).otherwise(1)).alias("z"))
     return rounded(planes.two_plane_scale_offset(p), 6, "scale", "offset")

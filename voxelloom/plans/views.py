@@ -34,7 +34,7 @@ def project_brown(t):
     return rounded(p, 6, "u", "v")
 
 
-@query("visible_points", f"WITH {BROWN} SELECT camera, count(*) AS points, count(*) FILTER (u >= 5 AND v >= 5 AND u <= width - 6 AND v <= height - 6) AS visible FROM uv GROUP BY camera")
+@query("visible_points", f"WITH {BROWN} SELECT camera, count(*) AS points, count(*) FILTER (u >= 5 AND v >= 5 AND u < width - 5 AND v < height - 5) AS visible FROM uv GROUP BY camera")
 def visible_points(t):
     u, v, _ = g.project_brown(g.vec("x", "y", "z"))
     p = with_cameras(t).withColumn("_vis", g.visible(u, v, 5.0))
@@ -44,7 +44,7 @@ def visible_points(t):
 @query("views_per_point", f"""WITH {POINTS3}, {CAMS}, n AS (SELECT pid, fx, fy, cx, cy, width, height, k1, k2, p1, p2, k3, (co * x - si * y + t0) / nullif(z + t2, 0) AS xn, (si * x + co * y + t1) / nullif(z + t2, 0) AS yn, z + t2 AS zc FROM pts CROSS JOIN cams),
   uv AS (SELECT *, xn * xn + yn * yn AS r2 FROM n), q AS (SELECT pid, zc, width, height, fx * (xn * (1 + r2 * (k1 + r2 * (k2 + r2 * k3))) + 2 * p1 * xn * yn + p2 * (r2 + 2 * xn * xn)) + cx AS u,
   fy * (yn * (1 + r2 * (k1 + r2 * (k2 + r2 * k3))) + p1 * (r2 + 2 * yn * yn) + 2 * p2 * xn * yn) + cy AS v FROM uv)
-  SELECT pid, count(*) FILTER (zc > 1e-6 AND u >= 0 AND v >= 0 AND u <= width - 1 AND v <= height - 1) AS n_views FROM q GROUP BY pid""")
+  SELECT pid, count(*) FILTER (zc > 1e-6 AND u >= 0 AND v >= 0 AND u < width AND v < height) AS n_views FROM q GROUP BY pid""")
 def views_per_point(t):
     return calib.visible_views(t.points3(), t.cameras(), [])
 

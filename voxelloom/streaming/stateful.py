@@ -91,7 +91,7 @@ def settle_trigger(frames: DataFrame, thresh: float, need: int, rearm: float, ke
                 st["since"] = now
             elif timeout_s is not None and now - st["since"] >= timeout_s:
                 fire = forced = True
-                st.update(since=now, armed=True, count=0)
+                st.update(since=now, armed=False, count=0)
             out.append({"seq": int(seq), "ts": ts, "diff": diff, "fired": fire, "forced": forced})
         return out
 
