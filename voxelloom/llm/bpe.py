@@ -22,8 +22,8 @@ from voxelloom.llm.textbytes import map_texts, struct_array
 
 NONE = np.int64(1) << 62
 WIDE = 64  # bytes up to which pieces are merged in rows of one array
-ROWS = 1 << 14  # pieces merged at once
-KEPT = 150_000  # pieces a worker remembers
+CELLS = 1 << 18  # byte positions merged at once
+KEPT = 80_000  # pieces a worker remembers
 TEXT = 1 << 20  # characters split before their pieces are encoded
 
 _CODES = T.StructType([T.StructField("ids", T.BinaryType())])
@@ -87,8 +87,8 @@ class Vocabulary:
         low = 0
         for width in (2, 4, 8, 16, 32, WIDE):
             rows = np.flatnonzero((sizes > low) & (sizes <= width))
-            for at in range(0, len(rows), ROWS):
-                part = rows[at : at + ROWS]
+            for at in range(0, len(rows), CELLS // width):
+                part = rows[at : at + CELLS // width]
                 self._merge_rows([words[r] for r in part], sizes[part], width, part, out)
             low = width
         for r in np.flatnonzero(sizes > WIDE):

@@ -14,6 +14,7 @@ _STATE = {  # state on the executors' disks, with bounded memory beside them
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",  # executors let go of the state soon after the stream's end
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition of the state reserves megabytes of log
 }
 
