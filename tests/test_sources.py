@@ -37,6 +37,14 @@ def test_ply_is_read_whole_by_many_tasks(spark, scratch, fmt):
     assert df.select("pid").distinct().count() == 5000
 
 
+def test_ascii_faces_are_not_vertices(spark, scratch):
+    with open(f"{scratch}/m.ply", "w") as f:
+        f.write("ply\nformat ascii 1.0\nelement vertex 3\nproperty double x\nproperty double y\nproperty double z\nelement face 2\nproperty list uchar int vertex_indices\nend_header\n")
+        f.write("0 0 0\n1 0 0\n0 1 0\n3 0 1 2\n3 2 1 0\n")
+    got = grids.read_points(spark, f"{scratch}/m.ply", rowsPerPartition=1).select("x", "y", "z").collect()
+    assert sorted(map(tuple, got)) == [(0.0, 0.0, 0.0), (0.0, 1.0, 0.0), (1.0, 0.0, 0.0)]
+
+
 def test_depth_grids(spark, scratch):
     grid = np.arange(60.0).reshape(6, 10).astype("float32")
     np.save(f"{scratch}/depth_left.npy", grid)

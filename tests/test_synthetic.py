@@ -90,7 +90,52 @@ def test_hot_paths_equal_plain_paths(spark):
 def test_null_keys_are_kept(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
     got = {r["k"]: r["m"] for r in groups.quantiles(df, ["k"], "v", {"m": 0.5}, hot_rows=0).collect()}
-    assert got["a"] == 5.0
+    assert got == {None: 2.0, "a": 5.0}
+
+
+def test_ranks_and_lags_do_not_depend_on_the_size_of_a_group(spark):
+    nan = float("nan")
+    values = [None, nan, 1.0, 1.0, 2.0, -0.5, None, nan, 7.0, 7.0, 7.0, 3.0]
+    df = spark.createDataFrame([(k, i, v) for k in (None, "a", "b") for i, v in enumerate(values)], "k string, id long, v double")
+    for way in ("asc", "desc"):
+        order = [("v", way), ("id", "asc")]
+        ranks = [sorted(map(repr, groups.rank_in_group(df, ["k"], order, "r", hot_rows=h).collect())) for h in (1, 10**9)]
+        lags = [sorted(map(repr, groups.lag_in_group(df, ["k"], order, "v", 1, hot_rows=h).collect())) for h in (1, 10**9)]
+        assert ranks[0] == ranks[1] and len(ranks[0]) == 36
+        assert lags[0] == lags[1] and len(lags[0]) == 36
+
+
+def footprints(spark, n=40, seed=8):
+    rng = np.random.default_rng(seed)
+    length = rng.uniform(0.1, 0.6, n)
+    length[:2] = 9.0, 4.0  # far longer than the cells are made for
+    return frame(spark, g=np.zeros(n, int), id=np.arange(n), cu=rng.uniform(-4, 4, n), cv=rng.uniform(-4, 4, n), length=length, width=rng.uniform(0.05, 0.3, n), yaw=rng.uniform(0, 3, n))
+
+
+def test_long_footprints_meet_all_their_neighbours(spark):
+    b = footprints(spark)
+    every = b.join(b.select("g", *[F.col(c).alias("o_" + c) for c in ["id", *boxes.RECT]]), "g").filter("id != o_id").withColumn("gap", boxes.rect_gap()).select("id", "o_id", "gap").toPandas()
+    for reach in (0.0, 0.4):
+        got = boxes.near_pairs(b, ["g"], reach, [], 0.3).withColumn("gap", boxes.rect_gap()).filter(F.col("gap") <= reach).select("id", "o_id").toPandas()
+        want = every[every.gap <= reach]
+        assert sorted(map(tuple, got.to_numpy())) == sorted(map(tuple, want[["id", "o_id"]].to_numpy())) and len(want)
+    nearest = boxes.nearest_gap(b, ["g"], 0.05, 0.3).toPandas().set_index("id").gap
+    np.testing.assert_allclose(nearest.sort_index(), every.groupby("id").gap.min().sort_index())
+
+
+def test_the_nearest_gap_is_found_at_any_distance(spark):
+    df = spark.createDataFrame([(0, 1, 0.0, 0.0, 1.0, 1.0, 0.0), (0, 2, 3e4, 0.0, 1.0, 1.0, 0.0), (0, 3, float("nan"), 0.0, 1.0, 1.0, 0.0), (1, 4, 0.0, 0.0, 1.0, 1.0, 0.0), (1, 5, None, 0.0, 1.0, 1.0, 0.0)],
+                               "g long, id long, cu double, cv double, length double, width double, yaw double")
+    assert sorted((r["id"], r["nearest_id"], r["gap"]) for r in boxes.nearest_gap(df, ["g"], 0.05, 0.75).collect()) == [(1, 2, 29999.0), (2, 1, 29999.0)]
+
+
+def test_points_are_found_in_long_footprints(spark):
+    b = footprints(spark)
+    rng = np.random.default_rng(9)
+    p = frame(spark, g=np.zeros(6000, int), pid=np.arange(6000), u=rng.uniform(-6, 6, 6000), v=rng.uniform(-6, 6, 6000))
+    got = boxes.points_in_footprints(b, p, ["g"], [], 0.3).select("id", "pid").collect()
+    want = p.join(b, "g").filter(boxes.rect_distance(F.col("u"), F.col("v")) <= 0).select("id", "pid").collect()
+    assert sorted(got) == sorted(want) and len(want) > 100
 
 
 def test_nearest_neighbours_equal_brute_force_with_a_clump(spark):

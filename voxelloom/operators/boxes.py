@@ -130,37 +130,51 @@ RECT = ["cu", "cv", "length", "width", "yaw"]
 
 
 def near_pairs(boxes: DataFrame, by: list[str], reach: float, extra: list[str], max_dim: float, other: DataFrame | None = None) -> DataFrame:
-    """Ordered pairs whose footprints may come within ``reach``: cells one side long enough that only
-    the nine around can hold a partner. ``max_dim`` bounds every footprint's length."""
+    """Ordered pairs whose footprints may come within ``reach``, each once.
+
+    A footprint takes the cells that its surrounding circle, widened by half of ``reach``, touches, and a pair is
+    taken in the first cell that both share. ``max_dim``, the usual length, sets the cells only: a longer footprint
+    takes more of them. Footprints with a NULL number meet nothing.
+    """
     size = max_dim * math.sqrt(2.0) + reach
-    o = (boxes if other is None else other).select(*by, *[F.col(c).alias("o_" + c) for c in ["id", *RECT, *extra]]).withColumn(
-        "ku", cell_floor("o_cu", size)).withColumn("kv", cell_floor("o_cv", size))
-    step = F.sequence(F.lit(-1), F.lit(1))
-    a = boxes.withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step)).withColumn(
-        "ku", cell_floor("cu", size) + F.col("_a")).withColumn("kv", cell_floor("cv", size) + F.col("_b")).drop("_a", "_b")
-    j = a.join(o, [*by, "ku", "kv"]).drop("ku", "kv")
+    o = (boxes if other is None else other).select(*by, *[F.col(c).alias("o_" + c) for c in ["id", *RECT, *extra]])
+    j = _on_cells(boxes, size, reach).join(_on_cells(o, size, reach, "o_"), [*by, "ku", "kv"])
+    j = j.filter((F.col("ku") == F.greatest("_ku", "o__ku")) & (F.col("kv") == F.greatest("_kv", "o__kv"))).drop("ku", "kv", "_ku", "_kv", "o__ku", "o__kv")
     return j.filter(F.col("id") != F.col("o_id")) if other is None else j
 
 
-def nearest_gap(boxes: DataFrame, by: list[str], reach: float, max_dim: float, rounds: int = 12) -> DataFrame:
+def _on_cells(boxes: DataFrame, size: float, reach: float = 0.0, prefix: str = "", shrink: float = 1.0) -> DataFrame:
+    """A row for each cell (``ku kv``) a footprint may touch; ``_ku _kv`` are the first."""
+    c = lambda n: F.col(prefix + n)
+    half = (F.hypot(c("length"), c("width")) * shrink / 2 + reach / 2) * (1 + 1e-9)
+    out = boxes
+    for k, centre in (("ku", c("cu")), ("kv", c("cv"))):
+        low = cell_floor(centre - half, size)
+        out = out.withColumn(f"{prefix}_{k}", low).withColumn(k, F.explode(F.sequence(low, cell_floor(centre + half, size))))
+    return out
+
+
+def nearest_gap(boxes: DataFrame, by: list[str], reach: float, max_dim: float) -> DataFrame:
     """Nearest other footprint of the group and its gap. The reach doubles for boxes without an answer
-    closer than what the cells guarantee, until none is left or the group is a single box."""
-    alone = boxes.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*by)
-    todo = materialise(boxes.select(*by, "id", *RECT).join(alone, by, "left_semi"), "gap-todo")
+    closer than what the cells guarantee, until none is left. Footprints with a number that is NULL, NaN or infinite
+    have no neighbour and are nobody's."""
+    sound = F.lit(True)
+    for c in RECT:
+        sound = sound & (F.abs(c) < float("inf"))  # NaN counts as above infinity
+    plain = boxes.select(*by, "id", *RECT).filter(sound)
+    alone = plain.groupBy(*by).agg(F.count_distinct("id").alias("_k")).filter("_k > 1").select(*by)
+    todo = materialise(plain.join(alone, by, "left_semi"), "gap-todo")
     full = todo
     done: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         pairs = near_pairs(todo, by, reach, [], max_dim, full).filter(F.col("id") != F.col("o_id"))
         gap = pairs.withColumn("gap", rect_gap()).groupBy(*by, "id").agg(F.min(F.struct("gap", F.col("o_id").alias("nearest_id"))).alias("_g")).select(*by, "id", "_g.*")
         hit = materialise(gap.filter(F.col("gap") <= reach), "gap-hit")
         done = hit if done is None else done.unionByName(hit)
         todo = materialise(todo.join(hit.select(*by, "id"), [*by, "id"], "left_anti"), "gap-todo")
         if todo.isEmpty():
-            break
+            return done
         reach = reach * 2 + max_dim
-    else:
-        raise RuntimeError("raise the number of rounds: some boxes have no neighbour within reach")
-    return done
 
 
 def box_relations(boxes: DataFrame, by: list[str], max_dim: float, touch: float = 0.005, step: float = 0.020, reach: float = 0.05) -> DataFrame:
@@ -220,11 +234,12 @@ def evidence_score(coverage: str = "coverage", inliers: str = "inlier_fraction",
     return F.col(coverage) * F.col(inliers) * F.log1p(F.col(n))
 
 
-def suppress_overlaps(boxes: DataFrame, by: list[str], max_dim: float, iou: float = 0.50, level_gap: float = 0.020, score: Column | None = None, max_rounds: int = 100) -> DataFrame:
+def suppress_overlaps(boxes: DataFrame, by: list[str], max_dim: float, iou: float = 0.50, level_gap: float = 0.020, score: Column | None = None) -> DataFrame:
     """Keeps the strongest of overlapping detections; ``kept`` and ``lost_to`` on every row, ids of the kept renumbered.
 
     Greedy by falling score, decided in rounds: a box with no undecided stronger rival is kept, a box
-    with a kept rival is dropped. Rounds follow the longest chain of rivals, not the size of a scene.
+    with a kept rival is dropped. Rounds follow the longest chain of rivals, not the size of a scene; each
+    decides at least the strongest box left.
     """
     s = evidence_score() if score is None else score
     data = materialise(boxes.withColumn("_score", s), "nms-boxes")
@@ -234,7 +249,7 @@ def suppress_overlaps(boxes: DataFrame, by: list[str], max_dim: float, iou: floa
         "_iou", rect_iou(*[F.col(c) for c in RECT], *[F.col("o_" + c) for c in RECT])).filter(F.col("_iou") > iou)
     rivals = materialise(rivals.select(*by, "id", "o_id", F.col("o__score").alias("_os")), "nms-rivals")
     state = materialise(data.select(*by, "id").withColumn("kept", F.lit(None).cast("boolean")), "nms-state")
-    for _ in range(max_rounds):
+    while True:
         view = rivals.join(state.select(*by, F.col("id").alias("o_id"), F.col("kept").alias("_ok")), [*by, "o_id"])
         verdict = view.groupBy(*by, "id").agg(F.max(F.coalesce("_ok", F.lit(False))).alias("_hit"), F.max(F.col("_ok").isNull()).alias("_open"))
         nxt = state.join(verdict, [*by, "id"], "left").select(*by, "id", F.coalesce(
@@ -242,8 +257,6 @@ def suppress_overlaps(boxes: DataFrame, by: list[str], max_dim: float, iou: floa
         state = materialise(nxt, "nms-state")
         if state.filter("kept is null").isEmpty():
             break
-    else:
-        raise RuntimeError("suppression did not settle")
     winner = rivals.join(state.filter("kept").select(*by, F.col("id").alias("o_id")), [*by, "o_id"]).groupBy(*by, "id").agg(
         F.max_by("o_id", F.struct(F.col("_os"), -F.col("o_id"))).alias("lost_to"))
     out = data.join(state, [*by, "id"]).join(winner, [*by, "id"], "left").drop("_score")
@@ -290,24 +303,23 @@ def unmatched_refs(ref: DataFrame, matches: DataFrame, by: list[str]) -> DataFra
     return ref.join(found, [*by, "id"], "left").na.fill(0, ["found"])
 
 
-def match_greedy(det: DataFrame, ref: DataFrame, by: list[str], radius: float, max_rounds: int = 200) -> DataFrame:
+def match_greedy(det: DataFrame, ref: DataFrame, by: list[str], radius: float) -> DataFrame:
     """One to one, in detection order: each detection takes the nearest reference still free.
 
     Detections propose to their nearest reference and a reference keeps the earliest proposer; refused
-    pairs leave the table. Rounds end with the assignment the ordered walk gives.
+    pairs leave the table. Rounds end, for the table shrinks, with the assignment the ordered walk gives.
     """
     pairs = materialise(_candidates(det, ref, by, radius, inclusive=False), "match-pairs")
-    for _ in range(max_rounds):
+    while True:
         best = pairs.groupBy(*by, "id").agg(F.min(F.struct("dist", "ref_id")).alias("_b")).select(*by, "id", F.col("_b.ref_id").alias("ref_id"), F.col("_b.dist").alias("dist"))
         first = best.groupBy(*by, "ref_id").agg(F.min("id").alias("_owner"))
         refused = materialise(best.join(first, [*by, "ref_id"]).filter("id != _owner").select(*by, "id", "ref_id"), "match-refused")
         if refused.isEmpty():
             return best
         pairs = materialise(pairs.join(refused, [*by, "id", "ref_id"], "left_anti"), "match-pairs")
-    raise RuntimeError("matching did not settle")
 
 
-def match_by_dimensions(det: DataFrame, ref: DataFrame, by: list[str], max_rounds: int = 200) -> DataFrame:
+def match_by_dimensions(det: DataFrame, ref: DataFrame, by: list[str]) -> DataFrame:
     """One to one by |length| + |width| difference, in detection order; sides sorted first.
 
     Reference lists are catalogues of a few parcels per scene, so a detection meets its scene's list as one array.
@@ -318,13 +330,12 @@ def match_by_dimensions(det: DataFrame, ref: DataFrame, by: list[str], max_round
     d = det.select(*by, "id", big.alias("_l"), small.alias("_w"))
     pairs = materialise(d.join(lists, on).select(*by, "id", "_l", "_w", F.explode("_refs").alias("_r")).select(
         *by, "id", "_r.ref_id", (F.abs(F.col("_l") - F.col("_r.l")) + F.abs(F.col("_w") - F.col("_r.w"))).alias("cost")), "match-pairs")
-    for _ in range(max_rounds):
+    while True:
         best = pairs.groupBy(*by, "id").agg(F.min(F.struct("cost", "ref_id")).alias("_b")).select(*by, "id", F.col("_b.ref_id").alias("ref_id"), F.col("_b.cost").alias("cost"))
         refused = materialise(best.join(best.groupBy(*by, "ref_id").agg(F.min("id").alias("_owner")), [*by, "ref_id"]).filter("id != _owner").select(*by, "id", "ref_id"), "match-refused")
         if refused.isEmpty():
             return best
         pairs = materialise(pairs.join(refused, [*by, "id", "ref_id"], "left_anti"), "match-pairs")
-    raise RuntimeError("matching did not settle")
 
 
 def track_across(boxes: DataFrame, by: list[str], res: str, radius: float) -> DataFrame:
@@ -500,10 +511,8 @@ def dominant_camera(points: DataFrame, by: list[str], camera: str = "camera", sh
 
 
 def points_in_footprints(boxes: DataFrame, points: DataFrame, by: list[str], extra: list[str], max_dim: float, shrink: float = 1.0) -> DataFrame:
-    """Range join of points (``u v``) with the footprints that contain them, through cells of ``max_dim``."""
-    step = F.sequence(F.lit(-1), F.lit(1))
-    b = boxes.select(*by, "id", *RECT, *extra).withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step)).withColumn(
-        "ku", cell_floor("cu", max_dim) + F.col("_a")).withColumn("kv", cell_floor("cv", max_dim) + F.col("_b")).drop("_a", "_b")
+    """Range join of points (``u v``) with the footprints that contain them, through cells of ``max_dim``; a longer footprint takes more cells."""
+    b = _on_cells(boxes.select(*by, "id", *RECT, *extra), max_dim, shrink=shrink).drop("_ku", "_kv")
     p = points.withColumn("ku", cell_floor("u", max_dim)).withColumn("kv", cell_floor("v", max_dim))
     du, dv = F.col("u") - F.col("cu"), F.col("v") - F.col("cv")
     j = p.join(b, [*by, "ku", "kv"]).drop("ku", "kv").withColumn("lu", du * F.cos("yaw") + dv * F.sin("yaw")).withColumn("lv", dv * F.cos("yaw") - du * F.sin("yaw"))
@@ -542,7 +551,6 @@ def sight_edge_bleed(points: DataFrame, edges: DataFrame, by: list[str], tol: fl
     s, t = (f1 * g22 - f2 * g12) / det, (f2 * g11 - f1 * g12) / det
     beyond = (s > -0.08) & (t > -0.08) & (s + t > 0.85)
     tall = F.col("top") - F.col("h_self") >= min_drop
-    # one row per box and camera carries the edges of its neighbours: points are not multiplied by edges
     cols = ["ax", "ay", "az", "bx", "by_", "bz", "kx", "ky", "kz", "top"]
     lists = edges.groupBy(*by, "id", "camera").agg(F.collect_list(F.struct(*cols)).alias("_edges"))
     hit = pts.join(lists, [*by, "id", "camera"], "left")

@@ -40,6 +40,15 @@ def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a NULL key meets a NULL key; columns as after ``join(right, keys, how)``."""
+    r = right.select(*[F.col(k).alias("_r_" + k) for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_r_" + k))
+    return left.join(r, same, how).drop(*["_r_" + k for k in keys])
+
+
 def hot_groups(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys of groups above ``hot_rows``; at most rows/hot_rows of them."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
@@ -50,11 +59,11 @@ def any_hot(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> bool:
 
 
 def _bucketed(rows: DataFrame, hot: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
-    hot_rows = rows.join(hot.select(*by), by)
+    hot_rows = _beside(rows, hot.select(*by), by)
     splitters = hot_rows.groupBy(*by).agg(
         F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_sp")
     )
-    return hot_rows.join(splitters, by).withColumn(
+    return _beside(hot_rows, splitters, by).withColumn(
         "_b", F.size(F.filter("_sp", lambda s: s < F.col(value)))
     ).drop("_sp")
 
@@ -77,17 +86,15 @@ def _hot_values(rows: DataFrame, hot: DataFrame, by: list[str], ranks: dict[str,
         ).alias("_w"),
     ).select(*by, "_w.*")
     wanted = wanted.withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))))
-    located = wanted.join(filled, by).filter("_r >= _start and _r < _start + _c")
+    located = _beside(wanted, filled, by).filter("_r >= _start and _r < _start + _c")
     distinct = (
-        tagged.join(located.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
+        _beside(tagged, located.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
         .groupBy(*by, "_b", "_v")
         .agg(F.count(F.lit(1)).alias("_k"))
     )
     running = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hits = (
-        distinct.withColumn("_end", F.sum("_k").over(running))
-        .join(located, [*by, "_b"])
-        .filter("_r - _start < _end and _r - _start >= _end - _k")
+    hits = _beside(distinct.withColumn("_end", F.sum("_k").over(running)), located, [*by, "_b"]).filter(
+        "_r - _start < _end and _r - _start >= _end - _k"
     )
     weight = F.when(F.col("pos") == F.floor("pos"), 1.0).otherwise(1.0 - F.abs(F.col("pos") - F.col("_r")))
     return hits.groupBy(*by).agg(
@@ -107,7 +114,7 @@ def _order_statistics(
         return out if by else out.drop("_all")
     rows = materialise(rows, "hot-rows")
     hot = hot_groups(rows, keys, hot_rows)
-    cold = plain(rows.join(hot.select(*keys), keys, "left_anti"), keys)
+    cold = plain(_beside(rows, hot.select(*keys), keys, "left_anti"), keys)
     out = cold.unionByName(_hot_values(rows, hot, keys, ranks, buckets))
     return out if by else out.drop("_all")
 
@@ -157,7 +164,10 @@ def rank_in_group(
     hot_rows: int = HOT_ROWS,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """0-based rank by ``order`` = [(column, 'asc'|'desc'), ...]; the first column numeric or a timestamp."""
+    """0-based rank by ``order`` = [(column, 'asc'|'desc'), ...]; the first column numeric or a timestamp.
+
+    NULL comes first ascending and last descending, NaN the other way round, in groups of any size.
+    """
     src, keys = _keyed(df, by)
     lead, way = order[0]
     kind = dict(src.dtypes)[lead]
@@ -171,11 +181,17 @@ def rank_in_group(
         return out if by else out.drop("_all")
     rows = materialise(src.withColumn("_v", key), "hot-rows")
     hot = hot_groups(rows, keys, hot_rows)
-    splitters = rows.join(hot.select(*keys), keys).groupBy(*keys).agg(
-        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_sp")
+    number = F.when(~F.isnan("_v"), F.col("_v"))
+    splitters = _beside(rows, hot.select(*keys), keys).groupBy(*keys).agg(
+        F.percentile_approx(number, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_sp")
     )
-    tagged = rows.join(splitters, keys, "left").withColumn(
-        "_b", F.when(F.col("_sp").isNull(), 0).otherwise(F.size(F.filter("_sp", lambda s: s < F.col("_v"))))
+    ends = {"asc": (-1, buckets), "desc": (buckets, -1)}[way]  # buckets of NULL and NaN
+    tagged = _beside(rows, splitters, keys, "left").withColumn(
+        "_b",
+        F.when(F.col("_sp").isNull(), 0)
+        .when(F.col("_v").isNull(), ends[0])
+        .when(F.isnan("_v"), ends[1])
+        .otherwise(F.size(F.filter("_sp", lambda s: s < F.col("_v")))),
     )
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -186,8 +202,7 @@ def rank_in_group(
     )
     within = Window.partitionBy(*keys, "_b").orderBy(*ordering)
     out = (
-        tagged.drop("_sp")
-        .join(starts, [*keys, "_b"], "left")
+        _beside(tagged.drop("_sp"), starts, [*keys, "_b"], "left")
         .withColumn(name, (F.row_number().over(within) - 1 + F.coalesce("_start", F.lit(0))).cast("long"))
         .select(*cols, name)
     )
@@ -204,7 +219,7 @@ def lag_in_group(
         return df.select(*cols, (F.row_number().over(w) - 1).cast("long").alias("row_index"), F.lag(value, steps).over(w).alias(name))
     ranked = rank_in_group(df, by, order, "_rk", **kw)
     back = ranked.select(*by, (F.col("_rk") + steps).alias("_rk"), F.col(value).alias(name))
-    return ranked.join(back, [*by, "_rk"], "left").select(*cols, "_rk", name).withColumnRenamed("_rk", "row_index")
+    return _beside(ranked, back, [*by, "_rk"], "left").select(*cols, "_rk", name).withColumnRenamed("_rk", "row_index")
 
 
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, name: str = "wmedian", bins: int = BUCKETS) -> DataFrame:

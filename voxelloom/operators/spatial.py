@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,17 +152,18 @@ def unsupported_census(supported: DataFrame, by: list[str], h: str, bin_size: fl
 # --- components -------------------------------------------------------------------------------
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str], jumps: int = 2, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str], jumps: int = 2) -> DataFrame:
     """Labels ``nodes(by..., id)`` by the smallest id reachable over ``edges(by..., a, b)``.
 
     Each round orders the vertices by a fresh hash, points each at its first neighbour, shortens those
     pointers, and keeps only edges between different vertices. Hashed order keeps pointer chains short
-    on long thin shapes too, so the edge list shrinks by a factor per round until it is empty.
+    on long thin shapes too, so the edge list shrinks by a factor per round until it is empty; every round joins
+    at least two vertices of each edge list left.
     """
     both = edges.select(*by, "a", "b").union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
     both = materialise(both, "cc-edges")
     label = materialise(nodes.select(*by, "id").distinct().withColumn("root", F.col("id")), "cc-labels")
-    for turn in range(max_rounds):
+    for turn in count():
         if both.isEmpty():
             least = label.groupBy(*by, "root").agg(F.min("id").alias("label"))
             return label.join(least, [*by, "root"]).select(*by, "id", "label")
@@ -180,7 +182,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str], jump
         both = materialise(both.join(pa, [*by, "a"]).join(pb, [*by, "b"]).select(*by, F.col("pa").alias("a"), F.col("pb").alias("b")).filter("a != b").distinct(), "cc-edges")
         move = parent.select(*by, F.col("a").alias("root"), "p")
         label = materialise(label.join(move, [*by, "root"], "left").select(*by, "id", F.coalesce("p", "root").alias("root")), "cc-labels")
-    raise RuntimeError("components did not settle")
 
 
 BIG = 1 << 31

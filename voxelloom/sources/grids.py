@@ -36,9 +36,9 @@ def _files(options: dict) -> list[str]:
     return out
 
 
-def ply_header(path: str) -> tuple[str, int, list[tuple[str, str]], int]:
-    """(format, vertex count, vertex properties, byte offset of the data)."""
-    fmt, count, props, inside = "", 0, [], False
+def ply_header(path: str) -> tuple[str, int, list[tuple[str, str]], int, bool]:
+    """(format, vertex count, vertex properties, byte offset of the data, whether other elements follow)."""
+    fmt, count, props, inside, more = "", 0, [], False, False
     with open(path, "rb") as f:
         if f.readline().strip() != b"ply":
             raise ValueError(f"{path} is not a ply file")
@@ -47,15 +47,17 @@ def ply_header(path: str) -> tuple[str, int, list[tuple[str, str]], int]:
             if not words or words[0] == "comment":
                 continue
             if words[0] == "end_header":
-                return fmt, count, props, f.tell()
+                return fmt, count, props, f.tell(), more
             if words[0] == "format":
                 fmt = words[1]
             elif words[0] == "element":
                 inside = words[1] == "vertex"
                 if inside:
                     count = int(words[2])
-                elif not count:
+                elif not props:
                     raise ValueError(f"{path}: the vertex element must come first")
+                else:
+                    more = True
             elif words[0] == "property" and inside:
                 if words[1] == "list":
                     raise ValueError(f"{path}: list properties are not vertex columns")
@@ -81,7 +83,7 @@ class PlySource(DataSource):
         return "ply"
 
     def schema(self) -> T.StructType:
-        _, _, props, _ = ply_header(_files(self.options)[0])
+        _, _, props, _, _ = ply_header(_files(self.options)[0])
         return T.StructType([T.StructField("file", T.StringType()), T.StructField("pid", T.LongType()), *[T.StructField(RENAMED.get(n, n), SPARK_TYPES[k]) for n, k in props]])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
@@ -97,9 +99,10 @@ class PlyReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         for path in _files(self.options):
-            fmt, count, props, offset = ply_header(path)
+            fmt, count, props, offset, more = ply_header(path)
             if fmt == "ascii":  # lines vary in length: ranges of bytes, each owning the lines that start in it
-                size, step = os.path.getsize(path), self.rows * 32
+                size = os.path.getsize(path)
+                step = max(size - offset, 1) if more else self.rows * 32  # where faces follow, one task counts the vertices
                 parts += [Slice(path, a, min(a + step, size)) for a in range(offset, size, step)]
             else:
                 parts += [Slice(path, a, min(a + self.rows, count)) for a in range(0, count, self.rows)]
@@ -113,7 +116,7 @@ class PlyReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        fmt, count, props, offset = ply_header(partition.path)
+        fmt, count, props, offset, more = ply_header(partition.path)
         names = [RENAMED.get(n, n) for n, _ in props]
         if fmt == "ascii":
             yield from self._ascii(partition, count, names, offset)
@@ -139,12 +142,14 @@ class PlyReader(DataSourceReader):
                 f.readline()
             rows: list[list[float]] = []
             pos: list[int] = []
-            while f.tell() < part.stop:
+            seen = 0
+            while f.tell() < part.stop and seen < count:
                 at = f.tell()
                 words = f.readline().split()
                 if len(words) >= len(names):
                     rows.append([float(w) for w in words[: len(names)]])
                     pos.append(at)
+                    seen += 1
                 if len(rows) == self.BATCH:
                     m = np.asarray(rows)
                     yield self._batch(part.path, np.asarray(pos), {n: m[:, i] for i, n in enumerate(names)})
