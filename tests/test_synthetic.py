@@ -129,6 +129,25 @@ def test_the_nearest_gap_is_found_at_any_distance(spark):
     assert sorted((r["id"], r["nearest_id"], r["gap"]) for r in boxes.nearest_gap(df, ["g"], 0.05, 0.75).collect()) == [(1, 2, 29999.0), (2, 1, 29999.0)]
 
 
+def test_robust_line_covariance_equals_numpy(spark):
+    rng = np.random.default_rng(21)
+    x = rng.uniform(0, 2, 300)
+    y = 1.7 * x - 0.4 + rng.normal(0, 0.05, 300)
+    y[:30] += 3.0
+    design, w = np.column_stack([x, np.ones(300)]), np.ones(300)
+    for _ in range(20):
+        coef = np.linalg.lstsq(design * w[:, None], y * w, rcond=None)[0]
+        r = y - design @ coef
+        s = 1.4826 * np.median(np.abs(r - np.median(r)))
+        w = np.minimum(1.0, 1.345 * s / np.maximum(np.abs(r), 1e-12))
+    normal, n_eff = design.T @ (design * w[:, None] ** 2), (w**2).sum() ** 2 / (w**4).sum()
+    cov = np.linalg.inv(normal) * ((w * r) ** 2).sum() / (n_eff - 2)
+    want = [*coef, n_eff, s, cov[0, 0], cov[1, 1], cov[0, 1], np.linalg.cond(normal)]
+    for by in (["g"], []):
+        got = robust.robust_line_cov(frame(spark, g=np.zeros(300, int), x=x, y=y), by, "x", "y").first()
+        np.testing.assert_allclose([got[c] for c in ("p", "q", "n_eff", "scale", "var_p", "var_q", "cov_pq", "condition")], want, rtol=1e-6)
+
+
 def test_points_are_found_in_long_footprints(spark):
     b = footprints(spark)
     rng = np.random.default_rng(9)

@@ -124,24 +124,41 @@ def robust_regression(df: DataFrame, by: list[str], columns: list[Column], y: st
 
 
 def robust_line_cov(df: DataFrame, by: list[str], x: str, y: str, huber: float = 1.345, iters: int = 20, **kw) -> DataFrame:
-    """Huber line with covariance, effective count, condition number and weighted residual scale."""
-    fit = reweighted_fit(df, by, [F.col(x), F.lit(1.0)], F.col(y), huber_weight(huber), iters, scale="mad", floor=1e-12, **kw)
-    sxx, sx, s1 = F.col("normal")[0], F.col("normal")[1], F.col("normal")[3]
-    det = sxx * s1 - sx * sx
-    trace = sxx + s1
-    root = F.sqrt(F.greatest(trace * trace / 4 - det, F.lit(0.0)))
-    var = F.col("scale") * F.col("scale")
-    return fit.select(
+    """Huber line with covariance, effective count, condition number and residual scale.
+
+    All but the line come from the weights of its own residuals. The covariance is the inverse of the weighted normal
+    matrix times the weighted residual variance over ``n_eff`` - 2 (one at least); NULL where that matrix is singular,
+    and the condition number is infinite. A scale that vanishes is replaced by the residuals' standard deviation.
+    """
+    keys = list(by) or ["_all"]
+    src = (df if by else df.withColumn("_all", F.lit(0))).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+    fit = reweighted_fit(src, keys, [F.col("_x"), F.lit(1.0)], F.col("_y"), huber_weight(huber), iters, scale="mad", floor=1e-12, **kw)
+    line = fit.select(*keys, F.col("coef")[0].alias("p"), F.col("coef")[1].alias("q"), "n")
+    resid = materialise(src.join(line, keys).withColumn("_r", F.col("_y") - F.col("p") * F.col("_x") - F.col("q")), "line-residuals")
+    centred = resid.join(median(resid, keys, "_r", "_c", **kw).drop("n"), keys)
+    spread = median(centred, keys, F.abs(F.col("_r") - F.col("_c")), "_mad", **kw).drop("n")
+    weighed = resid.join(spread, keys).withColumn("_s", 1.4826 * F.col("_mad")).withColumn("_w", huber_weight(huber)(F.abs("_r"), F.greatest("_s", F.lit(1e-12))))
+    w2 = F.col("_w") * F.col("_w")
+    sums = weighed.groupBy(*keys, "p", "q", "n").agg(
+        F.sum(w2 * F.col("_x") * F.col("_x")).alias("sxx"), F.sum(w2 * F.col("_x")).alias("sx"), F.sum(w2).alias("s1"), F.sum(w2 * w2).alias("s2"),
+        F.sum(w2 * F.col("_r") * F.col("_r")).alias("rss"), F.max("_s").alias("_s"), F.stddev_pop("_r").alias("_sd"))
+    n_eff = F.col("s1") * F.col("s1") / F.greatest("s2", F.lit(1e-12))
+    var = F.col("rss") / F.greatest(n_eff - 2, F.lit(1.0))
+    det = F.col("sxx") * F.col("s1") - F.col("sx") * F.col("sx")
+    half = (F.col("sxx") + F.col("s1")) / 2
+    high = half + F.sqrt(F.greatest(half * half - det, F.lit(0.0)))
+    sound = det > 0
+    return sums.select(
         *by,
-        F.col("coef")[0].alias("p"),
-        F.col("coef")[1].alias("q"),
+        "p",
+        "q",
         "n",
-        (F.col("sum_w") * F.col("sum_w") / F.col("sum_w2")).alias("n_eff"),
-        "scale",
-        (var * s1 / det).alias("var_p"),
-        (var * sxx / det).alias("var_q"),
-        (-var * sx / det).alias("cov_pq"),
-        F.sqrt((trace / 2 + root) / F.greatest(trace / 2 - root, F.lit(1e-300))).alias("condition"),
+        n_eff.alias("n_eff"),
+        F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(F.col("_sd") + 1e-12).alias("scale"),
+        F.when(sound, var * F.col("s1") / det).alias("var_p"),
+        F.when(sound, var * F.col("sxx") / det).alias("var_q"),
+        F.when(sound, -var * F.col("sx") / det).alias("cov_pq"),
+        F.when(sound, high * high / det).otherwise(float("inf")).alias("condition"),
     )
 
 

@@ -166,11 +166,17 @@ def classify_layering(below: Column, bias_spread: Column, pair_median: Column, a
     return F.when(F.size(actions) > 0, actions).otherwise(F.array(F.lit("none dominates")))
 
 
-def classify_surface(rms: Column, skew: Column, peak: Column, pitch: Column, relief: Column, fill: Column, min_relief: float = 0.006, min_peak: float = 0.30,
-                     max_rms: float = 0.004, max_skew: float = 0.8, min_fill: float = 0.6) -> Column:
-    """Granular, planar, film or rough, tested in that order."""
+def classify_surface(rms: Column, skew: Column, peak: Column, pitch: Column, relief: Column, fill: Column, min_relief: float = 0.025, min_peak: float = 0.40,
+                     pitches: tuple[float, float] = (0.045, 0.250), min_skew: float = 0.50, max_rms: float = 0.006, min_fill: float = 0.60, max_relief: float = 0.080) -> Column:
+    """Granular, planar, film or rough, tested in that order.
+
+    Granular tops repeat at a pitch within ``pitches`` and stand out on one side of their mean; planar ones are smooth
+    and densely filled; film stays within ``max_relief``. A skew that is NULL or NaN counts as none.
+    """
+    lean = F.abs(F.coalesce(F.nanvl(skew, F.lit(0.0)), F.lit(0.0)))
+    repeats = (peak >= min_peak) & pitch.between(*pitches)
     return (
-        F.when((peak >= min_peak) & (relief >= min_relief) & (pitch > 0), "granular")
-        .when((rms <= max_rms) & (F.abs(skew) <= max_skew), "planar")
-        .when((F.abs(skew) > max_skew) & (fill >= min_fill), "film")
+        F.when(repeats & (relief >= min_relief) & (lean >= min_skew), "granular")
+        .when((rms <= max_rms) & (fill >= min_fill), "planar")
+        .when(relief <= max_relief, "film")
         .otherwise("rough"))

@@ -298,7 +298,7 @@ def robust_regression(t):
 
 @query("robust_line_cov")
 def robust_line_cov(t):
-    return rounded(robust.robust_line_cov(compared(t), BY, "h_gt", "h_recon", iters=6), 6, "p", "q", "n_eff", "scale", "var_p", "var_q", "cov_pq", "condition")
+    return rounded(robust.robust_line_cov(compared(t), BY, "h_gt", "h_recon"), 6, "p", "q", "n_eff", "scale", "var_p", "var_q", "cov_pq", "condition")
 
 
 @query("soft_scale_shift")

@@ -398,12 +398,15 @@ def recover_unclaimed(t):
     return rounded(boxes.recover_unclaimed(pts, claimed, ["capture"], 0.5, 0.9, 2), 8, "top", "fill")
 
 
-@query("classify_surface", f"""WITH {CLOUD}, s AS (SELECT capture, stddev_pop(h) AS rms, avg(pow((h - m) / sd, 3)) AS skew, count(*) AS n FROM (SELECT capture, h, avg(h) OVER (PARTITION BY capture) AS m, stddev_pop(h) OVER (PARTITION BY capture) AS sd FROM cloud) GROUP BY capture)
-  SELECT CASE WHEN rms <= 25 AND abs(skew) <= 0.05 THEN 'planar' WHEN abs(skew) > 0.05 THEN 'film' ELSE 'rough' END AS surface, count(*) AS n FROM s GROUP BY ALL""")
+@query("classify_surface", f"""WITH {CLOUD}, d AS (SELECT l_orderkey, h, avg(h) OVER w AS m, stddev_pop(h) OVER w AS sd FROM cloud WINDOW w AS (PARTITION BY l_orderkey)),
+  s AS (SELECT l_orderkey, max(sd) AS rms, avg(CASE WHEN sd > 1e-9 THEN pow((h - m) / sd, 3) ELSE 0 END) AS skew, max(h) - min(h) AS relief, count(*) AS n, (max(h) - avg(h)) / (max(h) - min(h) + 1) AS peak FROM d GROUP BY l_orderkey)
+  SELECT l_orderkey, CASE WHEN peak >= 0.45 AND relief / n BETWEEN 5 AND 15 AND relief >= 40 AND abs(skew) >= 0.3 THEN 'granular' WHEN rms <= 15 AND n / 7.0 >= 0.4 THEN 'planar' WHEN relief <= 60 THEN 'film' ELSE 'rough' END AS surface FROM s""")
 def classify_surface(t):
-    s = t.cloud().groupBy("capture").agg(F.stddev_pop("h").alias("rms"), F.skewness("h").alias("skew"))
-    c = runs.classify_surface(F.col("rms"), F.col("skew"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), max_rms=25.0, max_skew=0.05)
-    return s.groupBy(c.alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+    height = F.max("h") - F.min("h")
+    s = t.cloud().groupBy("l_orderkey").agg(F.stddev_pop("h").alias("rms"), F.skewness("h").alias("skew"), height.alias("relief"), F.count("*").alias("n"), ((F.max("h") - F.avg("h")) / (height + 1)).alias("peak"))
+    c = runs.classify_surface(F.col("rms"), F.col("skew"), F.col("peak"), F.col("relief") / F.col("n"), F.col("relief"), F.col("n") / 7.0,
+                              min_relief=40.0, min_peak=0.45, pitches=(5.0, 15.0), min_skew=0.3, max_rms=15.0, min_fill=0.4, max_relief=60.0)
+    return s.select("l_orderkey", c.alias("surface"))
 
 
 # --- calibration data ---------------------------------------------------------------------------
