@@ -357,3 +357,37 @@ def test_results_do_not_depend_on_partitioning(spark, parts):
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("pid"), (F.col("id") * 7919 % 1000 / 1000).alias("u"), (F.col("id") * 104729 % 1000 / 1000).alias("v"), F.sin("id").alias("h")).repartition(parts)
     r = rasters.height_raster(df, ["g"], 0.1, 0.5, 0.5, 0.05).agg(F.round(F.sum("h"), 9).alias("s"), F.count(F.lit(1)).alias("n")).first()
     assert r["n"] == test_results_do_not_depend_on_partitioning.__dict__.setdefault("n", r["n"]) and r["s"] == test_results_do_not_depend_on_partitioning.__dict__.setdefault("s", r["s"])
+
+
+def test_levels_take_what_lies_inside_their_rectangle(spark):
+    rng = np.random.default_rng(4)
+
+    def slab(x0, z, n):
+        return [(1, x0 + 0.4 * a, 0.3 * b, z) for a, b in rng.random((n, 2)).tolist()]
+
+    hidden = [(1, 0.1 + 0.2 * a, 0.1 + 0.1 * b, 0.15) for a, b in rng.random((60, 2)).tolist()]
+    rows = slab(0.0, 0.30, 600) + hidden + slab(0.6, 0.285, 500) + slab(1.2, 0.15, 400)
+    p = spark.createDataFrame(rows, "c int, x double, y double, z double").withColumn("pid", F.monotonically_increasing_id())
+    got = boxes.peel_levels(p, ["c"], 2, 0.02, 150, band=0.01, tol=0.004, pct=0.9).orderBy("attempt").collect()
+    assert [r["level"] for r in got] == [0, None, 1] and got[1]["reason"].startswith("same surface")
+    assert [round(r["height"], 3) for r in got] == [0.3, 0.285, 0.15]
+    assert got[0]["n_points"] >= 650 and got[2]["n_points"] <= 400  # what the first face hides is its own
+    assert abs(got[0]["length"] - 0.4) < 0.02 and abs(got[0]["width"] - 0.3) < 0.02
+
+
+def test_suction_site_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    h = {(i, j): float(rng.random()) for i in range(12) for j in range(9) if rng.random() < 0.9}
+    got = spatial.suction_site(spark.createDataFrame([(0, i, j, z) for (i, j), z in h.items()], "c int, iu long, iv long, h double"), ["c"], "h", 1, 0.2, 0.01).first()
+    mean = {k: np.mean([h[a, b] for a in range(k[0] - 1, k[0] + 2) for b in range(k[1] - 1, k[1] + 2) if (a, b) in h]) for k in h}
+    cu, cv = np.mean([k[0] for k in h]), np.mean([k[1] for k in h])
+    disc = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+    best, flat = None, 0
+    for i, j in h:
+        near = [mean[i + a, j + b] for a, b in disc if (i + a, j + b) in h]
+        if len(near) / len(disc) > 0.9:
+            span = max(near) - min(near)
+            flat += span <= 0.2
+            one = (span + 0.02 * math.hypot(i - cu, j - cv) * 0.01, j, i)
+            best = one if best is None or one < best else best
+    assert (got["iu"], got["iv"]) == (best[2], best[1]) and got["score"] == pytest.approx(best[0]) and got["flat_fraction"] == pytest.approx(flat / len(h))

@@ -620,22 +620,56 @@ def artefact_screen(boxes: DataFrame, max_see_through: float, max_bleed: float,
         .when(F.col("height") / F.greatest(F.col("noise"), F.lit(1e-9)) < min_sigma, "height within noise"))
 
 
-def peel_levels(points: DataFrame, by: list[str], max_levels: int, level_gap: float, min_points: int, **kw) -> DataFrame:
-    """Top faces of a cluster from the top down: each level drops the points at or above the last face.
-
-    Levels closer than ``level_gap`` to the one above are not new levels.
+def peel_levels(
+    points: DataFrame, by: list[str], max_levels: int, level_gap: float, min_points: int, band: float = 0.030, tol: float = 0.006, pct: float = 0.97,
+    res: float = 0.02, shape: dict | None = None, pid: str = "pid", **kw
+) -> DataFrame:
+    """Top faces of a cluster from the top down, one row per attempt: its rectangle, points, level and reason.
+
+    A fitted face takes the points inside its rectangle (in the plane, widened by twice ``tol``) up to three ``tol`` above
+    its centre; points beside it stay, so that a neighbour of equal height has its own turn. Without a face the band
+    under the percentile height goes. ``level`` counts accepted faces and is NULL where ``reason`` says why an attempt
+    is none: its shape (options ``shape`` of ``parcel_shape``), a drop below ``level_gap`` from the level before, or
+    too few points. Each group has up to ``max_levels`` levels from at most twice as many attempts.
     """
-    left, faces = materialise(points, "levels"), None
-    for level in range(max_levels):
-        face = materialise(top_face(left, by, min_points=min_points, **kw).withColumn("level", F.lit(level).cast("long")), "level")
-        if faces is not None:
-            above = faces.groupBy(*by).agg(F.min("top").alias("_above"))
-            face = face.join(above, by).filter(F.col("_above") - F.col("top") >= level_gap).drop("_above")
-        faces = face if faces is None else faces.unionByName(face)
-        left = materialise(left.join(face.select(*by, F.col("top").alias("_t")), by).filter(F.col("z") < F.col("_t") - level_gap).select(*points.columns), "levels")
-        if left.isEmpty():
+    from voxelloom.operators.filters import parcel_shape
+
+    flat = F.sqrt(1 - F.col("nx") * F.col("nx"))
+    across = (F.lit(0.0), F.col("nz") / flat, -F.col("ny") / flat)  # n x (1, 0, 0), of length 1
+    along = tuple(c / flat for c in (1 - F.col("nx") * F.col("nx"), -F.col("nx") * F.col("ny"), -F.col("nx") * F.col("nz")))
+    in_plane = [x[0] * F.col("x") + x[1] * F.col("y") + x[2] * F.col("z") for x in (along, across)]
+
+    left = materialise(points, "levels")
+    state = materialise(points.select(*by).distinct().withColumn("_levels", F.lit(0).cast("long")).withColumn("_last", F.lit(None).cast("double")), "level-state")
+    out = None
+    for attempt in range(2 * max_levels):
+        ready = left.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points).join(state.filter(F.col("_levels") < max_levels), by)
+        now = materialise(left.join(ready.select(*by), by, "left_semi"), "levels")
+        if now.isEmpty():
             break
-    return faces
+        top = quantiles(now, by, "z", {"_top": pct}).drop("n")
+        face = materialise(top_face(now, by, pct=pct, band=band, tol=tol, min_points=min_points, pid=pid, **kw), "level")
+        seen = now.join(face.select(*by, "nx", "ny", "nz", "d"), by).join(top, by).filter(F.abs(F.col("z") - F.col("_top")) <= band)
+        inside = seen.filter(F.abs(signed_distance()) <= tol).select(*by, in_plane[0].alias("_a"), in_plane[1].alias("_b"))
+        rect = min_area_rect(inside, by, res, x="_a", y="_b").select(*by, "cu", "cv", "length", "width", "yaw")
+        centre = F.col("cu") * along[2] + F.col("cv") * across[2] - F.col("d") * F.col("nz")
+        found = materialise(face.join(rect, by).withColumn("height", centre), "level")
+        judged = now.join(found.select(*by, "nx", "ny", "nz", "d", "cu", "cv", "length", "width", "yaw", "height"), by, "left").join(top, by, "left")
+        du, dv = in_plane[0] - F.col("cu"), in_plane[1] - F.col("cv")
+        own = ((F.abs(du * F.cos("yaw") + dv * F.sin("yaw")) <= F.col("length") / 2 + 2 * tol)
+               & (F.abs(dv * F.cos("yaw") - du * F.sin("yaw")) <= F.col("width") / 2 + 2 * tol) & (F.col("z") <= F.col("height") + 3 * tol))
+        gone = F.coalesce(F.when(F.col("height").isNull(), F.col("z") >= F.col("_top") - band).otherwise(own), F.lit(True))
+        marked = materialise(judged.select(*points.columns, gone.alias("_gone")), "levels")
+        taken = marked.groupBy(*by).agg(F.count_if("_gone").alias("n_points"))
+        near = F.col("_last") - F.col("height") < level_gap
+        reason = F.coalesce(parcel_shape(F.col("length"), F.col("width"), **(shape or {})), F.when(near, "same surface as the level before"), F.when(F.col("n_points") < min_points, "too few points"))
+        tried = found.join(taken, by).join(state, by).withColumn("reason", reason).withColumn("attempt", F.lit(attempt).cast("long"))
+        tried = materialise(tried.withColumn("level", F.when(F.col("reason").isNull(), F.col("_levels"))).drop("_levels", "_last"), "level")
+        out = tried if out is None else out.unionByName(tried)
+        new = tried.filter("reason is null").select(*by, F.col("height").alias("_h"))
+        state = materialise(state.join(new, by, "left").select(*by, (F.col("_levels") + F.col("_h").isNotNull().cast("long")).alias("_levels"), F.coalesce("_h", "_last").alias("_last")), "level-state")
+        left = marked.filter("not _gone").select(*points.columns)
+    return out
 
 
 # --- parcels of a reference raster ----------------------------------------------------------------

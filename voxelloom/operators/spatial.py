@@ -355,18 +355,22 @@ def local_maxima(cells: DataFrame, by: list[str], value: str, reach: int) -> Dat
     return cells.join(beaten.select(*by, "iu", "iv").distinct(), [*by, "iu", "iv"], "left_anti")
 
 
-def suction_site(cells: DataFrame, by: list[str], value: str, radius: int, tolerance: float, cell: float, min_coverage: float = 0.9) -> DataFrame:
-    """Flattest disc per group: enough of it occupied, height range within tolerance, lowest range + 0.02 * distance to the centre."""
+def suction_site(cells: DataFrame, by: list[str], value: str, radius: int, tolerance: float, cell: float, min_coverage: float = 0.9, smooth: int = 1, max_range: float = 1.0) -> DataFrame:
+    """Best disc per group on heights averaged over ``smooth`` cells each way: the least range + 0.02 * distance to the centre.
+
+    Any disc that is covered and spans less than ``max_range`` may win; ``tolerance`` is only for flat_fraction, the share
+    of cells with a disc as flat as that. A group without such a disc has null places. Equal scores go by iv, then iu.
+    """
     disc = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
     step = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("du"), F.lit(b).cast("long").alias("dv")) for a, b in disc]))
-    here = cells.select(*by, "iu", "iv", F.col(value).alias("_v"))
-    centre = here.groupBy(*by).agg(F.avg("iu").alias("_cu"), F.avg("iv").alias("_cv"))
+    here = smooth_cells(cells.select(*by, "iu", "iv", value), by, value, smooth).select(*by, "iu", "iv", F.col("smooth").alias("_v"))
+    centre = cells.groupBy(*by).agg(F.avg("iu").alias("_cu"), F.avg("iv").alias("_cv"))
+    # the cell itself comes with step (0, 0): places that only neighbours reach are no cells
     stats = here.withColumn("_o", step).groupBy(*by, (F.col("iu") + F.col("_o.du")).alias("iu"), (F.col("iv") + F.col("_o.dv")).alias("iv")).agg(
-        (F.count(F.lit(1)) / len(disc)).alias("coverage"), (F.max("_v") - F.min("_v")).alias("range"))
-    stats = stats.join(here.select(*by, "iu", "iv"), [*by, "iu", "iv"], "left_semi").join(centre, by)
+        (F.count(F.lit(1)) / len(disc)).alias("coverage"), (F.max("_v") - F.min("_v")).alias("range"), F.bool_or((F.col("_o.du") == 0) & (F.col("_o.dv") == 0)).alias("_cell"))
+    stats = stats.filter("_cell").join(centre, by)
     dist = F.hypot(F.col("iu") - F.col("_cu"), F.col("iv") - F.col("_cv")) * cell
-    flat = (F.col("coverage") > min_coverage) & (F.col("range") <= tolerance)
-    scored = stats.withColumn("_ok", flat).withColumn("score", F.col("range") + 0.02 * dist)
+    scored = stats.withColumn("_ok", (F.col("coverage") > min_coverage) & (F.col("range") < max_range)).withColumn("score", F.col("range") + 0.02 * dist)
     return scored.groupBy(*by).agg(
-        F.min_by(F.struct("iu", "iv", "range", "score"), F.when(F.col("_ok"), F.struct("score", "iu", "iv"))).alias("_s"), (F.count_if("_ok") / F.count(F.lit(1))).alias("flat_fraction")
-    ).select(*by, "_s.*", "flat_fraction")
+        F.min_by(F.struct("iu", "iv", "range", "score"), F.when(F.col("_ok"), F.struct("score", "iv", "iu"))).alias("_s"),
+        (F.count_if(F.col("_ok") & (F.col("range") <= tolerance)) / F.count(F.lit(1))).alias("flat_fraction")).select(*by, "_s.*", "flat_fraction")

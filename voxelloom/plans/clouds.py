@@ -303,7 +303,7 @@ def robust_line_cov(t):
 
 @query("soft_scale_shift")
 def soft_scale_shift(t):
-    return rounded(robust.soft_scale_shift(compared(t), BY, "h_gt", "h_recon", iters=5), 6, "scale", "shift")
+    return rounded(robust.soft_scale_shift(compared(t), BY, "h_gt", "h_recon"), 6, "scale", "shift")
 
 
 TRIM = f"""{VERSUS}, d AS (SELECT run_id, camera, h_gt AS x, h_recon AS y FROM joined),
@@ -349,7 +349,7 @@ def holdout_fit_ols(t):
 @query("holdout_fit")
 def holdout_fit(t):
     j = compared(t).select(*BY, F.col("iu").alias("u"), F.col("iv").alias("v"), F.col("h_gt").alias("h"), F.col("deficit").alias("d"))
-    return rounded(robust.holdout_fit(j, BY, "across", iters=4), 6, "rms")
+    return rounded(robust.holdout_fit(j, BY, "across"), 6, "rms")
 
 
 @query("diff_runs", f"""WITH {CLOUD}, a AS (SELECT camera, count(*) AS points_a, median(h) FILTER (abs(h) <= 30) AS deck_a, median(h) FILTER (h > 50) AS above_a FROM cloud WHERE run_id = 'F' GROUP BY camera),

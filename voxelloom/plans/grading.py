@@ -60,7 +60,7 @@ def grade_run(t):
 @query("view_audit")
 def view_audit(t):
     p = t.points3().withColumn("rig", F.floor(F.col("camera") / 5))
-    fused = planes.plane_ransac(p, ["rig"], 0.1, 16, refits=1).select("rig", "nx", "ny", "nz", "d")
+    fused = planes.plane_ransac(p, ["rig"], 0.1).select("rig", "nx", "ny", "nz", "d")
     a = planes.view_audit(materialise(p.join(fused, "rig"), "audited"), ["rig"], "camera", 0.15, 0.2, 5)
     return rounded(a, 6, "below_fraction", "offset", "deck_rms", "tilt_deg", "warp_rms", "warp_p95", "above_offset", "spread")
 
@@ -105,7 +105,7 @@ def parcel_table(t):
 def belt_footprint(t):
     from voxelloom.operators.parcels import belt_footprint as belt
 
-    return rounded(belt(t.cloud().filter("abs(h - 40) < 10"), ["run_id"], 1.0, 1, 3.0), 6, "cu", "cv", "length", "width", "yaw", "coverage")
+    return rounded(belt(t.cloud().filter("abs(h - 40) < 10"), ["run_id"], 1.0, 1), 6, "cu", "cv", "length", "width", "yaw", "coverage")
 
 
 @query("per_view_faces")
@@ -114,11 +114,11 @@ def per_view_faces(t):
 
     p = t.cloud().select("run_id", "camera", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("pid"), (F.col("u") / 25).alias("x"), (F.col("v") / 5).alias("y"), (F.col("h") / 100).alias("z"))
     centres = t.cloud().select("camera").distinct().select("camera", F.lit(2.0).alias("kx"), F.lit(0.5).alias("ky"), F.lit(3.0).alias("kz"))
-    f, _ = faces(p, centres, ["run_id"], 20, 0.04, 0.05, tol=0.02, band=0.05, trials=16)
+    f, _ = faces(p, centres, ["run_id"], 20, 0.04, 0.05, tol=0.02, band=0.05)
     return rounded(f.select("run_id", "camera", "inliers", "offset", "incidence", "comb", "weight"), 6, "offset", "incidence", "comb", "weight")
 
 
 @query("identify_deck")
 def identify_deck(t):
-    p = planes.peel_planes(t.points3(), ["camera"], 2, 0.08, 0.05, trials=16, refits=1)[0]
+    p = planes.peel_planes(t.points3(), ["camera"], 2, 0.08, 0.05)[0]
     return rounded(planes.identify_deck(p, ["camera"], (0.0, 0.5)), 6, "nx", "ny", "nz", "d", "fraction")

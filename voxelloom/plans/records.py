@@ -212,13 +212,13 @@ def rect_corners(t):
     return rounded(out, 8, "x0", "y0", "x2", "y2", "pre_pick")
 
 
-MATCH = f"""{BOXES}, det AS (SELECT capture, id, cu + 0.02 AS x, cv - 0.03 AS y FROM boxes WHERE id % 2 = 0), ref AS (SELECT capture, id, cu AS x, cv + (id % 11) / 100 AS y FROM boxes WHERE id % 3 = 0)"""
+MATCH = f"""{BOXES}, det AS (SELECT capture, id, cu + 0.02 AS x, cv - 0.03 AS y FROM boxes), ref AS (SELECT capture, id, cu AS x, cv + (id % 11) / 100 AS y FROM boxes)"""
 
 
 def detections(t: Tables):
     b = t.boxes()
-    det = b.filter("id % 2 = 0").select("capture", "id", (F.col("cu") + 0.02).alias("x"), (F.col("cv") - 0.03).alias("y"), "length", "width", "top")
-    ref = b.filter("id % 3 = 0").select("capture", "id", F.col("cu").alias("x"), (F.col("cv") + F.col("id") % 11 / 100).alias("y"), "length", "width", "top")
+    det = b.select("capture", "id", (F.col("cu") + 0.02).alias("x"), (F.col("cv") - 0.03).alias("y"), "length", "width", "top")
+    ref = b.select("capture", "id", F.col("cu").alias("x"), (F.col("cv") + F.col("id") % 11 / 100).alias("y"), "length", "width", "top")
     return det, ref
 
 
@@ -249,7 +249,8 @@ def match_greedy(t):
 @query("match_by_dimensions")
 def match_by_dimensions(t):
     det, ref = detections(t)
-    small = ref.filter(F.col("id") % 60 == 0)
+    kind = F.round("length", 1)  # the catalogue: one entry for each length to a decimetre, averaged over all rows
+    small = ref.groupBy("capture", kind.alias("kind")).agg(F.min("id").alias("id"), F.avg("length").alias("length"), F.avg("width").alias("width"))
     return rounded(boxes.match_by_dimensions(det.withColumn("scene", F.col("capture")), small.withColumn("scene", F.col("capture")), ["scene"]), 8, "cost")
 
 
@@ -347,7 +348,7 @@ def pca_extent(t):
 
 @query("min_area_rect")
 def min_area_rect(t):
-    return rounded(boxes.min_area_rect(belt_points(t), ["capture"], 0.05, 3.0), 6, "cu", "cv", "length", "width", "yaw", "coverage")
+    return rounded(boxes.min_area_rect(belt_points(t), ["capture"], 0.05), 6, "cu", "cv", "length", "width", "yaw", "coverage")
 
 
 @query("comb_fraction", f"""WITH {ON_BOX} , e AS (SELECT capture, count(*) AS n, min(u) AS u0, max(u) - min(u) AS us, greatest(4, floor((max(u) - min(u)) / 0.05)) AS ub, min(v) AS v0, max(v) - min(v) AS vs, greatest(4, floor((max(v) - min(v)) / 0.05)) AS vb FROM pt GROUP BY capture)
@@ -373,15 +374,15 @@ def view_consensus(t):
 @query("top_face")
 def top_face(t):
     p = belt_points(t).select("capture", "pid", F.col("u").alias("x"), F.col("v").alias("y"), F.col("h").alias("z"))
-    f = boxes.top_face(p, ["capture"], band=0.02, tol=0.01, trials=16, min_points=3)
+    f = boxes.top_face(p, ["capture"], band=0.02, tol=0.01, min_points=3)
     return rounded(f.select("capture", "inliers", "top", "residual_rms", "residual_p95", "tilt_deg", "inlier_fraction"), 6, "top", "residual_rms", "residual_p95", "tilt_deg", "inlier_fraction")
 
 
 @query("peel_levels")
 def peel_levels(t):
     p = belt_points(t).select("capture", "pid", F.col("u").alias("x"), F.col("v").alias("y"), F.col("h").alias("z"))
-    f = boxes.peel_levels(p, ["capture"], 2, 0.02, 3, band=0.02, tol=0.01, trials=8)
-    return rounded(f.select("capture", "level", "inliers", "top"), 6, "top")
+    f = boxes.peel_levels(p, ["capture"], 2, 0.02, 3, band=0.02, tol=0.01, shape={"max_dim": 25.0, "max_aspect": 30.0})
+    return rounded(f.select("capture", "attempt", "level", "reason", "inliers", "n_points", "height", "length", "width"), 5, "height", "length", "width")
 
 
 @query("extract_parcels")

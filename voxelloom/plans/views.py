@@ -74,10 +74,10 @@ def camera_baselines(t):
     return rounded(b, 8, "baseline", "lateral", "axial")
 
 
-@query("rotation_angles", f"""WITH {CAMS} SELECT camera, round(degrees(acos(greatest(-1, least(1, (2 * co + 1 - 1) / 2)))), 6) AS angle_deg, round(degrees(atan2(-si, co)), 6) AS roll_deg FROM cams WHERE camera > 0""")
+@query("rotation_angles", f"""WITH {CAMS} SELECT camera, round(degrees(acos(greatest(-1, least(1, (2 * co + 1 - 1) / 2)))), 6) AS angle_deg, round(degrees(atan2(-si, co)), 6) AS roll_deg FROM cams""")
 def rotation_angles(t):
     eye = F.array(*[F.lit(1.0 if i in (0, 4, 8) else 0.0) for i in range(9)])
-    return rounded(t.cameras().filter("camera > 0").select("camera", g.rotation_angle_deg(F.col("R"), eye).alias("angle_deg"), g.roll_deg(F.col("R")).alias("roll_deg")), 6, "angle_deg", "roll_deg")
+    return rounded(t.cameras().select("camera", g.rotation_angle_deg(F.col("R"), eye).alias("angle_deg"), g.roll_deg(F.col("R")).alias("roll_deg")), 6, "angle_deg", "roll_deg")
 
 
 @query("pose_columns", f"""WITH {CAMS} SELECT camera, round(cos(0.05 * camera), 6) AS qw, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, round(sin(0.05 * camera), 6) AS qz, round(degrees(0.1 * camera), 6) AS yaw_deg FROM cams""")
@@ -251,17 +251,17 @@ def plane_fit_residuals(t):
 
 @query("plane_fit_tukey")
 def plane_fit_tukey(t):
-    return rounded(planes.plane_fit_tukey(t.points3(), ["camera"], 3).select("camera", "n", "nx", "ny", "nz", "d"), 6, "nx", "ny", "nz", "d")
+    return rounded(planes.plane_fit_tukey(t.points3(), ["camera"]).select("camera", "n", "nx", "ny", "nz", "d"), 6, "nx", "ny", "nz", "d")
 
 
 @query("plane_ransac")
 def plane_ransac(t):
-    return rounded(planes.plane_ransac(t.points3(), ["camera"], 0.05, 24, refits=1), 6, "nx", "ny", "nz", "d")
+    return rounded(planes.plane_ransac(t.points3(), ["camera"], 0.05), 6, "nx", "ny", "nz", "d")
 
 
 @query("peel_planes")
 def peel_planes(t):
-    return rounded(planes.peel_planes(t.points3(), ["camera"], 2, 0.05, 0.05, trials=16, refits=1)[0], 6, "nx", "ny", "nz", "d", "fraction")
+    return rounded(planes.peel_planes(t.points3(), ["camera"], 2, 0.05, 0.05)[0], 6, "nx", "ny", "nz", "d", "fraction")
 
 
 @query("assign_plane", f"""WITH {POINTS3}, pl AS (SELECT DISTINCT camera, k AS plane_id, -0.1 * k - 0.01 * camera AS d FROM pts, (SELECT unnest([0, 1, 2]) AS k)), r AS (SELECT pid, pts.camera, plane_id, z + d AS r FROM pts JOIN pl USING (camera)),
@@ -287,36 +287,38 @@ def camera_conditioning(t):
     return rounded(planes.camera_conditioning(centres, ["rig"]), 6, "conditioning")
 
 
-CC = f"""{CLOUD}, cells AS (SELECT DISTINCT camera, CAST(floor(u / 2) AS BIGINT) AS iu, CAST(floor(v) AS BIGINT) AS iv FROM cloud WHERE h > 88)"""
+CC = f"""{CLOUD}, cells AS (SELECT DISTINCT camera, CAST(floor(h / 12) AS BIGINT) AS layer, CAST(floor(u / 2) AS BIGINT) AS iu, CAST(floor(v) AS BIGINT) AS iv FROM cloud)"""
+LAYER = ["camera", "layer"]
 
 
-@query("connected_components", f"""WITH RECURSIVE {CC}, e AS (SELECT a.camera, a.iu, a.iv, b.iu AS ju, b.iv AS jv FROM cells a JOIN cells b ON a.camera = b.camera AND abs(a.iu - b.iu) <= 1 AND abs(a.iv - b.iv) <= 1),
-  reach AS (SELECT camera, iu, iv, iu AS ju, iv AS jv FROM cells UNION SELECT r.camera, r.iu, r.iv, e.ju, e.jv FROM reach r JOIN e ON e.camera = r.camera AND e.iu = r.ju AND e.iv = r.jv)
-  SELECT camera, iu, iv, min(ju * 2147483648 + jv + 1073741824) AS label FROM reach GROUP BY camera, iu, iv""")
+def layer_cells(t: Tables):
+    """Occupied cells of each camera in layers of 12 units of height."""
+    return t.cloud().select("camera", rasters.cell_floor("h", 12.0).alias("layer"), rasters.cell_floor("u", 2.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).distinct()
+
+
+@query("connected_components", f"""WITH RECURSIVE {CC}, e AS (SELECT a.camera, a.layer, a.iu, a.iv, b.iu AS ju, b.iv AS jv FROM cells a JOIN cells b ON a.camera = b.camera AND a.layer = b.layer AND abs(a.iu - b.iu) <= 1 AND abs(a.iv - b.iv) <= 1),
+  reach AS (SELECT camera, layer, iu, iv, iu AS ju, iv AS jv FROM cells UNION SELECT r.camera, r.layer, r.iu, r.iv, e.ju, e.jv FROM reach r JOIN e ON e.camera = r.camera AND e.layer = r.layer AND e.iu = r.ju AND e.iv = r.jv)
+  SELECT camera, layer, iu, iv, min(ju * 2147483648 + jv + 1073741824) AS label FROM reach GROUP BY camera, layer, iu, iv""")
 def connected_components(t):
-    cells = t.cloud().filter("h > 88").select("camera", rasters.cell_floor("u", 2.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).distinct()
-    return spatial.label_cells(cells, ["camera"])
+    return spatial.label_cells(layer_cells(t), LAYER)
 
 
-@query("component_stats", f"""WITH RECURSIVE {CC}, e AS (SELECT a.camera, a.iu, a.iv, b.iu AS ju, b.iv AS jv FROM cells a JOIN cells b ON a.camera = b.camera AND abs(a.iu - b.iu) + abs(a.iv - b.iv) <= 1),
-  reach AS (SELECT camera, iu, iv, iu AS ju, iv AS jv FROM cells UNION SELECT r.camera, r.iu, r.iv, e.ju, e.jv FROM reach r JOIN e ON e.camera = r.camera AND e.iu = r.ju AND e.iv = r.jv), l AS (SELECT camera, iu, iv, min(ju * 2147483648 + jv + 1073741824) AS label FROM reach GROUP BY camera, iu, iv)
-  SELECT camera, label, count(*) AS cells, count(*) * 2.0 * 2.0 AS area, min(iu) AS iu_min, max(iu) AS iu_max, min(iv) AS iv_min, max(iv) AS iv_max, round(count(*) / ((max(iu) - min(iu) + 1) * (max(iv) - min(iv) + 1)), 8) AS fill FROM l GROUP BY camera, label""")
+@query("component_stats", f"""WITH RECURSIVE {CC}, e AS (SELECT a.camera, a.layer, a.iu, a.iv, b.iu AS ju, b.iv AS jv FROM cells a JOIN cells b ON a.camera = b.camera AND a.layer = b.layer AND abs(a.iu - b.iu) + abs(a.iv - b.iv) <= 1),
+  reach AS (SELECT camera, layer, iu, iv, iu AS ju, iv AS jv FROM cells UNION SELECT r.camera, r.layer, r.iu, r.iv, e.ju, e.jv FROM reach r JOIN e ON e.camera = r.camera AND e.layer = r.layer AND e.iu = r.ju AND e.iv = r.jv), l AS (SELECT camera, layer, iu, iv, min(ju * 2147483648 + jv + 1073741824) AS label FROM reach GROUP BY camera, layer, iu, iv)
+  SELECT camera, layer, label, count(*) AS cells, count(*) * 2.0 * 2.0 AS area, min(iu) AS iu_min, max(iu) AS iu_max, min(iv) AS iv_min, max(iv) AS iv_max, round(count(*) / ((max(iu) - min(iu) + 1) * (max(iv) - min(iv) + 1)), 8) AS fill FROM l GROUP BY camera, layer, label""")
 def component_stats(t):
-    cells = t.cloud().filter("h > 88").select("camera", rasters.cell_floor("u", 2.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).distinct()
-    return rounded(spatial.component_stats(spatial.label_cells(cells, ["camera"], conn=4), ["camera"], 2.0), 8, "fill")
+    return rounded(spatial.component_stats(spatial.label_cells(layer_cells(t), LAYER, conn=4), LAYER, 2.0), 8, "fill")
 
 
-@query("close_cells", f"""WITH {CC}, dil AS (SELECT DISTINCT camera, iu + a AS iu, iv + b AS iv FROM cells, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b))
-  SELECT d.camera, d.iu, d.iv FROM dil d JOIN dil o ON o.camera = d.camera AND abs(o.iu - d.iu) <= 1 AND abs(o.iv - d.iv) <= 1 GROUP BY ALL HAVING count(*) = 9""")
+@query("close_cells", f"""WITH {CC}, dil AS (SELECT DISTINCT camera, layer, iu + a AS iu, iv + b AS iv FROM cells, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b))
+  SELECT d.camera, d.layer, d.iu, d.iv FROM dil d JOIN dil o ON o.camera = d.camera AND o.layer = d.layer AND abs(o.iu - d.iu) <= 1 AND abs(o.iv - d.iv) <= 1 GROUP BY ALL HAVING count(*) = 9""")
 def close_cells(t):
-    cells = t.cloud().filter("h > 88").select("camera", rasters.cell_floor("u", 2.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).distinct()
-    return spatial.close_cells(cells, ["camera"], 1)
+    return spatial.close_cells(layer_cells(t), LAYER, 1)
 
 
 @query("deck_surfaces")
 def deck_surfaces(t):
-    cells = t.cloud().filter("h > 80").select("camera", rasters.cell_floor("u", 2.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).distinct()
-    return rounded(spatial.deck_surfaces(cells, ["camera"], 2.0, 1), 8, "fill")
+    return rounded(spatial.deck_surfaces(layer_cells(t), LAYER, 2.0, 1), 8, "fill")
 
 
 @query("dbscan")
@@ -324,10 +326,10 @@ def dbscan(t):
     return spatial.dbscan(t.points3(), ["camera"], 0.12, 4, 0.02)
 
 
-@query("smooth_cells", f"""WITH {CLOUD}, r AS (SELECT camera, CAST(floor(u / 2) AS BIGINT) AS iu, CAST(floor(v) AS BIGINT) AS iv, avg(h) AS h FROM cloud WHERE h > 60 GROUP BY ALL)
+@query("smooth_cells", f"""WITH {CLOUD}, r AS (SELECT camera, CAST(floor(u / 2) AS BIGINT) AS iu, CAST(floor(v) AS BIGINT) AS iv, avg(h) AS h FROM cloud GROUP BY ALL)
   SELECT a.camera, a.iu, a.iv, round(avg(b.h), 9) AS smooth FROM r a JOIN r b ON a.camera = b.camera AND abs(a.iu - b.iu) <= 1 AND abs(a.iv - b.iv) <= 1 GROUP BY ALL""")
 def smooth_cells(t):
-    r = t.cloud().filter("h > 60").groupBy("camera", rasters.cell_floor("u", 2.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).agg(F.avg("h").alias("h"))
+    r = t.cloud().groupBy("camera", rasters.cell_floor("u", 2.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).agg(F.avg("h").alias("h"))
     return rounded(spatial.smooth_cells(r, ["camera"], "h", 1), 9, "smooth").drop("h")
 
 
@@ -344,10 +346,15 @@ def cell_periodicity(t):
     return rounded(spatial.cell_periodicity(r, ["camera"], "h", 2, 5), 6, "peak", "pitch")
 
 
-@query("suction_site")
+@query("suction_site", f"""WITH {CLOUD}, r AS (SELECT camera, CAST(floor(u) AS BIGINT) AS iu, CAST(floor(v) AS BIGINT) AS iv, avg(h) AS h FROM cloud GROUP BY ALL),
+  s AS (SELECT a.camera, a.iu, a.iv, avg(b.h) AS h FROM r a JOIN r b ON a.camera = b.camera AND abs(a.iu - b.iu) <= 1 AND abs(a.iv - b.iv) <= 1 GROUP BY ALL),
+  d AS (SELECT a.camera, a.iu, a.iv, count(*) / 5 AS coverage, max(b.h) - min(b.h) AS range FROM s a JOIN s b ON a.camera = b.camera AND abs(a.iu - b.iu) + abs(a.iv - b.iv) <= 1 GROUP BY ALL),
+  c AS (SELECT camera, avg(iu) AS cu, avg(iv) AS cv, count(*) AS n FROM r GROUP BY camera),
+  k AS (SELECT d.*, n, range + 0.02 * sqrt(pow(iu - cu, 2) + pow(iv - cv, 2)) AS score FROM d JOIN c USING (camera) WHERE coverage > 0.9 AND range < 1000)
+  SELECT camera, arg_min(iu, (score, iv, iu)) AS iu, arg_min(iv, (score, iv, iu)) AS iv, round(arg_min(range, (score, iv, iu)), 6) AS range, round(min(score), 6) AS score, round(count(*) FILTER (range <= 40) / any_value(n), 6) AS flat_fraction FROM k GROUP BY camera""")
 def suction_site(t):
     r = t.cloud().groupBy("camera", rasters.cell_floor("u", 1.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).agg(F.avg("h").alias("h"))
-    return rounded(spatial.suction_site(r, ["camera"], "h", 1, 40.0, 1.0), 6, "range", "score", "flat_fraction")
+    return rounded(spatial.suction_site(r, ["camera"], "h", 1, 40.0, 1.0, max_range=1000.0), 6, "range", "score", "flat_fraction")
 
 
 @query("diffuse_holes")
@@ -497,12 +504,12 @@ def sample_depth_bilinear(t):
     return rounded(d.select("camera", "kp_id", "depth"), 9, "depth")
 
 
-@query("render_reference", f"""WITH {CLOUD}, k AS (SELECT camera, CAST(floor(u) AS BIGINT) AS u, CAST(floor(v) AS BIGINT) AS v, h AS z FROM cloud WHERE h > 70), {", ".join(
+@query("render_reference", f"""WITH {CLOUD}, k AS (SELECT camera, CAST(floor(u) AS BIGINT) AS u, CAST(floor(v) AS BIGINT) AS v, h AS z FROM cloud), {", ".join(
     f"g{i} AS (SELECT camera, pu, pv, median(z) AS z FROM (SELECT camera, CAST(floor(u / {2**i}) AS BIGINT) AS pu, CAST(floor(v / {2**i}) AS BIGINT) AS pv, z, min(z) OVER (PARTITION BY camera, floor(u / {2**i}), floor(v / {2**i})) AS z0 FROM k) WHERE z <= z0 + 10 GROUP BY ALL)" for i in range(2))},
   cand AS (SELECT camera, pu * 2 + a AS pu, pv * 2 + b AS pv, z AS z1 FROM g1, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
   SELECT c.camera, c.pu, c.pv, round(coalesce(g0.z, z1), 8) AS z, CAST(CASE WHEN g0.z IS NULL THEN 1 ELSE 0 END AS BIGINT) AS level FROM cand c LEFT JOIN g0 USING (camera, pu, pv)""")
 def render_reference(t):
-    p = t.cloud().filter("h > 70").select("camera", "u", "v", F.col("h").alias("z"))
+    p = t.cloud().select("camera", "u", "v", F.col("h").alias("z"))
     return rounded(joins.render_reference(p, ["camera"], 10.0, 2), 8, "z")
 
 
@@ -562,8 +569,8 @@ def icp_planar(t):
 
 @query("grid_search_alignment")
 def grid_search_alignment(t):
-    c = t.cloud().filter("h > 80").select("camera", rasters.cell_floor("u", 2.0).alias("iu"), rasters.cell_floor("v", 1.0).alias("iv")).distinct()
-    return align.grid_search(c, c.withColumn("iu", F.col("iu") + 2).withColumn("iv", F.col("iv") - 1), ["camera"], 1.0, [0.0, 0.2], 3)
+    c = layer_cells(t)
+    return align.grid_search(c, c.withColumn("iu", F.col("iu") + 2).withColumn("iv", F.col("iv") - 1), LAYER, 1.0, [0.0, 0.2], 3)
 
 
 @query("orientation_check", f"""WITH {CLOUD}, r AS (SELECT camera, CAST(floor(u) AS BIGINT) AS iu, CAST(floor(v) AS BIGINT) AS iv, avg(h) AS h FROM cloud GROUP BY ALL), s AS (SELECT camera, fu, fv, iu * fu AS iu, iv * fv AS iv, h FROM r, (SELECT unnest([1, -1]) AS fu), (SELECT unnest([1, -1]) AS fv))
@@ -574,10 +581,13 @@ def orientation_check(t):
     return rounded(o.withColumn("fu", F.col("fu").cast("long")).withColumn("fv", F.col("fv").cast("long")), 6, "correlation")
 
 
-@query("gauge_from_deck", f"""WITH {CLOUD}, s0 AS (SELECT camera, 40 / median(h) AS s FROM cloud GROUP BY camera), s1 AS (SELECT c.camera, 40 / median(h) AS s FROM cloud c JOIN s0 USING (camera) WHERE abs(s0.s * h - 40) <= 15 GROUP BY c.camera),
-  s2 AS (SELECT c.camera, 40 / median(h) AS s FROM cloud c JOIN s1 USING (camera) WHERE abs(s1.s * h - 40) <= 15 GROUP BY c.camera) SELECT camera, round(s, 8) AS scale FROM s2""")
+DECK_PASSES = 4
+
+
+@query("gauge_from_deck", f"""WITH {CLOUD}, s0 AS (SELECT camera, 40 / median(h) AS s FROM cloud GROUP BY camera), {", ".join(
+    f"s{i} AS (SELECT c.camera, 40 / median(h) AS s FROM cloud c JOIN s{i - 1} p USING (camera) WHERE abs(p.s * h - 40) <= 15 GROUP BY c.camera)" for i in range(1, DECK_PASSES + 1))} SELECT camera, round(s, 8) AS scale FROM s{DECK_PASSES}""")
 def gauge_from_deck(t):
-    return rounded(align.gauge_from_deck(t.cloud(), ["camera"], "h", 40.0, 2, 15.0, 1), 8, "scale")
+    return rounded(align.gauge_from_deck(t.cloud(), ["camera"], "h", 40.0, DECK_PASSES, 15.0, 1), 8, "scale")
 
 
 @query("gauge_multi_camera", f"WITH {CLOUD} SELECT camera, round(60 / median(h), 5) AS scale FROM cloud GROUP BY camera")
