@@ -38,9 +38,9 @@ def min_area_rect(points: DataFrame, by: list[str], res: float, step_deg: float
     Points collapse to the extremes of each ``res`` column first; only those meet the angles.
     """
     strip = points.groupBy(*by, F.floor(F.col(x) / res).alias("_c")).agg(
-        F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(y)).alias("a"), F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(y)).alias("b"),
-        F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(x)).alias("c"), F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(x)).alias("d"))
-    hull = strip.select(*by, F.explode(F.array("a", "b", "c", "d")).alias("_h"))
+        F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(y)).alias("_pa"), F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(y)).alias("_pb"),
+        F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(x)).alias("_pc"), F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(x)).alias("_pd"))
+    hull = strip.select(*by, F.explode(F.array("_pa", "_pb", "_pc", "_pd")).alias("_h"))
     steps = int(round(90.0 / step_deg))
     turned = hull.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("_t", F.radians(F.col("_k") * step_deg))
     a = F.col("_h.x") * F.cos("_t") + F.col("_h.y") * F.sin("_t")
