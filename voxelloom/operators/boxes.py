@@ -319,23 +319,76 @@ def match_greedy(det: DataFrame, ref: DataFrame, by: list[str], radius: float) -
         pairs = materialise(pairs.join(refused, [*by, "id", "ref_id"], "left_anti"), "match-pairs")
 
 
+def _greedy_by_dimensions(l, w, rl, rw) -> np.ndarray:
+    """Position of the reference each detection takes, -1 for none; both sides in their order.
+
+    References of one shape queue behind one entry. Entries are sorted by length and walked outwards while the
+    length alone does not cost more than the best so far; an emptied entry is skipped by pointers.
+    """
+    taken = np.full(len(l), -1)
+    if not len(rl):
+        return taken
+    shapes, kind = np.unique(np.column_stack([rl, rw]), axis=0, return_inverse=True)
+    kind = kind.ravel()
+    queue, end = np.argsort(kind, kind="stable").tolist(), np.cumsum(np.bincount(kind)).tolist()
+    head = [0, *end[:-1]]
+    sl, sw, n = shapes[:, 0].tolist(), shapes[:, 1].tolist(), len(shapes)
+    up, down = list(range(n + 1)), list(range(n + 1))  # entry i is i in ``up`` and i + 1 in ``down``
+
+    def find(link: list[int], i: int) -> int:
+        while link[i] != i:
+            link[i] = link[link[i]]
+            i = link[i]
+        return i
+
+    for d, (bl, bw, at) in enumerate(zip(l.tolist(), w.tolist(), np.searchsorted(shapes[:, 0], l).tolist())):
+        hi, lo = find(up, at), find(down, at) - 1
+        best = None
+        while lo >= 0 or hi < n:
+            below, above = bl - sl[lo] if lo >= 0 else math.inf, sl[hi] - bl if hi < n else math.inf
+            if best is not None and min(below, above) > best[0]:
+                break
+            i = lo if below <= above else hi
+            offer = (abs(bl - sl[i]) + abs(bw - sw[i]), queue[head[i]], i)
+            best = offer if best is None else min(best, offer)
+            if i == lo:
+                lo = find(down, lo) - 1
+            else:
+                hi = find(up, hi + 1)
+        if best is None:
+            break  # nothing is left to take
+        _, taken[d], i = best
+        head[i] += 1
+        if head[i] == end[i]:
+            up[i], down[i + 1] = i + 1, i
+    return taken
+
+
 def match_by_dimensions(det: DataFrame, ref: DataFrame, by: list[str]) -> DataFrame:
-    """One to one by |length| + |width| difference, in detection order; sides sorted first.
+    """One to one by |length| + |width| difference, in detection order; sides sorted first, ties to the lower ``ref_id``.
 
-    Reference lists are catalogues of a few parcels per scene, so a detection meets its scene's list as one array.
+    Every reference of a scene can be taken. The walk is ordered, so a scene is one task; it holds the scene's rows
+    once and no pairs. Rows without a length or width are left out.
     """
-    big, small = F.greatest("length", "width"), F.least("length", "width")
     on = [c for c in by if c in ref.columns]
-    lists = ref.select(*on, F.struct(F.col("id").alias("ref_id"), big.alias("l"), small.alias("w")).alias("_r")).groupBy(*on).agg(F.collect_list("_r").alias("_refs"))
-    d = det.select(*by, "id", big.alias("_l"), small.alias("_w"))
-    pairs = materialise(d.join(lists, on).select(*by, "id", "_l", "_w", F.explode("_refs").alias("_r")).select(
-        *by, "id", "_r.ref_id", (F.abs(F.col("_l") - F.col("_r.l")) + F.abs(F.col("_w") - F.col("_r.w"))).alias("cost")), "match-pairs")
-    while True:
-        best = pairs.groupBy(*by, "id").agg(F.min(F.struct("cost", "ref_id")).alias("_b")).select(*by, "id", F.col("_b.ref_id").alias("ref_id"), F.col("_b.cost").alias("cost"))
-        refused = materialise(best.join(best.groupBy(*by, "ref_id").agg(F.min("id").alias("_owner")), [*by, "ref_id"]).filter("id != _owner").select(*by, "id", "ref_id"), "match-refused")
-        if refused.isEmpty():
-            return best
-        pairs = materialise(pairs.join(refused, [*by, "id", "ref_id"], "left_anti"), "match-pairs")
+
+    def sides(df: DataFrame) -> DataFrame:
+        length, width = F.col("length").cast("double"), F.col("width").cast("double")
+        return df.filter(length.isNotNull() & width.isNotNull() & ~F.isnan(length) & ~F.isnan(width)).withColumns({"_l": F.greatest(length, width), "_w": F.least(length, width)})
+
+    d = sides(det).select(*by, "id", "_l", "_w")
+    r = d.select(*by).distinct().join(sides(ref).select(*on, F.col("id").alias("ref_id"), "_l", "_w"), on)
+    r = r.select(*[F.col(c).alias(c) for c in r.columns])  # own columns: both sides stem from ``det``
+    out = T.StructType([*d.select(*by, "id").schema.fields, T.StructField("ref_id", r.schema["ref_id"].dataType), T.StructField("cost", T.DoubleType())])
+    names = [f.name for f in out.fields]
+
+    def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("id", ignore_index=True), b.sort_values("ref_id", ignore_index=True)
+        k = _greedy_by_dimensions(a._l.to_numpy(), a._w.to_numpy(), b._l.to_numpy(), b._w.to_numpy())
+        a, b = a[k >= 0].reset_index(drop=True), b.iloc[k[k >= 0]].reset_index(drop=True)
+        return a.assign(ref_id=b.ref_id, cost=(a._l - b._l).abs() + (a._w - b._w).abs())[names]
+
+    return d.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(walk, out)
 
 
 def track_across(boxes: DataFrame, by: list[str], res: str, radius: float) -> DataFrame:

@@ -249,9 +249,7 @@ def match_greedy(t):
 @query("match_by_dimensions")
 def match_by_dimensions(t):
     det, ref = detections(t)
-    kind = F.round("length", 1)  # the catalogue: one entry for each length to a decimetre, averaged over all rows
-    small = ref.groupBy("capture", kind.alias("kind")).agg(F.min("id").alias("id"), F.avg("length").alias("length"), F.avg("width").alias("width"))
-    return rounded(boxes.match_by_dimensions(det.withColumn("scene", F.col("capture")), small.withColumn("scene", F.col("capture")), ["scene"]), 8, "cost")
+    return rounded(boxes.match_by_dimensions(det.withColumn("scene", F.col("capture")), ref.withColumn("scene", F.col("capture")), ["scene"]), 8, "cost")
 
 
 @query("score_run", f"""WITH {MATCH}, d AS (SELECT capture, id, length * 1.01 AS length, width * 0.98 AS width, top + 0.004 AS height, length AS rl, width AS rw, top AS rh, id % 4 = 0 AS inferred FROM boxes)
