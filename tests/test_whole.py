@@ -41,3 +41,12 @@ def test_match_by_dimensions_equals_the_ordered_walk(spark):
                 l, w = l.drop(best), w.drop(best)
     got = boxes.match_by_dimensions(spark.createDataFrame(det), spark.createDataFrame(ref), ["scene"]).collect()
     assert {r["id"]: r["ref_id"] for r in got} == want
+
+
+@given
+def test_views_meet_every_ordered_pair_of_cameras(spark):
+    e = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    cameras = {r["label"] for r in e.select("label").distinct().collect()}
+    for name in ("cross_view_residual", "zbuffer_overlap_all"):
+        got = entry_mod.queries()[name](spark, FOLDER).collect()
+        assert {r["view"] for r in got} == {r["camera"] for r in got} == cameras and any(r["view"] > r["camera"] + 1 for r in got) and any(r["view"] < r["camera"] for r in got)

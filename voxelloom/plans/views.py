@@ -455,6 +455,15 @@ def zbuffer(t):
     return rounded(joins.zbuffer(p, ["camera"]), 8, "zbuf")
 
 
+def in_every_view(t: Tables, scale_u: float = 16.0, scale_v: float = 16.0):
+    """Every point in the image of every camera; the cameras meet the points as one array."""
+    cams = t.cameras().withColumnRenamed("camera", "view")
+    row = cams.agg(F.collect_list(F.struct(*cams.columns)).alias("_cams")).withColumn("_j", F.lit(0))
+    p = t.points3().withColumn("_j", F.lit(0)).join(row, "_j").withColumn("_c", F.explode("_cams")).select("pid", "camera", "x", "y", "z", "_c.*")
+    u, v, z = g.project_pinhole(g.vec("x", "y", "z"))
+    return materialise(p.select("pid", "camera", "view", (u / scale_u).alias("u"), (v / scale_v).alias("v"), z.alias("z")).filter("z > 0.2"), "in-view")
+
+
 def in_view(t: Tables, scale_u: float = 16.0, scale_v: float = 16.0):
     """Every point in the image of its own camera and of the next one."""
     cams = t.cameras().withColumnRenamed("camera", "view")
@@ -476,11 +485,30 @@ def zbuffer_overlap(t):
     return rounded(o.select("view", "in_frame", "with_sample", "shared", "median", "abs_median"), 8, "median", "abs_median")
 
 
+IMG_ALL = f"""{POINTS3}, {CAMS}, vw AS (SELECT pid, pts.camera, cams.camera AS view, (fx * (co * x - si * y + t0) / (z + t2) + cx) / 16 AS u, (fy * (si * x + co * y + t1) / (z + t2) + cy) / 16 AS v, z + t2 AS z FROM pts CROSS JOIN cams WHERE z + t2 > 0.2)"""
+
+
+# zbuffer_overlap meets the next camera only, as its SQL says; this one every ordered pair of cameras
+@query("zbuffer_overlap_all", f"""WITH {IMG_ALL}, i AS (SELECT *, CAST(floor(u) AS BIGINT) AS pu, CAST(floor(v) AS BIGINT) AS pv FROM vw WHERE floor(u) >= 0 AND floor(u) < 40 AND floor(v) >= 0 AND floor(v) < 30), buf AS (SELECT view, pu, pv, min(z) AS zbuf FROM i WHERE camera = view GROUP BY ALL), ref AS (SELECT * FROM i WHERE camera <> view),
+  near AS (SELECT r.camera, r.view, r.pid, min_by(r.z - b.zbuf, abs(r.z - b.zbuf)) AS dz FROM ref r JOIN buf b ON b.view = r.view AND abs(b.pu - r.pu) <= 1 AND abs(b.pv - r.pv) <= 1 GROUP BY ALL)
+  SELECT f.camera, f.view, f.in_frame, coalesce(n.k, 0) AS with_sample, coalesce(n.s, 0) AS shared, round(n.med, 8) AS median, round(n.am, 8) AS abs_median FROM (SELECT camera, view, count(*) AS in_frame FROM ref GROUP BY ALL) f
+  LEFT JOIN (SELECT camera, view, count(*) AS k, count(*) FILTER (abs(dz) < 0.15) AS s, median(dz) FILTER (abs(dz) < 0.15) AS med, median(abs(dz)) FILTER (abs(dz) < 0.15) AS am FROM near GROUP BY ALL) n USING (camera, view)""")
+def zbuffer_overlap_all(t):
+    p = in_every_view(t)
+    pairs = p.filter("camera <> view")
+    cam = p.filter("camera = view").drop("camera").join(pairs.select("camera", "view").distinct(), "view")
+    o = joins.zbuffer_overlap(pairs, cam, ["camera", "view"], 40, 30, 0.15, 1, 10, 0.5)
+    return rounded(o.select("camera", "view", "in_frame", "with_sample", "shared", "median", "abs_median"), 8, "median", "abs_median")
+
+
 @query("cross_view_residual")
 def cross_view_residual(t):
-    p = in_view(t, 64.0, 64.0)
+    p = in_every_view(t, 64.0, 64.0)
     pix = p.filter("camera = view").groupBy("view", F.rint("u").alias("u"), F.rint("v").alias("v")).agg(F.avg("z").alias("z"))
-    return rounded(joins.cross_view_residual(p.filter("camera <> view"), pix, ["view"], 10, 8), 8, "median", "abs_p90")
+    # the pixels of a view are met by each other camera's points apart
+    pairs = p.filter("camera <> view")
+    pix = pix.join(pairs.select("camera", "view").distinct(), "view")
+    return rounded(joins.cross_view_residual(pairs, pix, ["camera", "view"], 10, 8), 8, "median", "abs_p90")
 
 
 @query("sample_depth", f"""WITH {PIX}, k AS (SELECT l_returnflag AS camera, l_orderkey, l_linenumber, l_partkey, l_quantity + l_tax * 7 AS u, l_discount * 100 + l_tax * 3 AS v FROM lineitem), q AS (SELECT *, greatest(0, least(50, round_even(u, 0))) AS pu, greatest(0, least(10, round_even(v, 0))) AS pv FROM k)
