@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_mod
-from voxelloom.operators import boxes
+from voxelloom.operators import boxes, spatial
 
 FOLDER = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
@@ -50,3 +50,17 @@ def test_views_meet_every_ordered_pair_of_cameras(spark):
     for name in ("cross_view_residual", "zbuffer_overlap_all"):
         got = entry_mod.queries()[name](spark, FOLDER).collect()
         assert {r["view"] for r in got} == {r["camera"] for r in got} == cameras and any(r["view"] > r["camera"] + 1 for r in got) and any(r["view"] < r["camera"] for r in got)
+
+
+def test_outlier_removal_keeps_points_farther_apart_than_the_cap(spark):
+    rng = np.random.default_rng(22)
+    xyz = np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(0, 4, (60, 3)), rng.normal(0, 1, (3, 3))])
+    camera = np.repeat([0, 1, 2], [60, 60, 3])
+    df = frame(spark, camera=camera, pid=np.arange(len(xyz)), x=xyz[:, 0], y=xyz[:, 1], z=xyz[:, 2])
+    got = {r["pid"]: r["mean_dist"] for r in spatial.outlier_removal(df, ["camera"], 4, 1.0, 0.4).collect()}
+    want = {}
+    for c in range(3):
+        p, ids = xyz[camera == c], np.flatnonzero(camera == c)
+        mean = np.sort(np.linalg.norm(p[:, None] - p[None], axis=2), axis=1)[:, 1:5].mean(axis=1)
+        want |= {i: m for i, m in zip(ids, mean) if m <= mean.mean() + mean.std(ddof=1)}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)

@@ -93,6 +93,31 @@ def k_nearest(
     return out
 
 
+def k_nearest_any(
+    src: DataFrame, dst: DataFrame, by: list[str], cap: float, k: int = 1, sid: str = "pid", did: str = "pid",
+    xyz: tuple[str, ...] = ("x", "y", "z"), levels: int = 4, exclude_self: bool = False,
+) -> DataFrame:
+    """As ``k_nearest`` at any distance: rows short of ``k`` search again with four times the cap.
+
+    Ends when every row has ``k`` neighbours or all of its group. Rows without finite coordinates have none.
+    """
+    finite = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in xyz])
+    src, dst = src.filter(finite), dst.filter(finite)
+    found = materialise(k_nearest(src, dst, by, cap, k, sid, did, xyz, levels, exclude_self), "k-nearest")
+    sizes = dst.groupBy(*by).agg(F.least(F.count(F.lit(1)) - (1 if exclude_self else 0), F.lit(k)).alias("_want"))
+    rest = src.select(*by, sid, *xyz)
+    while True:
+        have = found.groupBy(*by, sid).agg(F.count(F.lit(1)).alias("_have"))
+        wanted = rest.join(sizes, by) if by else rest.crossJoin(sizes)
+        rest = wanted.join(have, [*by, sid], "left").filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).select(*by, sid, *xyz)
+        if rest.isEmpty():
+            return found
+        rest = materialise(rest, "k-nearest-rest")
+        cap, levels = 4 * cap, levels + 2  # leaf cells keep their size
+        more = k_nearest(rest, dst, by, cap, k, sid, did, xyz, levels, exclude_self)
+        found = materialise(found.join(rest.select(*by, sid), [*by, sid], "left_anti").unionByName(more), "k-nearest")
+
+
 def nearest_neighbour(src: DataFrame, dst: DataFrame, by: list[str], cap: float, sid: str = "pid", **kw) -> DataFrame:
     """Every source row with its nearest target and distance; both NULL and ``saturated`` where none lies within ``cap``."""
     found = k_nearest(src, dst, by, cap, 1, sid, **kw).drop("rank")
@@ -111,11 +136,14 @@ def distance_stats(nn: DataFrame, by: list[str], near: float = 0.010, **kw) -> D
 
 
 def outlier_removal(points: DataFrame, by: list[str], k: int, std_ratio: float, cap: float, pid: str = "pid", xyz=("x", "y", "z")) -> DataFrame:
-    """Drops points whose mean distance to ``k`` neighbours exceeds mean + ratio * sd over the group."""
-    near = k_nearest(points, points, by, cap, k, pid, pid, xyz, exclude_self=True)
-    mean = near.groupBy(*by, pid).agg(F.avg("dist").alias("mean_dist"), F.count(F.lit(1)).alias("k"))
+    """Drops points whose mean distance to ``k`` neighbours exceeds mean + ratio * sd over the group.
+
+    ``cap`` is where the search starts, not a limit; in a group of ``k`` points or fewer all others are neighbours.
+    """
+    near = k_nearest_any(points, points, by, cap, k, pid, pid, xyz, exclude_self=True)
+    mean = near.groupBy(*by, pid).agg(F.avg("dist").alias("mean_dist"))
     limit = mean.groupBy(*by).agg((F.avg("mean_dist") + std_ratio * F.stddev_samp("mean_dist")).alias("_limit"))
-    keep = mean.join(limit, by).filter((F.col("k") == k) & (F.col("mean_dist") <= F.col("_limit")))
+    keep = mean.join(limit, by).filter(F.col("mean_dist") <= F.col("_limit"))
     return points.join(keep.select(*by, pid, "mean_dist"), [*by, pid])
 
 
