@@ -1,5 +1,6 @@
 """Queries and operators cover all of their input: one test for each place that once took a part of it."""
 
+import math
 import os
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_mod
-from voxelloom.operators import boxes, spatial
+from voxelloom.operators import align, boxes, spatial
 
 FOLDER = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
@@ -64,3 +65,24 @@ def test_outlier_removal_keeps_points_farther_apart_than_the_cap(spark):
         mean = np.sort(np.linalg.norm(p[:, None] - p[None], axis=2), axis=1)[:, 1:5].mean(axis=1)
         want |= {i: m for i, m in zip(ids, mean) if m <= mean.mean() + mean.std(ddof=1)}
     assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_icp_gates_at_all_distances_and_says_whether_it_converged(spark):
+    rng = np.random.default_rng(23)
+    q = rng.uniform(-1, 1, (200, 2))
+    c, s = math.cos(0.02), math.sin(0.02)
+    p = (q - [0.02, -0.01]) @ np.array([[c, -s], [s, c]])
+    far = np.arange(200) >= 120  # four in ten points have nothing near: the gate at 70 % lies beyond the cap
+    p[far] += [30, 0]
+    src = frame(spark, rig=np.zeros(200, int), pid=np.arange(200), x=p[:, 0], y=p[:, 1])
+    dst = frame(spark, rig=np.zeros(200, int), pid=np.arange(200), x=q[:, 0], y=q[:, 1])
+    d = np.linalg.norm(p[:, None] - q[None], axis=2).min(axis=1)
+    one = align.icp_planar(src, dst, ["rig"], 8.0, 1, levels=1).first()
+    assert one["pairs"] == (d <= np.percentile(d, 70)).sum() == 140 and not one["converged"]
+    assert align.icp_planar(dst, dst, ["rig"], 0.5, 1, levels=1).first()["converged"]
+
+
+@given
+def test_cluster_bootstrap_draws_as_often_as_the_reference(spark):
+    got = entry_mod.queries()["cluster_bootstrap"](spark, FOLDER).collect()
+    assert got and all(20 < r["draws"] <= 400 for r in got)

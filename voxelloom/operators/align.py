@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from voxelloom.operators.groups import median, quantiles
 from voxelloom.operators.rasters import histogram
-from voxelloom.operators.spatial import k_nearest
+from voxelloom.operators.spatial import k_nearest_any
 from voxelloom.session import materialise
 
 
@@ -58,32 +58,33 @@ def planar_rigid(pairs: DataFrame, by: list[str], a=("ax", "ay"), b=("bx", "by_"
 
 def icp_planar(src: DataFrame, dst: DataFrame, by: list[str], cap: float, iters: int = 40, floor: float = 0.020, keep: float = 0.70, min_pairs: int = 50,
                tol: float = 1e-6, levels: int = 3) -> DataFrame:
-    """Closest points within ``cap``, those nearer than max(floor, p70) kept, planar fit, repeat.
+    """Closest points, those nearer than max(floor, p70 of all) kept, planar fit, repeat.
 
-    Groups (rigs, or start hypotheses) run together. ``src`` and ``dst`` carry ``pid x y``. A group with
-    fewer than ``min_pairs`` keeps its last transform.
+    Groups (rigs, or start hypotheses) run together. ``src`` and ``dst`` carry ``pid x y``; ``cap`` is where the
+    search starts, not a limit. A group with fewer than ``min_pairs`` keeps its last transform. ``converged``: the
+    group's last pass was a fit that moved it by ``tol`` at most.
     """
     s = materialise(src.select(*by, "pid", "x", "y"), "icp-src")
     d = materialise(dst.select(*by, F.col("pid").alias("nn"), F.col("x").alias("bx"), F.col("y").alias("by_")), "icp-dst")
-    pose = materialise(s.select(*by).distinct().withColumns({"yaw": F.lit(0.0), "tx": F.lit(0.0), "ty": F.lit(0.0), "rms": F.lit(None).cast("double"), "pairs": F.lit(0).cast("long"), "step": F.lit(1.0)}), "icp-pose")
+    pose = materialise(s.select(*by).distinct().withColumns({"yaw": F.lit(0.0), "tx": F.lit(0.0), "ty": F.lit(0.0), "rms": F.lit(None).cast("double"), "pairs": F.lit(0).cast("long"), "step": F.lit(1.0), "converged": F.lit(False)}), "icp-pose")
     for _ in range(iters):
         moved = s.join(pose, by).select(
             *by, "pid", (F.cos("yaw") * F.col("x") - F.sin("yaw") * F.col("y") + F.col("tx")).alias("x"), (F.sin("yaw") * F.col("x") + F.cos("yaw") * F.col("y") + F.col("ty")).alias("y"))
         moved = materialise(moved, "icp-moved")
-        nn = materialise(k_nearest(moved, d.withColumnsRenamed({"bx": "x", "by_": "y"}), by, cap, 1, "pid", "nn", ("x", "y"), levels).drop("rank"), "icp-nn")
+        nn = k_nearest_any(moved, d.withColumnsRenamed({"bx": "x", "by_": "y"}), by, cap, 1, "pid", "nn", ("x", "y"), levels).drop("rank")
         gate = quantiles(nn, by, "dist", {"_g": keep}).drop("n")
         near = nn.join(gate, by).filter(F.col("dist") <= F.greatest(F.col("_g"), F.lit(floor)))
         pairs = near.join(moved, [*by, "pid"]).join(d, [*by, "nn"])
         fit = planar_rigid(pairs.withColumnsRenamed({"x": "ax", "y": "ay"}), by, min_count=min_pairs).select(*by, "n", F.col("yaw").alias("_y"), F.col("tx").alias("_x"), F.col("ty").alias("_t"))
         rms = near.groupBy(*by).agg(F.sqrt(F.avg(F.col("dist") * F.col("dist"))).alias("_rms"))
         j = pose.join(fit, by, "left").join(rms, by, "left")
-        ok = F.col("_y").isNotNull()
+        ok, step = F.col("_y").isNotNull(), F.greatest(F.abs("_y"), F.abs("_x"), F.abs("_t"))
         pose = materialise(j.select(
             *by, F.when(ok, F.col("yaw") + F.col("_y")).otherwise(F.col("yaw")).alias("yaw"),
             F.when(ok, F.cos("_y") * F.col("tx") - F.sin("_y") * F.col("ty") + F.col("_x")).otherwise(F.col("tx")).alias("tx"),
             F.when(ok, F.sin("_y") * F.col("tx") + F.cos("_y") * F.col("ty") + F.col("_t")).otherwise(F.col("ty")).alias("ty"),
             F.coalesce("_rms", "rms").alias("rms"), F.coalesce("n", "pairs").alias("pairs"),
-            F.when(ok, F.greatest(F.abs("_y"), F.abs("_x"), F.abs("_t"))).otherwise(0.0).alias("step")), "icp-pose")
+            F.when(ok, step).otherwise(0.0).alias("step"), (ok & (step <= tol)).alias("converged")), "icp-pose")
         if pose.filter(F.col("step") > tol).isEmpty():
             break
     return pose.drop("step")

@@ -100,7 +100,7 @@ def camera_offsets(t):
 
 @query("cluster_bootstrap")
 def cluster_bootstrap(t):
-    return rounded(effects.cluster_bootstrap(effect_cells(t), ["rig"], 20), 6, "a_sd", "b_sd", "p_sd", "q_sd")
+    return rounded(effects.cluster_bootstrap(effect_cells(t), ["rig"], 400), 6, "a_sd", "b_sd", "p_sd", "q_sd")
 
 
 @query("belt_vs_board_drift", f"""WITH {PLACEMENTS}, a AS (SELECT camera, capture, median(h_meas - h_true) AS x FROM placements WHERE label <> 'P' GROUP BY ALL HAVING count(*) >= 2), b AS (SELECT camera, capture, median(h_meas - h_true) AS y FROM placements WHERE label = 'P' GROUP BY ALL)

@@ -579,7 +579,7 @@ def similarity_fit(t):
 def ransac_transform(t):
     # every fourth correspondence is wrong by far
     p = similarity_pairs(t).withColumn("bx", F.when(F.col("pid") % 4 == 0, F.col("bx") + 5 + F.col("pid")).otherwise(F.col("bx")))
-    f = align.ransac_transform(p, ["camera"], 0.01, 24)
+    f = align.ransac_transform(p, ["camera"], 0.01)
     return rounded(f.select("camera", "inliers", "total", "scale"), 6, "scale")
 
 
@@ -592,7 +592,7 @@ def gauge_diagnose(t):
 def icp_planar(t):
     p = t.points3().select(F.floor(F.col("camera") / 5).alias("rig"), "pid", "x", "y")
     moved = p.withColumn("x2", F.col("x") * F.cos(F.lit(0.03)) - F.col("y") * F.sin(F.lit(0.03)) + 0.01).withColumn("y2", F.col("x") * F.sin(F.lit(0.03)) + F.col("y") * F.cos(F.lit(0.03)) - 0.01)
-    return rounded(align.icp_planar(moved.select("rig", "pid", F.col("x2").alias("x"), F.col("y2").alias("y")), p, ["rig"], 0.2, 3, levels=2), 3, "yaw", "tx", "ty", "rms")
+    return rounded(align.icp_planar(moved.select("rig", "pid", F.col("x2").alias("x"), F.col("y2").alias("y")), p, ["rig"], 0.2, levels=2), 3, "yaw", "tx", "ty", "rms")
 
 
 @query("grid_search_alignment")
