@@ -9,14 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import bpe, chat, dartminhash, decontamination, exact_dedup, langid, pii, quality, toxicity, urls
+from voxelloom.llm import bpe, chat, dartminhash, decontamination, divergence, exact_dedup, hard_negatives, langid, pii, quality, token_files, toxicity, urls
 from voxelloom.llm.sampling import fold
-from voxelloom.session import materialise
+from voxelloom.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 RANKS = "byte_bpe_50k.tiktoken"
+WORD_BPE, END_ID = "word_bpe_49k.json", 2
 CUT = 0.3  # a score from which a label is predicted
 
 
@@ -139,3 +140,44 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = langid.detect_languages(docs, langid.fit_languages(docs, folds=5, held=0), keep=["doc_id"])
     return out.select("doc.doc_id", F.col("out.lang").alias("lang_pred"), "out.score").select("doc_id", held_out(5, 0), "lang_pred", "score")
+
+
+@query("op11_hard_negatives", """
+WITH q AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+i AS (SELECT id, label, v FROM q QUALIFY row_number() OVER (PARTITION BY id ORDER BY label, v) = 1),
+s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score FROM i a JOIN i r ON a.id % 100 = 0 AND a.id <> r.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", changed.alias("label"), "embedding")
+    return hard_negatives.mine_hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+@query("op12_divergence", r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) JOIN k USING (lang, t) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(sum(n), 0) AS total FROM g LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+l AS (SELECT lang, t, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 5)) // (any_value(ln.total) + 5 * any_value(v.v)) AS BIGINT) AS q FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, t),
+f AS (SELECT lang, source, t, coalesce(n, 0) AS n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5)) // (total + 5 * v) AS BIGINT) AS p FROM gn JOIN k USING (lang) LEFT JOIN c USING (lang, source, t)),
+ps AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN ps ON ps.lang = a.lang AND ps.source = a.source AND ps.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, p - q AS value FROM f JOIN l USING (lang, t) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path(WORD_BPE), "doc_id", keep=["doc_id"], end_id=END_ID)
+    return token_files.read_tokens(spark, path, with_ids=False).select("doc.doc_id", "start", "n_tokens", "ids_crc32")
