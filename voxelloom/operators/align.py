@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from voxelloom.operators.groups import median, quantiles
 from voxelloom.operators.rasters import histogram
-from voxelloom.operators.spatial import k_nearest_any
+from voxelloom.operators.spatial import k_nearest, k_nearest_any
 from voxelloom.session import materialise
 
 

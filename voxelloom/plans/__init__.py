@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("grading", "clouds", "views", "records", "live")
+PARTS = ("grading", "clouds", "views", "records", "live", "aligning")
 
 
 def load_catalog():
