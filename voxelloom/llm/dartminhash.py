@@ -272,5 +272,6 @@ def _rare_shingles(members: DataFrame, sets: DataFrame, s: Settings) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``docs`` with one document of each cluster."""
-    gone = near_duplicates(docs, text, settings).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, F.col("_gone").eqNullSafe(docs["doc_id"]) & F.col("_hash").eqNullSafe(F.xxhash64(docs[text].cast("string"))), "left_anti")
+    gone = near_duplicates(docs, text, settings).filter(~F.col("kept")).select("doc_id", "text_hash").distinct().alias("gone")
+    same = F.col("gone.doc_id").eqNullSafe(F.col("own.doc_id")) & F.col("gone.text_hash").eqNullSafe(F.xxhash64(F.col(f"own.`{text}`").cast("string")))
+    return docs.alias("own").join(gone, same, "left_anti")

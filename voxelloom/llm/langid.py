@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from voxelloom.llm.sampling import _STEPS, fold
 from voxelloom.llm.textbytes import LOWER, map_texts, pieces, struct_array
+from voxelloom.session import materialise
 
 SPAN = 256  # bytes of a window
 DIM, FILTERS, WIDTHS = 8, 8, (2, 3, 4)
@@ -154,17 +155,18 @@ def fit_bytes(samples: list[bytes], langs: list[str], epochs: int = 4, batch: in
 def fit_languages(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = 500, per_text: int = 4, most: int = 200) -> ByteNet:
     """A net fitted on about ``sample`` texts of each language outside the held-out fold, ``per_text`` windows of each.
 
-    Rows without a text, language or id teach nothing. More than ``most`` languages are an error: what is collected
-    is bounded by ``sample`` x ``most`` x ``per_text`` windows.
+    Rows without a text, language or id teach nothing. At most about ``sample`` x ``most`` texts are taken: more than
+    ``most`` languages share them evenly, and of very many some may have none. An id that occurs more than once teaches
+    with its smallest text of a language.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
-    if len(counts) > most:
-        raise ValueError(f"more than {most} languages")
-    if not counts:
+    counts = materialise(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return fit_bytes([], [])
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(_STEPS * min(1.0, sample / n))))])
-    got = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < share[F.col("lang")])
+    each = min(sample, sample * most / languages)
+    share = counts.select("lang", (F.least(F.lit(1.0), each / F.greatest("n", F.lit(1))) * _STEPS).cast("long").alias("share"))
+    got = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < F.col("share")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     sent = map_texts(got, "text", ["doc_id", "lang"], lambda c: spread_windows(c, per_text), _ROWS).select("doc.doc_id", "doc.lang", "out.rows")
     rows = sorted(sent.collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["rows"])))
     return fit_bytes([bytes(r["rows"]) for r in rows], [r["lang"] for r in rows])

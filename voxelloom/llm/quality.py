@@ -127,10 +127,13 @@ def document_statistics(docs: DataFrame, text: str = "text", keep: list[str] | N
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 10_000) -> Forest:
-    """Trees fitted on about ``sample`` labelled rows outside the held-out fold; only those rows' statistics reach the driver."""
+    """Trees fitted on about ``sample`` labelled rows outside the held-out fold; only those rows' statistics reach the driver.
+
+    Without such rows (no documents, no labels, or all ids in the held-out fold) the model is a constant, one half.
+    """
     rows = document_statistics(labelled(docs.select("doc_id", "text"), labels, "quality", folds, held, sample), keep=["doc_id", "label"])
     got = rows.select("doc.doc_id", "doc.label", "out.stats").orderBy("doc_id").toPandas()
-    x = np.array(got["stats"].tolist(), np.float32).reshape(len(got), -1)
+    x = np.array(got["stats"].tolist(), np.float32).reshape(len(got), statistics(pa.array([""])).shape[1])
     return fit_forest(x, got["label"].to_numpy(float))
 
 

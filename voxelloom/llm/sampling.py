@@ -13,14 +13,20 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, cap: int) -> DataFrame:
-    """(doc_id, label, and the columns of ``docs``) of about ``cap`` labelled rows outside the held-out fold.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, cap: int | None, among: Column | None = None) -> DataFrame:
+    """(doc_id, label, and the columns of ``docs``): one row for each of about ``cap`` labelled ids outside the held-out fold.
 
-    ``labels`` may repeat an id: the largest label counts, null labels do not. Above ``cap`` labelled ids an even
-    share by hash of the id is taken. Only this sample's ids, at most about ``cap``, are broadcast.
+    ``labels`` may repeat an id: the largest label counts, null labels do not. So may ``docs``: the smallest row of an id
+    counts. ``among`` is a further condition on the id. Above ``cap`` labelled ids an even share by hash of the id is
+    taken, and only its ids, at most about ``cap``, are broadcast; without ``cap`` all labelled ids are met.
     """
     known = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    n = known.count()
-    if n > cap:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < int(_STEPS * cap / n))
-    return docs.join(F.broadcast(known), "doc_id")
+    known = known if among is None else known.filter(among)
+    if cap is not None:
+        n = known.count()
+        if n > cap:
+            known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < int(_STEPS * cap / n))
+        known = F.broadcast(known)
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*rest)).alias("_row"))
+    return one.select("doc_id", "label", "_row.*")
