@@ -11,7 +11,7 @@ from voxelloom.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[8]", **{
+    s = build_session("tests", os.environ.get("TEST_MASTER", "local[8]"), **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g",
         "spark.local.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp")})
     s.sparkContext.setLogLevel("ERROR")

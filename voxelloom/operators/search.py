@@ -20,34 +20,34 @@ SPAN = 64  # rows or columns of a raster that are transformed together
 # ---- phase correlation
 
 
-def _dense(block: pd.DataFrame, by: list[str], head: list[str]) -> pd.DataFrame:
+def _dense(block: pd.DataFrame, by: list[str], head: list[str], span: int) -> pd.DataFrame:
     """Both rasters' rows of one block, transformed along v, cut into blocks of columns."""
-    nu, nv, first = int(block["nu"].iloc[0]), int(block["nv"].iloc[0]), int(block["ub"].iloc[0]) * SPAN
-    rows = np.zeros((2, min(SPAN, nu - first), nv))
+    nu, nv, first = int(block["nu"].iloc[0]), int(block["nv"].iloc[0]), int(block["ub"].iloc[0]) * span
+    rows = np.zeros((2, min(span, nu - first), nv))
     rows[block["side"], block["iu"] - first, block["iv"]] = block["value"]
     wave = np.fft.fft(rows, axis=2)
-    return pd.DataFrame([(*block[by].iloc[0], nu, nv, first // SPAN, k, wave[:, :, k * SPAN : (k + 1) * SPAN].tobytes()) for k in range(-(-nv // SPAN))], columns=[*head, "ub", "vb", "data"])
+    return pd.DataFrame([(*block[by].iloc[0], nu, nv, first // span, k, wave[:, :, k * span : (k + 1) * span].tobytes()) for k in range(-(-nv // span))], columns=[*head, "ub", "vb", "data"])
 
 
-def _cross(block: pd.DataFrame, by: list[str], head: list[str]) -> pd.DataFrame:
+def _cross(block: pd.DataFrame, by: list[str], head: list[str], span: int) -> pd.DataFrame:
     """Columns transformed along u, their cross-power spectrum, and that transformed back along u, cut into blocks of rows."""
     nu, nv, k = int(block["nu"].iloc[0]), int(block["nv"].iloc[0]), int(block["vb"].iloc[0])
-    width = min(SPAN, nv - k * SPAN)
+    width = min(span, nv - k * span)
     full = np.zeros((2, nu, width), complex)  # blocks without cells are zero
     for ub, data in zip(block["ub"], block["data"]):
         part = np.frombuffer(data, complex).reshape(2, -1, width)
-        full[:, ub * SPAN : ub * SPAN + part.shape[1]] = part
+        full[:, ub * span : ub * span + part.shape[1]] = part
     a, b = np.fft.fft(full, axis=1)
     cross = a * np.conj(b)
     size = np.abs(cross)
     back = np.fft.ifft(np.where(size < NOISE, 0, cross / np.maximum(size, NOISE)), axis=0)
-    return pd.DataFrame([(*block[by].iloc[0], nu, nv, u, k, back[u * SPAN : (u + 1) * SPAN].tobytes()) for u in range(-(-nu // SPAN))], columns=[*head, "ub", "vb", "data"])
+    return pd.DataFrame([(*block[by].iloc[0], nu, nv, u, k, back[u * span : (u + 1) * span].tobytes()) for u in range(-(-nu // span))], columns=[*head, "ub", "vb", "data"])
 
 
-def _peak(block: pd.DataFrame, by: list[str], head: list[str]) -> pd.DataFrame:
+def _peak(block: pd.DataFrame, by: list[str], head: list[str], span: int) -> pd.DataFrame:
     """Rows transformed back along v: the block's largest value and where it is."""
-    nu, nv, first = int(block["nu"].iloc[0]), int(block["nv"].iloc[0]), int(block["ub"].iloc[0]) * SPAN
-    rows = np.concatenate([np.frombuffer(d, complex).reshape(min(SPAN, nu - first), -1) for _, d in sorted(zip(block["vb"], block["data"]))], 1)
+    nu, nv, first = int(block["nu"].iloc[0]), int(block["nv"].iloc[0]), int(block["ub"].iloc[0]) * span
+    rows = np.concatenate([np.frombuffer(d, complex).reshape(min(span, nu - first), -1) for _, d in sorted(zip(block["vb"], block["data"]))], 1)
     r = np.fft.ifft(rows, axis=1).real
     at = np.unravel_index(int(np.argmax(r)), r.shape)
     return pd.DataFrame([(*block[by].iloc[0], nu, nv, first + int(at[0]), int(at[1]), float(r[at]))], columns=[*head, "u", "v", "score"])
@@ -63,13 +63,13 @@ def phase_correlation(cells: DataFrame, by: list[str]) -> DataFrame:
     wins. A side without cells gives score 0 at no shift.
     """
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-    head = [*by, "nu", "nv"]
+    head, span = [*by, "nu", "nv"], SPAN
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", nu long, nv long"
     rows = cells.select(*by, (F.col("side") == "b").cast("int").alias("side"), F.col("iu").cast("long").alias("iu"), F.col("iv").cast("long").alias("iv"), F.col("value").cast("double").alias("value"), F.col("nu").cast("long").alias("nu"), F.col("nv").cast("long").alias("nv"))
-    ub = F.floor(F.col("iu") / SPAN).cast("long").alias("ub")
-    waves = rows.select("*", ub).groupBy(*by, "ub").applyInPandas(lambda block: _dense(block, by, head), schema + ", ub long, vb long, data binary")
-    crossed = waves.groupBy(*by, "vb").applyInPandas(lambda block: _cross(block, by, head), schema + ", ub long, vb long, data binary")
-    peaks = crossed.groupBy(*by, "ub").applyInPandas(lambda block: _peak(block, by, head), schema + ", u long, v long, score double")
+    ub = F.floor(F.col("iu") / span).cast("long").alias("ub")
+    waves = rows.select("*", ub).groupBy(*by, "ub").applyInPandas(lambda block: _dense(block, by, head, span), schema + ", ub long, vb long, data binary")
+    crossed = waves.groupBy(*by, "vb").applyInPandas(lambda block: _cross(block, by, head, span), schema + ", ub long, vb long, data binary")
+    peaks = crossed.groupBy(*by, "ub").applyInPandas(lambda block: _peak(block, by, head, span), schema + ", u long, v long, score double")
     best = peaks.groupBy(*by).agg(F.max_by(F.struct("u", "v", "nu", "nv", "score"), F.struct(F.col("score"), -F.col("u"), -F.col("v"))).alias("_b"))
 
     def signed(k: str, n: str) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelloom.operators import search
+from voxelloom.operators import camera_bias, depth_field, grades, guided, recovery, search
 from voxelloom.operators.two_planes import two_plane_proposals
-from voxelloom.plans.catalog import Tables, query, rounded
-from voxelloom.session import scratch_path
+from voxelloom.plans.catalog import CLOUD, PLACEMENTS, Tables, query, rounded
+from voxelloom.plans.clouds import irls_sql
+from voxelloom.session import materialise, scratch_path
 from voxelloom.streaming import alignment, windows
 
 # Pixels of three cameras that see a deck at 2 and tops at about 2.3 from the rig, from line items: a frame is a rig's
@@ -195,3 +196,93 @@ def depth_scale(t):
     cams = p.select("camera").distinct().select("camera", F.array(o, z, z, z, o, z, z, z, o).alias("R"), F.array(0.05 * k, 0.02 * k, z).alias("t"))
     best, _ = search.depth_scale(p, cams, ["g"], 0, 0.5, 1.5, 5, 0.2, refine=0, min_points=5)
     return rounded(best.select("g", "scale", "score", "contrast", "at_edge"), 6, "scale", "score", "contrast")
+
+
+# ---- fields, smoothing, recovery
+
+
+@query("depth_field_bootstrapped")
+def depth_field_bootstrapped(t):
+    p = pixels(t.table("lineitem")).filter("camera <> 'c0'").select("rig", "camera", "z", "rx", "ry")
+    planes = p.select("rig", "camera").distinct().withColumn("_p", F.explode(F.array(*[F.struct(F.lit(n).alias("plane"), F.lit(z).alias("z")) for n, z in (("deck", 2.0), ("top", 2.3))])))
+    planes = planes.select("rig", "camera", "_p.plane", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), (F.col("_p.z") + 0.05 * F.substring("camera", 2, 1).cast("double")).alias("off"))
+    fit, _ = depth_field.field_fit_bootstrapped(p, planes, ["rig", "camera"], "deck", 0.14, 0.08, 0.04, min_plane_points=100, min_samples=200)
+    return rounded(fit, 6, "s", "a", "b", "c", "held_rms", "worst_rms")
+
+
+@query("guided_filter", f"""WITH {CLOUD}, r AS (SELECT camera, CAST(u + 24.5 AS BIGINT) AS iu, CAST(v + 5 AS BIGINT) AS iv, avg(h) AS g, avg(l_partkey)::DOUBLE AS p FROM (SELECT *, l_partkey FROM cloud) GROUP BY ALL),
+  n AS (SELECT camera, max(iu) - min(iu) + 1 AS nu, max(iv) - min(iv) + 1 AS nv, min(iu) AS u0, min(iv) AS v0, count(*) AS k FROM r GROUP BY ALL), rad AS (SELECT unnest([2, 5]) AS radius),
+  w AS (SELECT camera, radius, r.iu, r.iv, least(greatest(r.iu + a.d, u0), u0 + nu - 1) AS ju, least(greatest(r.iv + b.d, v0), v0 + nv - 1) AS jv FROM r JOIN n USING (camera), rad, (SELECT unnest(range(-5, 6)) AS d) a, (SELECT unnest(range(-5, 6)) AS d) b WHERE abs(a.d) <= radius AND abs(b.d) <= radius),
+  m AS (SELECT w.camera, radius, w.iu, w.iv, avg(g) AS mi, avg(p) AS mp, avg(g * p) AS mip, avg(g * g) AS mii FROM w JOIN r ON r.camera = w.camera AND r.iu = w.ju AND r.iv = w.jv GROUP BY ALL),
+  ab AS (SELECT camera, radius, iu, iv, (mip - mi * mp) / (mii - mi * mi + 0.5) AS a, mp - (mip - mi * mp) / (mii - mi * mi + 0.5) * mi AS b FROM m),
+  s AS (SELECT w.camera, radius, w.iu, w.iv, avg(a) AS a, avg(b) AS b FROM w JOIN ab USING (camera, radius) WHERE ab.iu = w.ju AND ab.iv = w.jv GROUP BY ALL)
+  SELECT camera, radius, iu, iv, CASE WHEN k = nu * nv THEN round(a * g + b, 4) END AS smooth FROM r JOIN n USING (camera) JOIN s USING (camera, iu, iv)""")
+def guided_filter(t):
+    c = t.cloud().select("camera", (F.col("u") + 24.5).cast("long").alias("iu"), (F.col("v") + 5).cast("long").alias("iv"), "h", "l_partkey")
+    r = c.groupBy("camera", "iu", "iv").agg(F.avg("h").alias("g"), F.avg("l_partkey").cast("double").alias("p"))
+    both = [guided.guided_filter(r, ["camera"], "g", "p", k, 0.5).withColumn("radius", F.lit(k)) for k in (2, 5)]
+    return rounded(both[0].unionByName(both[1]), 4, "smooth")
+
+
+@query("peel_unclaimed")
+def peel_unclaimed(t):
+    # parts as columns of points: a part holds as many points on its top as it has sizes, over its footprint
+    p = belt(t).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).select(
+        "capture", (F.col("pid") * 40 + F.col("k")).alias("pid"), (F.col("u") + F.col("k") % 8 * 0.05).alias("u"), (F.col("v") + F.floor(F.col("k") / 8) * 0.02).alias("v"), (F.floor(F.col("h") * 10) / 5 + F.col("k") % 3 * 0.001).alias("h"))
+    claimed = p.filter(F.floor(F.col("pid") / 40) % 5 == 0).select("capture", "pid")
+    got = recovery.peel_unclaimed(p, claimed, ["capture"], 0.06, close=1, min_cells=8, min_points=20, min_gap=0.02)
+    return rounded(got.drop("label"), 5, "height", "relief", "cu", "cv", "length", "width", "yaw", "coverage")
+
+
+@query("grade_table")
+def grade_table(t):
+    # a run is a year of line items with its own reference, the items that stand fifth or later in their order
+    c = t.cloud().select(F.year("l_shipdate").alias("run"), (F.col("l_linenumber") % 4).alias("camera"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pid"), *[F.col(k).cast("double").alias(k) for k in "uvh"], "l_linenumber")
+    c = materialise(c, "grade-cloud")
+    fused, ref = c.filter("l_linenumber < 5"), c.filter("l_linenumber >= 5").withColumnRenamed("run", "scene")
+    runs = c.select("run").distinct().select("run", F.col("run").alias("scene"), F.concat(F.lit("Y"), F.col("run").cast("string")).alias("subset"), F.lit(504).alias("res"), F.lit("420x504").alias("depth_grid"))
+    k = F.col("camera").cast("double")
+    centres = c.select("camera").distinct().select("camera", (10 * k).alias("x"), (k * k).alias("y"), (200 + k).alias("z"))
+    g = grades.grade_table(runs, fused, fused, ref, centres, ["run"], 1.0, 22.0, 4.0, 0.05, 30.0, 50.0, (20.0, 80.0), 1.0, 2.0, layer_band=20.0, layer_above=40.0, layer_tol=4.0, min_deck=50, min_cells=100, min_tops=20, min_view=50, unit=1.0)
+    return rounded(g, 6, *[f.name for f in g.schema if f.dataType.simpleString() == "double"])
+
+
+# ---- bias of cameras, poses and folds
+
+FOLDS = f"""{PLACEMENTS}, folds AS (SELECT DISTINCT camera, label FROM placements), rep AS (SELECT p.camera, f.label AS held, h_true, h_meas FROM placements p JOIN folds f ON f.camera = p.camera AND f.label <> p.label)"""
+
+
+@query("leave_one_height_out_reweighted", f"""WITH {FOLDS}, {irls_sql('rep', 'camera, held', ['h_true'], 'h_meas', 2.0, 6)}, sc AS (SELECT p.camera, p.label, f.p, f.q, h_meas - h_true AS b, h_meas - (f.p * h_true + f.q) AS a FROM placements p JOIN fit f ON f.camera = p.camera AND f.held = p.label)
+  SELECT camera, label, round(any_value(p), 6) AS p, round(any_value(q), 6) AS q, count(*) AS n, round(median(b), 6) AS median_before, round(sqrt(avg(b * b)), 6) AS rms_before, round(median(a), 6) AS median_after, round(sqrt(avg(a * a)), 6) AS rms_after FROM sc GROUP BY camera, label""")
+def leave_one_height_out_reweighted(t):
+    r = camera_bias.leave_one_out_reweighted(t.placements(), ["camera"], "label", "h_true", "h_meas")
+    return rounded(r, 6, "p", "q", "median_before", "rms_before", "median_after", "rms_after")
+
+
+@query("leave_one_plane_out_reweighted", f"""WITH {FOLDS}, {irls_sql('rep', 'camera, held', ['h_meas'], 'h_true', 1.345, 6)}, sc AS (SELECT p.camera, p.label, f.p, f.q, h_true - h_meas AS b, h_true - (f.p * h_meas + f.q) AS a FROM placements p JOIN fit f ON f.camera = p.camera AND f.held = p.label JOIN (SELECT camera FROM folds GROUP BY camera HAVING count(*) >= 3) USING (camera))
+  SELECT camera, label, round(any_value(p), 6) AS p, round(any_value(q), 6) AS q, count(*) AS n, round(median(b), 6) AS median_before, round(sqrt(avg(b * b)), 6) AS rms_before, round(median(a), 6) AS median_after, round(sqrt(avg(a * a)), 6) AS rms_after FROM sc GROUP BY camera, label""")
+def leave_one_plane_out_reweighted(t):
+    r = camera_bias.leave_one_out_reweighted(t.placements(), ["camera"], "label", "h_meas", "h_true", 1.345, min_folds=3)
+    return rounded(r, 6, "p", "q", "median_before", "rms_before", "median_after", "rms_after")
+
+
+@query("camera_bias")
+def camera_bias_query(t):
+    # two surfaces of each camera: the reference's deck and tops of the pixel view, as points of the rig
+    p = pixels(t.table("lineitem")).filter("camera <> 'c0' or z < 2.7").join(cameras(t).select("camera", F.col("t")[0].alias("tx"), F.col("t")[2].alias("tz")), "camera")
+    z = F.col("z")
+    pts = p.select("rig", "camera", F.when(z - F.col("tz") > 2.15, "far").otherwise("near").alias("surface"), (F.col("rx") * z - F.col("tx")).alias("x"), (F.col("ry") * z).alias("y"), (z - F.col("tz")).alias("z"))
+    at = cameras(t).select("camera", (-F.col("t")[0]).alias("x"), F.lit(0.0).alias("y"), (-F.col("t")[2]).alias("z"))
+    return rounded(camera_bias.camera_bias(pts, at, ["rig"], 20), 6, "scale", "offset", "near_tilt_deg", "far_tilt_deg")
+
+
+@query("relative_rotation_error", f"""WITH {BELT}
+  SELECT capture, n AS cameras, round(e, 5) AS rotation_error_deg FROM (SELECT capture, count(*) AS n, max(degrees(acos(greatest(-1, least(1, cos(est - f_est - (cal - f_cal))))))) AS e FROM (SELECT capture, est, cal, first_value(est) OVER w AS f_est, first_value(cal) OVER w AS f_cal FROM (SELECT capture, pid, 0.3::DOUBLE + u AS est, 0.1::DOUBLE + u + h AS cal FROM belt) WINDOW w AS (PARTITION BY capture ORDER BY pid)) GROUP BY capture)""")
+def relative_rotation_error(t):
+    z, o = F.lit(0.0), F.lit(1.0)
+
+    def turn(a):
+        return F.array(F.cos(a), -F.sin(a), z, F.sin(a), F.cos(a), z, z, z, o)
+
+    p = belt(t).select("capture", F.col("pid").alias("camera"), turn(0.3 + F.col("u")).alias("R_est"), turn(0.1 + F.col("u") + F.col("h")).alias("R_cal"))
+    return rounded(camera_bias.relative_rotation_error(p, ["capture"]), 5, "rotation_error_deg")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelloom.plans.catalog import CAMS, FRAMES, Tables, query, rounded
-from voxelloom.streaming import stateful, windows
+from voxelloom.streaming import stateful, timers, windows
 
 
 def frame_stream(t: Tables):
@@ -55,7 +55,14 @@ def trigger_policy(t):
     return windows.replay(stateful.settle_trigger(f, 10.0, 2, 40.0, mode="continuous", every=5)).select("rig", "seq", "fired")
 
 
-@query("settle_timeout")
+TIMEOUT = f"""WITH RECURSIVE {FRAMES}, f AS (SELECT rig, seq, ts, metric, row_number() OVER (PARTITION BY rig ORDER BY ts, seq) AS k FROM frames),
+  st AS (SELECT rig, 1::BIGINT AS k, metric AS prev, 0 AS cnt, true AS armed, false AS fired, false AS forced, epoch_us(ts) AS since, seq FROM f WHERE k = 1
+  UNION ALL SELECT rig, k, metric, CASE WHEN fire OR late THEN 0 ELSE c END, arm AND NOT fire AND NOT late, fire OR late, late, CASE WHEN fire OR late THEN now ELSE since END, seq FROM (SELECT *, NOT fire AND now - since >= 7200000000 AS late FROM (SELECT *, arm AND c >= 2 AS fire FROM (
+    SELECT n.rig, n.k, n.metric, n.seq, epoch_us(n.ts) AS now, st.since, st.armed OR abs(n.metric - st.prev) > 40 AS arm,
+    CASE WHEN abs(n.metric - st.prev) <= 10 THEN (CASE WHEN abs(n.metric - st.prev) > 40 THEN 0 ELSE st.cnt END) + 1 ELSE greatest(0, (CASE WHEN abs(n.metric - st.prev) > 40 THEN 0 ELSE st.cnt END) - 1) END AS c FROM st JOIN f n ON n.rig = st.rig AND n.k = st.k + 1))))"""
+
+
+@query("settle_timeout", f"{TIMEOUT} SELECT rig, seq, fired, forced FROM st")
 def settle_timeout(t):
     f = frame_stream(t).withColumn("grey", F.array("metric"))
     return windows.replay(stateful.settle_trigger(f, 10.0, 2, 40.0, timeout_s=7200.0)).select("rig", "seq", "fired", "forced")
@@ -71,12 +78,26 @@ def online_align(t):
     return rounded(windows.replay(stateful.online_align(f, "view")).select("rig_camera", "seq", "a", "b"), 8, "a", "b")
 
 
-@query("novelty_filter")
-def novelty_filter(t):
+NOVEL = f"""WITH RECURSIVE {FRAMES}, f AS (SELECT rig, seq, metric / 20 AS a, metric / 100 AS t, row_number() OVER (PARTITION BY rig ORDER BY ts, seq) AS k FROM frames),
+  st AS (SELECT rig, 1::BIGINT AS k, seq, true AS accepted, [{{'a': a, 't': t}}] AS seen FROM f WHERE k = 1
+  UNION ALL SELECT rig, k, seq, ok, CASE WHEN ok THEN list_append(seen, {{'a': a, 't': t}}) ELSE seen END FROM (SELECT n.*, st.seen, len(list_filter(st.seen, lambda q: degrees(acos(greatest(-1, least(1, cos(q.a - n.a))))) < 25 AND abs(q.t - n.t) < LIMIT)) = 0 AS ok
+    FROM st JOIN f n ON n.rig = st.rig AND n.k = st.k + 1)) SELECT rig, seq, accepted FROM st"""
+
+
+def posed_views(t: Tables):
     z, o = F.lit(0.0), F.lit(1.0)
     ang = F.col("metric") / 20
-    f = frame_stream(t).select("rig", "ts", "seq", F.array(F.cos(ang), -F.sin(ang), z, F.sin(ang), F.cos(ang), z, z, z, o).alias("R"), F.array(F.col("metric") / 100, z, z).alias("t"))
-    return windows.replay(stateful.novelty_filter(f, 25.0, 1.0)).select("rig", "seq", "accepted")
+    return frame_stream(t).select("rig", "ts", "seq", F.array(F.cos(ang), -F.sin(ang), z, F.sin(ang), F.cos(ang), z, z, z, o).alias("R"), F.array(F.col("metric") / 100, z, z).alias("t"))
+
+
+@query("novelty_filter", NOVEL.replace("LIMIT", "1.0"))
+def novelty_filter(t):
+    return windows.replay(stateful.novelty_filter(posed_views(t), 25.0, 1.0)).select("rig", "seq", "accepted")
+
+
+@query("novel_views", NOVEL.replace("LIMIT", "0.1"))
+def novel_views(t):
+    return windows.replay(timers.novel_views(posed_views(t), 25.0, 0.1)).select("rig", "seq", "accepted")
 
 
 @query("run_bounds", f"WITH {FRAMES}, f AS (SELECT rig, seq, ts, row_number() OVER (PARTITION BY rig ORDER BY ts, seq) AS k, min(ts) OVER (PARTITION BY rig) AS t0 FROM frames) SELECT rig, seq FROM f WHERE k <= 60 AND epoch_us(ts) - epoch_us(t0) <= 864000000000")
