@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,15 +146,19 @@ def pool_max(values: np.ndarray, first: np.ndarray, empty: float = 0.0) -> np.nd
     return out
 
 
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows for the session, if they were larger: whole texts make long rows."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_texts(docs: DataFrame, text: str, keep: list[str], fn: Callable[[pa.Array], pa.StructArray], result: T.StructType) -> DataFrame:
     """doc (a struct of the columns ``keep``) and out (what ``fn`` makes of the text column), batch by batch.
 
     The kept columns stay inside a struct, so their names may clash with nothing. Arrow batches are set to
     ``BATCH_ROWS`` rows for the session if they were larger: whole texts make long rows.
     """
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    few_rows_a_batch(docs.sparkSession)
     doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")
     inside = text in keep and docs.schema[text].dataType == T.StringType()
     source = docs.select(doc) if inside else docs.select(doc, F.col(f"`{text}`").cast("string").alias("text"))

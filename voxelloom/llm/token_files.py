@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelloom.llm.textbytes import map_texts, pieces, struct_array
-from voxelloom.session import materialise
+from voxelloom.llm.textbytes import few_rows_a_batch, pieces, struct_array
 
 # A word is a selector (top four bits) over 60 bits. Selector s holds COUNT[s] ids of BITS[s] bits, the first lowest.
 # Selector 0 is the escape: its 60 bits are a place in the segment's list of ids that need more than 60 bits.
@@ -135,8 +139,28 @@ class Segment:
 
 
 _CODED = T.StructType([T.StructField("ids", T.BinaryType())])
-_KEPT = 1 << 19  # chunks whose ids a worker remembers
+_KEPT = 300_000  # chunks after which a worker starts to forget those it met longest ago
 _LONG = 64  # bytes; longer chunks are not remembered
+_MARK = b"\x01"  # stands between new chunks that are encoded as one text
+_TOGETHER = 1000
+
+
+# Where a tokenizer says this, a chunk of letters below U+0250 and then ASCII signs is two pieces, lower-cased: its
+# ids come from the library's merges alone. Letters there have one form and no marks that follow them.
+_PLAIN_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: itself if it prints, else the next beyond U+00FF."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
 
 
 class ChunkEncoder:
@@ -146,38 +170,85 @@ class ChunkEncoder:
     without white space does. Strings of special tokens inside a text are ordinary text.
     """
 
+    _loaded: ClassVar[dict[tuple[str, int | None], ChunkEncoder]] = {}  # a Python worker runs many tasks
+
     def __init__(self, path: str, end_id: int | None):
-        self.path, self.end_id, self.tokenizer, self.known = path, end_id, None, {}
+        self.path, self.end_id, self.known, self.older = path, end_id, {}, {}
 
-    def __getstate__(self):
-        return {"path": self.path, "end_id": self.end_id, "tokenizer": None, "known": {}}
+    @classmethod
+    def here(cls, path: str, end_id: int | None) -> ChunkEncoder:
+        """This process's encoder, with what it remembers."""
+        if (path, end_id) not in cls._loaded:
+            cls._loaded[path, end_id] = one = cls(path, end_id)
+            one.load()
+        return cls._loaded[path, end_id]
 
     def load(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
         self.tokenizer.encode_special_tokens = True
         largest = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, self.end_id or 0)
         self.kind = "<u2" if largest < 1 << 16 else "<u4"
+        rules = json.loads(self.tokenizer.to_str())
+        self.plain = all(rules[k] == v for k, v in _PLAIN_RULES.items())
+        self.pieces = {"": b""}
+        letters = byte_letters()
+        self.letter = {ord(bytes([b]).decode("latin-1")): c for b, c in enumerate(letters)}  # of a byte read as Latin-1
+
+    def piece(self, text: str) -> bytes:
+        mapped = text if text.isascii() else text.encode().decode("latin-1").translate(self.letter)
+        return array("H" if self.kind == "<u2" else "I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def learn(self, fresh: list[bytes]) -> None:
+        """Remembers the ids of new chunks. Many go to the library as one text, parted by a mark whose only id no other chunk has."""
+        rest = []
+        if self.plain:
+            for c in fresh:
+                m = _PLAIN.fullmatch(c.decode("utf-8", "replace"))
+                if m:
+                    sign = m[2]
+                    if sign not in self.pieces:
+                        self.pieces[sign] = self.piece(sign)
+                    self.known[c] = self.piece(m[1].lower()) + self.pieces[sign]
+                else:
+                    rest.append(c)
+            fresh = rest
+            if len(self.pieces) > _KEPT:
+                self.pieces = {"": b""}
+        mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
+        plain = [c for c in fresh if _MARK not in c] if len(mark) == 1 else []
+        groups = [plain[k : k + _TOGETHER] for k in range(0, len(plain), _TOGETHER)]
+        joined = [(b" " + _MARK + b" ").join(g).decode("utf-8", "replace") for g in groups]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(coded.ids, self.kind)
+            cuts = np.flatnonzero(ids == mark[0])
+            size, data = ids.itemsize, ids.tobytes()
+            first, end = np.concatenate([[0], cuts + 1]) * size, np.concatenate([cuts, [len(ids)]]) * size
+            self.known.update((c, data[a:b]) for c, a, b in zip(group, first.tolist(), end.tolist(), strict=True))
+        alone = fresh if not plain else [c for c in fresh if _MARK in c]
+        for c, coded in zip(alone, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in alone], add_special_tokens=False)):
+            self.known[c] = np.array(coded.ids, self.kind).tobytes()
 
     def encode(self, column: pa.Array) -> pa.StructArray:
-        if self.tokenizer is None:
-            self.load()
         end = b"" if self.end_id is None else np.array([self.end_id], self.kind).tobytes()
         out: list[bytes] = []
         for i, j, data, off in pieces(column):
             raw = data.tobytes()
             texts = [raw[off[d] : off[d + 1]].split() for d in range(j - i)]
-            fresh = list(set().union(*texts) - self.known.keys())
-            if fresh:
-                coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)
-                self.known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(fresh, coded))
-            out += [b"".join(map(self.known.__getitem__, t)) + end for t in texts]
+            known, older = self.known, self.older
+            new = [c for c in set().union(*texts) if c not in known]
+            fresh = [c for c in new if c not in older]
+            if len(fresh) < len(new):
+                known.update((c, older[c]) for c in new if c in older)
+            self.learn(fresh)
+            out += [b"".join(map(known.__getitem__, t)) + end for t in texts]
             for c in fresh:
                 if len(c) > _LONG:
-                    del self.known[c]
-            if len(self.known) > _KEPT:
-                self.known.clear()
+                    del known[c]
+            if len(known) > _KEPT:
+                self.known, self.older = {}, known
         return struct_array(_CODED, [out])
 
 
@@ -189,20 +260,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: str, text: s
     Spark's committer leaves one copy of each segment whatever executors are lost, in any store that Spark writes to.
 
     A null text is an empty text and has only the end id, if there is one. A null in ``order`` comes after all others.
-    Rows of equal ``order`` come by a hash of their ids; rows alike in both are interchangeable unless other kept
+    Rows of equal ``order`` come by a hash of their text; rows alike in both are interchangeable unless other kept
     columns differ, and then come as they were read. They may all be one value: the range is then cut between them.
     An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    coder = ChunkEncoder(tokenizer, end_id)
-    sample = ChunkEncoder(tokenizer, end_id)
-    sample.load()
-    kind = sample.kind
-    coded = map_texts(docs, text, keep, coder.encode, _CODED).select("doc", "out.ids", F.xxhash64("out.ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
-    table = materialise(coded, "token-ids")
-    by = [F.col(f"doc.`{order}`").asc_nulls_last(), F.col("tie").asc(), F.col("row").asc()]
-    result = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("seq", T.IntegerType()), ("first", T.LongType()), ("n_ids", T.LongType()), ("docs", T.ArrayType(table.schema["doc"].dataType)), ("data", T.BinaryType()))])
+    kind = ChunkEncoder.here(tokenizer, end_id).kind
+    few_rows_a_batch(docs.sparkSession)
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{order}`").alias("at")).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    by = [F.col("at").asc_nulls_last(), F.col("tie").asc(), F.col("row").asc()]
+    result = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("seq", T.IntegerType()), ("first", T.LongType()), ("n_ids", T.LongType()), ("docs", T.ArrayType(source.schema["doc"].dataType)), ("data", T.BinaryType()))])
 
     def write(batches):
         part, seq, first = TaskContext.get().partitionId(), 0, 0
@@ -221,7 +288,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: str, text: s
             return row
 
         for batch in batches:
-            coded = batch.column(1)
+            coded = ChunkEncoder.here(tokenizer, end_id).encode(batch.column(1)).field(0)
             counts = np.array([len(b) for b in (x.as_buffer() for x in coded)], np.int64) // np.dtype(kind).itemsize
             a = 0
             while a < len(counts):
@@ -235,7 +302,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: str, text: s
         if held:
             yield close()
 
-    ordered = table.repartitionByRange(*by).sortWithinPartitions(*by).select("doc", "ids")
+    ordered = source.repartitionByRange(*by).sortWithinPartitions(*by).select("doc", "text")
     ordered.mapInArrow(write, result).write.parquet(path)
 
 
@@ -247,9 +314,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     ``Segment`` reads them.
     """
     stored = spark.read.parquet(path)
-    totals = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each partition of the writer
+    totals = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     running = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = stored.join(totals.select(F.col("part").alias("of"), running.alias("before")), F.col("part") == F.col("of"))
+    # one row of two numbers for each partition of the writer, so segments need not be shuffled to meet it
+    placed = stored.join(F.broadcast(totals.select(F.col("part").alias("of"), running.alias("before"))), F.col("part") == F.col("of"))
     result = T.StructType([T.StructField("doc", stored.schema["docs"].dataType.elementType), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def read(batches):

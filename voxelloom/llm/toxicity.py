@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelloom.llm.sampling import labelled
 from voxelloom.llm.textbytes import Words, map_texts, pieces, pool_max, struct_array
+from voxelloom.session import materialise
 
 BUCKETS = 1 << 19
+BINS = 1000  # steps of a score where thresholds are set
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 STEMS = (4, 5, 6)  # a word counts with its first bytes too, so that unseen inflections are known by their stems
 
@@ -27,6 +31,12 @@ def word_buckets(w: Words) -> np.ndarray:
     return np.column_stack([(p >> np.uint64(20)) % np.uint64(BUCKETS) for p in parts]).astype(np.int32)
 
 
+def dense(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    table = np.zeros((BUCKETS, DIM), np.float32)
+    table[rows] = values
+    return table
+
+
 @dataclass
 class ConvNet:
     table: np.ndarray  # buckets x dim
@@ -36,6 +46,13 @@ class ConvNet:
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
 
+    def __getstate__(self):
+        rows = np.flatnonzero(self.table.any(1))  # the table is mostly zero: only its other rows travel
+        return {**self.__dict__, "table": (rows.astype(np.int32), self.table[rows])}
+
+    def __setstate__(self, state):
+        self.__dict__ = {**state, "table": dense(*state["table"])}
+
     def convolve(self, e: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Responses of every filter at every word; words past the document's end count as zero vectors."""
         parts = []
@@ -65,11 +82,22 @@ class ConvNet:
         return np.concatenate(done)
 
 
-def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.03, prior: float = 60.0, seed: int = 11) -> ConvNet:
+def batches_of(order: np.ndarray, sizes: np.ndarray, batch: int, words: int):
+    """Runs of ``order`` of at most ``batch`` documents and ``words`` words; a longer document is a run of its own."""
+    at = 0
+    while at < len(order):
+        total = np.cumsum(sizes[order[at : at + batch]])
+        n = max(1, int(np.searchsorted(total, words, "right")))
+        yield order[at : at + n]
+        at += n
+
+
+def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.03, prior: float = 60.0, seed: int = 11, batch_words: int = 1 << 16) -> ConvNet:
     """Trains on documents given as bucket rows.
 
     The table's first dimension starts from smoothed log-odds of a bucket's presence in toxic documents, which
-    gives the pooled maxima something to find; everything is then trained by gradient (Adagrad). No rows or one
+    gives the pooled maxima something to find; everything is then trained by gradient (Adagrad). Buckets of a single
+    document teach nothing about another: their rows, as those never seen, are and stay zero. No rows or one
     class give a constant score, the smoothed share of label 1.
     """
     rng = np.random.default_rng(seed)
@@ -77,12 +105,15 @@ def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int =
     kernels = [rng.normal(0, 0.2, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
     net = ConvNet(table, kernels, np.zeros(FILTERS * len(WIDTHS), np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
     if not len(y) or y.min() == y.max():
+        table[:] = 0
         return net
     seen = np.zeros((2, BUCKETS))
     for bag, label in zip(bags, y):
         seen[int(label), np.unique(bag)] += 1
     share, total = y.mean(), seen.sum(0)
     table[:, 0] = np.log((seen[1] + prior * share) / (total + prior) / share).clip(-1, None)
+    alive = total >= 2
+    table[~alive] = 0
     kernels[0][0][:, 0] = 0
     kernels[0][0][0, 0] = 1
     net.out[:] = rng.normal(0, 0.1, len(net.out))
@@ -93,8 +124,7 @@ def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int =
     sizes = np.array([len(b) for b in bags])
     for _ in range(epochs):
         order = rng.permutation(np.flatnonzero(sizes > 0))
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
+        for part in batches_of(order, sizes, batch, batch_words):
             x, first = np.concatenate([bags[k] for k in part]), np.concatenate([[0], np.cumsum(sizes[part])])
             doc = np.repeat(np.arange(len(part)), sizes[part])
             e = net.embed(x)
@@ -122,6 +152,7 @@ def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 3, batch: int =
             rows, at_row = np.unique(np.concatenate(touched), return_inverse=True)
             d_table = np.zeros((len(rows), DIM), np.float32)
             np.add.at(d_table, at_row, np.concatenate(flows))
+            rows, d_table = rows[alive[rows]], d_table[alive[rows]]
             table_sum[rows] += d_table**2
             table[rows] -= rate * d_table / np.sqrt(table_sum[rows])
             for p_, s, d in zip((*kernels, net.out), sums, (*d_kernels, d_out)):
@@ -143,11 +174,33 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = 6_000, calibrate: float = 0.25, least: int = 20) -> ConvNet:
-    """A net fitted on about ``sample`` labelled rows outside the held-out fold, with a threshold for each language.
+_NET = T.StructType([T.StructField("net", T.BinaryType())])
+
+
+def _train(batches):
+    """One net from all rows of the partition, taken in order of the id."""
+    rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+    rows.sort(key=lambda r: str(r[0]))
+    net = fit_net([np.frombuffer(r[2], np.int32).reshape(-1, 1 + len(STEMS)) for r in rows], np.array([r[1] for r in rows], float))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], _NET.names)
+
+
+def _thresholds(bins: pd.DataFrame) -> pd.DataFrame:
+    """A language's best cut from its counts of (score bin, label)."""
+    order = bins.sort_values("bin")
+    score, y = np.repeat(order["bin"], order["n"]).to_numpy() / BINS, np.repeat(order["label"], order["n"]).to_numpy(float)
+    return pd.DataFrame({"lang": [bins["lang"].iloc[0]], "cut": [best_threshold(score, y)]})
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = 6_000, words: int = 4_000_000, calibrate: float = 1 / 3, least: int = 20) -> ConvNet:
+    """A net fitted on a bounded sample of labelled rows outside the held-out fold, with a threshold for each language.
 
-    A share ``calibrate`` of the sample is kept from the training and sets the thresholds; a language with fewer than
-    ``least`` toxic or clean rows there takes the threshold of all. Only the sample's word hashes reach the driver.
+    A share ``calibrate`` of all labelled ids, by hash, is kept from the training. Of the others about ``sample`` times the
+    rest's share are taken, and of these as many, in order of a hash, as hold ``words`` words at most (a row's words are
+    taken whole; the first row always): that bounds the one task that trains. All labelled rows that were not taken, however
+    many, are scored where they lie and counted by language, score to 1/``BINS`` and label; a language with ``least`` toxic
+    and ``least`` clean rows among them takes its own best cut, any other the best cut of all. Only the net and the cuts
+    reach the driver.
     """
 
     def buckets(column: pa.Array) -> pa.StructArray:
@@ -158,20 +211,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int =
             out += [b[w.first[d] : w.first[d + 1]].tobytes() for d in range(j - i)]
         return struct_array(_WORDS, [out])
 
-    rows = map_texts(labelled(docs.select("doc_id", "text", "lang"), labels, "toxic", folds, held, sample), "text", ["doc_id", "lang", "label"], buckets, _WORDS)
-    got = rows.select("doc.doc_id", "doc.lang", "doc.label", "out.words").orderBy("doc_id").toPandas()
-    bags = [np.frombuffer(b, np.int32).reshape(-1, 1 + len(STEMS)) for b in got["words"]]
-    y = got["label"].to_numpy(float)
-    kept = np.random.default_rng(5).random(len(y)) < calibrate
-    net = fit_net([b for b, k in zip(bags, kept) if not k], y[~kept])
-    held_bags = [b for b, k in zip(bags, kept) if k]
-    score, label, lang = np.array([net.score(b, np.zeros(len(b), np.int64), np.array([0, len(b)]))[0] for b in held_bags]), y[kept], got["lang"][kept].to_numpy()
-    if len(label) and label.min() != label.max():
-        net.threshold = best_threshold(score, label)
-        for one in {x for x in lang if isinstance(x, str)}:
-            own = lang == one
-            if min(label[own].sum(), (1 - label[own]).sum()) >= least:
-                net.thresholds[one] = best_threshold(score[own], label[own])
+    texts = docs.select("doc_id", "text", "lang")
+    aside = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(calibrate * (1 << 30))
+    chosen = labelled(texts.select("doc_id", "text"), labels, "toxic", folds, held, int(sample * (1 - calibrate)), ~aside)
+    rows = map_texts(chosen, "text", ["doc_id", "label"], buckets, _WORDS).select("doc.doc_id", "doc.label", "out.words")
+    rows = materialise(rows, "toxicity-sample")
+    size = (F.octet_length("words") / (4 * (1 + len(STEMS)))).cast("long")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # ids of the sample only
+    inside = rows.select("doc_id", F.sum(size).over(before).alias("n"), size.alias("own")).filter((F.col("n") <= words) | (F.col("n") == F.col("own"))).select("doc_id")
+    got = rows.join(inside, "doc_id", "left_semi").select("doc_id", "label", "words").repartition(1).mapInArrow(_train, _NET).collect()
+    if got:
+        net = pickle.loads(got[0]["net"])
+    else:
+        net = fit_net([], np.zeros(0))
+    rest = labelled(texts, labels, "toxic", folds, held, None).join(F.broadcast(rows.select("doc_id")), "doc_id", "left_anti")  # at most the sample's ids
+    scored = map_texts(rest, "text", ["lang", "label"], lambda c: struct_array(_SCORE, [net.score_texts(c)]), _SCORE)
+    bins = scored.groupBy("doc.lang", "doc.label", F.round(F.col("out.score") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    bins = materialise(bins, "toxicity-bins")
+    enough = bins.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("clean")).filter((F.col("toxic") >= least) & (F.col("clean") >= least))
+    known = {r["label"] for r in bins.select("label").distinct().collect()}
+    if len(known) > 1:
+        every = bins.groupBy("label", "bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(""))
+        net.threshold = every.groupBy("lang").applyInPandas(_thresholds, "lang string, cut double").first()["cut"]
+        own = bins.join(enough, "lang", "left_semi").groupBy("lang").applyInPandas(_thresholds, "lang string, cut double")
+        net.thresholds = {r["lang"]: r["cut"] for r in own.collect()}
     return net
 
 
