@@ -185,11 +185,13 @@ def _train(batches):
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], _NET.names)
 
 
-def _thresholds(bins: pd.DataFrame) -> pd.DataFrame:
-    """A language's best cut from its counts of (score bin, label)."""
+def _thresholds(bins: pd.DataFrame, least: int) -> pd.DataFrame:
+    """The best cut from counts of (score bin, label): of all rows, or of a language; NaN without ``least`` rows of both labels."""
     order = bins.sort_values("bin")
     score, y = np.repeat(order["bin"], order["n"]).to_numpy() / BINS, np.repeat(order["label"], order["n"]).to_numpy(float)
-    return pd.DataFrame({"lang": [bins["lang"].iloc[0]], "cut": [best_threshold(score, y)]})
+    every = bool(bins["every"].iloc[0])
+    enough = min(y.sum(), (1 - y).sum()) >= (1 if every else least)
+    return pd.DataFrame({"every": [every], "lang": [bins["lang"].iloc[0]], "cut": [best_threshold(score, y) if enough else np.nan]})
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = 6_000, words: int = 4_000_000, calibrate: float = 1 / 3, least: int = 20) -> ConvNet:
@@ -227,14 +229,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int =
     rest = labelled(texts, labels, "toxic", folds, held, None).join(F.broadcast(rows.select("doc_id")), "doc_id", "left_anti")  # at most the sample's ids
     scored = map_texts(rest, "text", ["lang", "label"], lambda c: struct_array(_SCORE, [net.score_texts(c)]), _SCORE)
     bins = scored.groupBy("doc.lang", "doc.label", F.round(F.col("out.score") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    bins = materialise(bins, "toxicity-bins")
-    enough = bins.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("clean")).filter((F.col("toxic") >= least) & (F.col("clean") >= least))
-    known = {r["label"] for r in bins.select("label").distinct().collect()}
-    if len(known) > 1:
-        every = bins.groupBy("label", "bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(""))
-        net.threshold = every.groupBy("lang").applyInPandas(_thresholds, "lang string, cut double").first()["cut"]
-        own = bins.join(enough, "lang", "left_semi").groupBy("lang").applyInPandas(_thresholds, "lang string, cut double")
-        net.thresholds = {r["lang"]: r["cut"] for r in own.collect()}
+    both = bins.select(F.explode(F.array(F.lit(True), F.lit(False))).alias("every"), "lang", "label", "bin", "n").filter("every OR lang IS NOT NULL")
+    groups = both.select("every", F.when(F.col("every"), "").otherwise(F.col("lang")).alias("lang"), "label", "bin", "n").groupBy("every", "lang")
+    for r in groups.applyInPandas(lambda x: _thresholds(x, least), "every boolean, lang string, cut double").filter("NOT isnan(cut)").collect():
+        if r["every"]:
+            net.threshold = r["cut"]
+        else:
+            net.thresholds[r["lang"]] = r["cut"]
     return net
 
 
