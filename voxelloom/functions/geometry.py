@@ -284,7 +284,10 @@ def roll_deg(r: Column) -> Column:
 
 
 def pose_columns(r: Column) -> dict[str, Column]:
-    """Unit quaternion (w x y z) and ZYX Euler angles of a row-major rotation."""
+    """Unit quaternion (w x y z) and ZYX Euler angles of a row-major rotation.
+
+    Where the pitch is a right angle, roll and yaw turn about the same axis: the roll then takes all of it and the yaw is 0.
+    """
     m = [[r[3 * i + j] for j in range(3)] for i in range(3)]
     trace = m[0][0] + m[1][1] + m[2][2]
     by_x = (m[0][0] > m[1][1]) & (m[0][0] > m[2][2])
@@ -300,14 +303,16 @@ def pose_columns(r: Column) -> dict[str, Column]:
     def branch(w: Column, x: Column, y: Column, z: Column) -> Column:
         return F.when(trace > 0, w).when(by_x, x).when(by_y, y).otherwise(z)
 
+    locked = F.abs(m[2][0]) >= 0.999999
+
     return {
         "qw": branch(sw / 4, d21 / sx, d02 / sy, d10 / sz),
         "qx": branch(d21 / sw, sx / 4, p01 / sy, p02 / sz),
         "qy": branch(d02 / sw, p01 / sx, sy / 4, p12 / sz),
         "qz": branch(d10 / sw, p02 / sx, p12 / sy, sz / 4),
-        "roll_deg": F.degrees(F.atan2(m[2][1], m[2][2])),
+        "roll_deg": F.degrees(F.when(locked, F.atan2(-m[1][2], m[1][1])).otherwise(F.atan2(m[2][1], m[2][2]))),
         "pitch_deg": F.degrees(F.atan2(-m[2][0], F.hypot(m[0][0], m[1][0]))),
-        "yaw_deg": F.degrees(F.atan2(m[1][0], m[0][0])),
+        "yaw_deg": F.degrees(F.when(locked, 0.0).otherwise(F.atan2(m[1][0], m[0][0]))),
     }
 
 

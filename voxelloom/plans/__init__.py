@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("grading", "clouds", "views", "records", "live", "aligning")
+PARTS = ("grading", "clouds", "views", "records", "live", "aligning", "checks")
 
 
 def load_catalog():

@@ -230,7 +230,7 @@ def peel_unclaimed(t):
     p = belt(t).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).select(
         "capture", (F.col("pid") * 40 + F.col("k")).alias("pid"), (F.col("u") + F.col("k") % 8 * 0.05).alias("u"), (F.col("v") + F.floor(F.col("k") / 8) * 0.02).alias("v"), (F.floor(F.col("h") * 10) / 5 + F.col("k") % 3 * 0.001).alias("h"))
     claimed = p.filter(F.floor(F.col("pid") / 40) % 5 == 0).select("capture", "pid")
-    got = recovery.peel_unclaimed(p, claimed, ["capture"], 0.06, close=1, min_cells=8, min_points=20, min_gap=0.02)
+    got = recovery.peel_unclaimed(p, claimed, ["capture"], 0.06, close=1, min_cells=8, min_points=20, min_gap=0.02, max_levels=3)
     return rounded(got.drop("label"), 5, "height", "relief", "cu", "cv", "length", "width", "yaw", "coverage")
 
 
@@ -259,7 +259,7 @@ def leave_one_height_out_reweighted(t):
     return rounded(r, 6, "p", "q", "median_before", "rms_before", "median_after", "rms_after")
 
 
-@query("leave_one_plane_out_reweighted", f"""WITH {FOLDS}, {irls_sql('rep', 'camera, held', ['h_meas'], 'h_true', 1.345, 6)}, sc AS (SELECT p.camera, p.label, f.p, f.q, h_true - h_meas AS b, h_true - (f.p * h_meas + f.q) AS a FROM placements p JOIN fit f ON f.camera = p.camera AND f.held = p.label JOIN (SELECT camera FROM folds GROUP BY camera HAVING count(*) >= 3) USING (camera))
+@query("leave_one_plane_out_reweighted", f"""WITH {FOLDS}, {irls_sql('rep', 'camera, held', ['h_meas'], 'h_true', 1.345, 6)}, sc AS (SELECT p.camera, p.label, f.p, f.q, h_true - h_meas AS b, h_true - (f.p * h_meas + f.q) AS a FROM placements p JOIN fit f ON f.camera = p.camera AND f.held = p.label WHERE p.camera IN (SELECT camera FROM folds GROUP BY camera HAVING count(*) >= 3))
   SELECT camera, label, round(any_value(p), 6) AS p, round(any_value(q), 6) AS q, count(*) AS n, round(median(b), 6) AS median_before, round(sqrt(avg(b * b)), 6) AS rms_before, round(median(a), 6) AS median_after, round(sqrt(avg(a * a)), 6) AS rms_after FROM sc GROUP BY camera, label""")
 def leave_one_plane_out_reweighted(t):
     r = camera_bias.leave_one_out_reweighted(t.placements(), ["camera"], "label", "h_meas", "h_true", 1.345, min_folds=3)
