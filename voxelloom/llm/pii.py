@@ -56,6 +56,16 @@ def _between(n: Column, low: int, high: int) -> Column:
     return (n >= low) & (n <= high)
 
 
+def _mixed(value: Column) -> Column:
+    """Whether a value looks drawn rather than written: a letter, a digit and at least five different characters."""
+    return value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 5)
+
+
+_NAMES = (r"(?i:pass(?:word|wd|phrase|code)?|pwd|passwort|kennwort|contraseña|mot de passe|(?:client[ _-]?)?secret|(?:[a-z]{2,12}[_-])?token|"
+          r"(?:api|access|auth|secret|private)[ _-]?key)")
+_SET = r"""[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"""
+
+
 # The patterns of the four base kinds and the words that speak for a kind.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -70,8 +80,21 @@ KINDS = (
          lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), lambda m: mod97(F.replace(m, F.lit(" "))), 0.8, r"iban|account|konto|cuenta|compte"),
     Kind("local_phone", r"(?<![0-9A-Za-z+.-])\(?0[0-9]{1,4}\)?[ /-][0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}(?![0-9A-Za-z-])",
          lambda t: t.rlike(r"0[0-9]{1,4}\)?[ /-]"), lambda m: _between(F.length(digits(m)), 8, 12), 0.3, r"phone|tel|call|mobile|fax|anruf|llam|appel", 0.3, 0.5),
+    Kind("american_phone", r"(?<![0-9A-Za-z+.)-])(?<!\+[0-9]{1,3} )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+         lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}"), lambda m: F.lit(True), 0.3, r"phone|tel|call|mobile|fax|llam|appel", 0.3, 0.5),
+    Kind("social_security", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+         lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: ~m.rlike(r"^(?:000|666|9..)|-00-|0000$"), 0.3, r"\bssn\b|social security|seguro social", 0.4, 0.5),
+    Kind("access_key", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])",
+         lambda t: t.rlike(r"AKIA|ASIA|gh[pousr]_|AIza|xox[abprs]-|sk_live_"), lambda m: m.rlike("[0-9]"), 0.8, r"key|secret|token|credential"),
+    Kind("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+         lambda t: t.contains("eyJ"), lambda m: F.lit(True), 0.8, r"token|bearer|authorization|jwt"),
+    Kind("private_key", r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----(?:[^-]++(?:-----END (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----)?+)?+",
+         lambda t: t.contains("PRIVATE KEY-----"), lambda m: F.lit(True), 0.8, r"key|pem|ssh|certificate"),
+    Kind("secret", rf"(?<![A-Za-z0-9])(?:{_NAMES}){_SET}[^\s\"',;]{{8,}}+",
+         lambda t: t.rlike(rf"(?:{_NAMES}){_SET}"), lambda m: let(F.regexp_extract(m, rf"{_SET}(.+)$", 1), _mixed), 0.6, r"login|user|config|credential|export|connect|account"),
 )
 BASE = ("email", "ip", "card", "phone")
+SECRETS = ("access_key", "web_token", "private_key", "secret")
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
@@ -109,6 +132,9 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with a column of spans (start, rank, kind, end, score), by start and then kind; code points, end exclusive.
 
+    Beyond the base kinds it finds account codes, local phone and social security numbers (these two only beside a word
+    that speaks for them) and secrets: access keys by their prefix, signed web tokens, private key blocks, and values of
+    eight or more characters assigned to a name such as password or api_key, from the name to the end of the value.
     Matches of a kind are leftmost and do not overlap; matches that fail their check are dropped and not tried again
     inside. Spans of different kinds may overlap. A null or empty text has no spans; rows are read one by one, so
     repeated rows, null ids and other columns change nothing. A column of the name ``into`` is replaced.

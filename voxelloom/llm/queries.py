@@ -82,7 +82,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
     counts = [F.size(F.filter("pii", partial(is_kind, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+    more = [F.size("pii").cast("long").alias("n_spans"), F.size(F.filter("pii", lambda s: s["kind"].isin(*pii.SECRETS))).cast("long").alias("n_secret"),
+            F.array_max(F.transform("pii", lambda s: s["score"])).alias("top_score")]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"), *more)
 
 
 @query("op5_toxicity")
