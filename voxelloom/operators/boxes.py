@@ -587,29 +587,34 @@ def see_through(boxes: DataFrame, points: DataFrame, by: list[str], deck_band: f
 def sight_edge_bleed(points: DataFrame, edges: DataFrame, by: list[str], tol: float, min_points: int = 12, min_drop: float = 0.05) -> DataFrame:
     """Share of a box's points that lie on the plane through a camera and a taller neighbour's edge, beyond it.
 
-    ``points``: ``id camera pid x y z h h_self``; ``edges``: ``id camera ax ay az bx by_ bz kx ky kz top``,
-    the four top edges of each neighbour of box ``id`` and the camera centre k.
+    ``points``: ``id camera pid x y z h h_self``, one row for each point of a box and camera; ``edges``:
+    ``id camera ax ay az bx by_ bz kx ky kz top``, the four top edges of each neighbour of box ``id`` and the camera
+    centre k. What a point is tested with (normal, and the two directions that give its place along the edge and away
+    from the camera) is computed once for each edge; the edges of a box travel as one array, so points stay single rows.
+    Edges of no length or in line with the camera, and NULL ones, count for nothing.
     """
     enough = points.groupBy(*by, "id", "camera").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points)
     pts = points.join(enough.select(*by, "id", "camera"), [*by, "id", "camera"])
     from voxelloom.functions.geometry import cross, dot, minus, norm
 
-    a, b, k, q = vec("ax", "ay", "az"), vec("bx", "by_", "bz"), vec("kx", "ky", "kz"), vec("x", "y", "z")
+    a, b, k = vec("ax", "ay", "az"), vec("bx", "by_", "bz"), vec("kx", "ky", "kz")
     m = cross(minus(b, a), minus(k, a))
-    length = norm(m)
-    near = F.abs(dot(minus(q, a), m)) / length < tol
-    e1, e2, r = minus(a, k), minus(b, k), minus(q, k)
-    g11, g12, g22, f1, f2 = dot(e1, e1), dot(e1, e2), dot(e2, e2), dot(e1, r), dot(e2, r)
+    e1, e2 = minus(a, k), minus(b, k)
+    g11, g12, g22 = dot(e1, e1), dot(e1, e2), dot(e2, e2)
     det = g11 * g22 - g12 * g12
-    s, t = (f1 * g22 - f2 * g12) / det, (f2 * g11 - f1 * g12) / det
-    beyond = (s > -0.08) & (t > -0.08) & (s + t > 0.85)
-    tall = F.col("top") - F.col("h_self") >= min_drop
-    cols = ["ax", "ay", "az", "bx", "by_", "bz", "kx", "ky", "kz", "top"]
-    lists = edges.groupBy(*by, "id", "camera").agg(F.collect_list(F.struct(*cols)).alias("_edges"))
-    hit = pts.join(lists, [*by, "id", "camera"], "left")
-    flat = hit.select(*by, "id", "camera", "pid", "x", "y", "z", "h", "h_self", F.explode_outer("_edges").alias("_e")).select("*", "_e.*")
-    per_point = flat.groupBy(*by, "id", "camera", "pid").agg(
-        F.max(F.coalesce((length > 1e-9) & tall & near & beyond & (F.col("h") < F.col("top") - 0.005), F.lit(False))).alias("_bled"))
+    three = {"m": [c / norm(m) for c in m], "s": [(p * g22 - q * g12) / det for p, q in zip(e1, e2)], "t": [(q * g11 - p * g12) / det for p, q in zip(e1, e2)]}
+    ready = edges.filter((norm(m) > 1e-9) & (det > 0)).select(
+        *by, "id", "camera", "kx", "ky", "kz", "top", *[c.alias(f"{name}{i}") for name, v in three.items() for i, c in enumerate(v)])
+    used = ["kx", "ky", "kz", "top", *[f"{name}{i}" for name in three for i in range(3)]]
+    lists = ready.groupBy(*by, "id", "camera").agg(F.collect_list(F.struct(*used)).alias("_edges"))
+
+    def bled(e: Column) -> Column:
+        r = [F.col(c) - e["k" + c] for c in ("x", "y", "z")]
+        off, s, t = (dot(r, [e[f"{name}{i}"] for i in range(3)]) for name in ("m", "s", "t"))
+        tall = (e["top"] - F.col("h_self") >= min_drop) & (F.col("h") < e["top"] - 0.005)
+        return F.coalesce(tall & (F.abs(off) < tol) & (s > -0.08) & (t > -0.08) & (s + t > 0.85), F.lit(False))
+
+    per_point = pts.join(lists, [*by, "id", "camera"], "left").select(*by, "id", F.coalesce(F.exists("_edges", bled), F.lit(False)).alias("_bled"))
     return per_point.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("_bled").alias("bled"), F.avg(F.col("_bled").cast("double")).alias("bleed"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.groups import median, quantiles
+from voxelloom.operators.robust import least_squares
 
 STATS = ["n", "sx", "sy", "sxx", "sxy"]
 
@@ -114,8 +115,10 @@ def cluster_bootstrap(cells: DataFrame, by: list[str], draws: int, seed: int = 0
     ids = cells.select(*by, "capture").distinct().withColumn("_h", F.xxhash64("capture"))
     numbered = rank_in_group(ids, by, [("_h", "asc"), ("capture", "asc")], "_i").drop("_h")
     counts = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     picks = (
         counts.select(*by, "_k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+        .repartition(tasks, *by, "draw")  # the draws of one rig must not become rows in one task
         .select("*", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))).alias("_slot"))
         .select(*by, "draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "_slot"), F.col("_k")).alias("_i"))
         .groupBy(*by, "draw", "_i").agg(F.count(F.lit(1)).alias("_m"))
@@ -190,6 +193,30 @@ def relief_report(rows: DataFrame, by: list[str], label: str, x: str, y: str) ->
     return lines.join(parts, by)
 
 
+def relief_field(placements: DataFrame, by: list[str], x: str, y: str, h_true: str, h_meas: str, within: str, min_rows: int = 3, min_field: int = 8, **kw) -> DataFrame:
+    """Loss of relief per group, and whether it varies over the belt. One row per placement comes in.
+
+    The deficit h_true - h_meas is fitted as k h + c (``compression offset``), with the rms it leaves between placements
+    and the median of their own ``within``; from ``min_field`` rows on also as c0 + h (k0 + kx x + ky y), with the rms
+    that leaves. Rows with a NULL in a number are left out, as are groups under ``min_rows``; of columns that
+    repeat each other the field takes the shortest solution; without spread in h there is no line.
+    """
+    h, numbers = F.col("_h"), ["_h", "_m", "_px", "_py"]
+    rows = placements.select(*by, F.col(h_true).cast("double").alias("_h"), (F.col(h_true) - F.col(h_meas)).cast("double").alias("_m"), F.col(x).cast("double").alias("_px"),
+                             F.col(y).cast("double").alias("_py"), F.col(within).cast("double").alias("_w")).dropna(subset=numbers)
+    design = [F.lit(1.0), h, h * F.col("_px"), h * F.col("_py")]
+    lines = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_m", "_h").alias("compression"), F.regr_intercept("_m", "_h").alias("offset")).filter(F.col("n") >= min_rows)
+    field = least_squares(rows, by, design, F.col("_m")).select(*by, F.when(F.col("n") >= min_field, F.col("coef")).alias("_c"))
+    own = median(rows, by, "_w", "within_rms", **kw).drop("n")
+    fitted = lines.join(field, by).join(own, by, "left")
+    c = F.col("_c")
+    left = F.col("_m") - (F.col("compression") * h + F.col("offset"))
+    after = F.col("_m") - (c[0] + h * (c[1] + c[2] * F.col("_px") + c[3] * F.col("_py")))
+    rms = rows.join(fitted.select(*by, "compression", "offset", "_c"), by).groupBy(*by).agg(F.sqrt(F.avg(left * left)).alias("between_rms"), F.sqrt(F.avg(after * after)).alias("field_rms"))
+    return fitted.join(rms, by).select(
+        *by, "n", "compression", "offset", "between_rms", "within_rms", "field_rms", *[c[i].alias(name) for i, name in enumerate(("field_c0", "field_k0", "field_kx", "field_ky"))])
+
+
 def plane_separation_report(rows: DataFrame, by: list[str], label: str, camera: str, measured: str, true: str, **kw) -> DataFrame:
     """Per label: nominal and measured height, scatter, and the largest camera-to-camera difference."""
     per = median(rows, [*by, label, camera], measured, "m", **kw).drop("n")

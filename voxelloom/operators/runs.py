@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.groups import lag_in_group, nearest, order_statistics, quantiles, rank_in_group, truncated
+from voxelloom.session import materialise
 
 # fixed values: camera names in canonical order
 CAMERAS = ["left", "center", "right", "top"]
@@ -108,12 +109,23 @@ def rolling_rate(frames: DataFrame, by: list[str], ts: str, order: list[tuple[st
     return j.withColumn("rate", F.when(span > 0, (n - 1) / span)).select(*cols, "rate")
 
 
-def metadata_inventory(files: DataFrame, text: str = "value", path: str = "path", max_depth: int = 12, keep: list[str] | None = None) -> DataFrame:
-    """Flattens one JSON document per row to (path, keypath, value).
+LEVELS = 12  # levels of nesting taken in one job
 
-    Numeric lists over 24 become their length, min, max and first eight; other lists stop at 64 items;
-    nesting stops at ``max_depth``; values stop at 300 characters.
+# fixed values: the limits of an inventory that is to be read by eye
+FOR_READING = {"max_depth": 12, "longest_numbers": 24, "longest_list": 64, "longest_value": 300}
+
+
+def metadata_inventory(files: DataFrame, text: str = "value", path: str = "path", max_depth: int | None = None, keep: list[str] | None = None,
+                       longest_numbers: int | None = None, longest_list: int | None = None, longest_value: int | None = None) -> DataFrame:
+    """Flattens one JSON document per row to (path, keypath, value), whole unless limits are given (``FOR_READING``).
+
+    Lists of more than ``longest_numbers`` numbers become their length, min, max and first eight; other lists stop at
+    ``longest_list`` items and say how many there are; values stop at ``longest_value`` characters, marked by three dots;
+    nesting stops at ``max_depth``. Without ``max_depth`` jobs run while this is called, one for each twelve levels.
+    Text that is not JSON, and empty objects and lists, give no rows.
     """
+    no_limit = 2**31 - 1
+    numbers, items = longest_numbers or no_limit, longest_list or no_limit
     cols = [path, *(keep or [])]
     rows = files.select(*cols, F.lit("").alias("keypath"), F.try_parse_json(F.col(text)).alias("v"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("leaf")).filter("v is not null")
     joined = "if(keypath = '', k.key, concat(keypath, '.', k.key))"
@@ -122,19 +134,76 @@ def metadata_inventory(files: DataFrame, text: str = "value", path: str = "path"
     step = f"""case
       when leaf then array(named_struct('keypath', keypath, 'v', {none}, 'value', value, 'leaf', true))
       when kind like 'OBJECT%' then transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), k -> named_struct('keypath', {joined}, 'v', k.value, 'value', cast(null as string), 'leaf', false))
-      when kind rlike '{numeric}' and size(try_variant_get(v, '$', 'array<variant>')) > 24 then array(
+      when kind rlike '{numeric}' and size(try_variant_get(v, '$', 'array<variant>')) > {numbers} then array(
         named_struct('keypath', concat(keypath, '[len]'), 'v', {none}, 'value', cast(size(try_variant_get(v, '$', 'array<variant>')) as string), 'leaf', true),
         named_struct('keypath', concat(keypath, '[min]'), 'v', {none}, 'value', cast(array_min(try_variant_get(v, '$', 'array<double>')) as string), 'leaf', true),
         named_struct('keypath', concat(keypath, '[max]'), 'v', {none}, 'value', cast(array_max(try_variant_get(v, '$', 'array<double>')) as string), 'leaf', true),
         named_struct('keypath', concat(keypath, '[first8]'), 'v', {none}, 'value', array_join(transform(slice(try_variant_get(v, '$', 'array<variant>'), 1, 8), x -> cast(x as string)), ', '), 'leaf', true))
       when kind like 'ARRAY%' then concat(
-        transform(slice(try_variant_get(v, '$', 'array<variant>'), 1, 64), (x, i) -> named_struct('keypath', concat(keypath, '[', i, ']'), 'v', x, 'value', cast(null as string), 'leaf', false)),
-        if(size(try_variant_get(v, '$', 'array<variant>')) > 64, array(named_struct('keypath', concat(keypath, '[truncated]'), 'v', {none}, 'value', cast(size(try_variant_get(v, '$', 'array<variant>')) as string), 'leaf', true)), array()))
+        transform(slice(try_variant_get(v, '$', 'array<variant>'), 1, {items}), (x, i) -> named_struct('keypath', concat(keypath, '[', i, ']'), 'v', x, 'value', cast(null as string), 'leaf', false)),
+        if(size(try_variant_get(v, '$', 'array<variant>')) > {items}, array(named_struct('keypath', concat(keypath, '[truncated]'), 'v', {none}, 'value', cast(size(try_variant_get(v, '$', 'array<variant>')) as string), 'leaf', true)), array()))
       else array(named_struct('keypath', keypath, 'v', {none}, 'value', try_variant_get(v, '$', 'string'), 'leaf', true)) end"""
-    for _ in range(max_depth):
-        rows = rows.withColumn("kind", F.expr("if(leaf, '', schema_of_variant(v))")).select(*cols, F.explode(F.expr(step.replace("\\", "\\\\"))).alias("_e")).select(*cols, "_e.*")
+
+
+    def deeper(rows: DataFrame, levels: int) -> DataFrame:
+        for _ in range(levels):
+            rows = rows.withColumn("kind", F.expr("if(leaf, '', schema_of_variant(v))")).select(*cols, F.explode(F.expr(step.replace("\\", "\\\\"))).alias("_e")).select(*cols, "_e.*")
+        return rows
+
+    shown = F.col("value") if longest_value is None else F.when(F.length("value") > longest_value, F.concat(F.substring("value", 1, longest_value), F.lit("..."))).otherwise(F.col("value"))
+    if max_depth is None:
+        done = None
+        while True:
+            rows = materialise(deeper(rows, LEVELS), "inventory")
+            ended = rows.filter("leaf").select(*cols, "keypath", shown.alias("value"))
+            done = ended if done is None else done.unionByName(ended)
+            rows = rows.filter("not leaf")
+            if rows.isEmpty():
+                return done
+    rows = deeper(rows, max_depth)
     last = F.expr("if(leaf, value, case when schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%' then '<max depth>' else try_variant_get(v, '$', 'string') end)")
-    return rows.select(*cols, "keypath", F.substring(last, 1, 300).alias("value"))
+    return rows.select(*cols, "keypath", last.alias("value")).select(*cols, "keypath", shown.alias("value"))
+
+
+def csv_inventory(files: DataFrame, text: str = "value", path: str = "path", first_rows: int = 3) -> DataFrame:
+    """The header of one CSV file per row as (path, keypath, value): ``[columns]``, ``[n_columns]`` and for each column
+    that occurs in the first rows ``col.<name>`` with its values there, joined by " | ".
+
+    The separator is whichever of comma, semicolon and tab the header has most of outside quotes (the earlier of equals;
+    in ``.tsv`` files tab comes first). Quoted fields may hold separators, line ends and doubled quotes. A column name
+    that repeats gives a row each time. NULL and empty files give no rows; an empty header line is a header of no columns.
+    """
+    quoted = r'"[^"]*+(?:""[^"]*+)*+(?:"|$)'
+    record = rf'(?:[^"\n]++|{quoted})*+'
+    whole = F.concat(F.lit("\n"), F.regexp_replace(F.col(text), "\r\n?", "\n"))
+    head = F.regexp_extract(whole, rf"^(?:\n{record}){{1,{first_rows + 1}}}", 0)
+    found = F.regexp_extract_all(head, F.lit(rf"\n({record})"), F.lit(1))
+    bare = F.regexp_replace(F.col("_r")[0], quoted, "")
+    count = lambda d: F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))
+    comma, semicolon, tab = count(","), count(";"), count("\t")
+    most = F.greatest(comma, semicolon, tab)
+    tabbed = F.lower(F.col(path).cast("string")).endswith(".tsv")
+    mark = F.when(tabbed & (tab == most), "\t").when(comma == most, ",").when(semicolon == most, ";").otherwise("\t")
+
+    def fields(line: Column) -> Column:
+        def split(d: str) -> Column:
+            return F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(rf"{d}({quoted}[^{d}]*+|[^{d}]*+)"), F.lit(1))
+
+        parts = F.when(F.col("_d") == ",", split(",")).when(F.col("_d") == ";", split(";")).otherwise(split("\t"))
+        plain = F.transform(parts, lambda p: F.when(p.startswith('"'), F.replace(F.regexp_replace(p, r'^"|"(?=[^"]*$)', ""), F.lit('""'), F.lit('"'))).otherwise(p))
+        return F.when(line == "", F.array().cast("array<string>")).otherwise(plain)
+
+    rows = files.filter(F.length(text) > 0).select(path, found.alias("_r")).withColumn("_d", mark)
+    # a last line end does not start another row
+    body = F.when((F.size("_r") > 1) & (F.element_at("_r", -1) == ""), F.slice("_r", 2, F.size("_r") - 2)).otherwise(F.slice("_r", 2, F.greatest(F.size("_r") - 1, F.lit(0))))
+    rows = rows.select(path, fields(F.col("_r")[0]).alias("_h"), F.transform(body, fields).alias("_b"))
+
+    def named(name: Column, j: Column) -> Column:
+        had = F.filter("_b", lambda r: F.size(r) > j)
+        return F.when(F.size(had) > 0, F.struct(F.concat(F.lit("col."), name).alias("keypath"), F.array_join(F.transform(had, lambda r: r[j]), " | ").alias("value")))
+
+    both = [F.struct(F.lit("[columns]").alias("keypath"), F.array_join("_h", ", ").alias("value")), F.struct(F.lit("[n_columns]").alias("keypath"), F.size("_h").cast("string").alias("value"))]
+    return rows.select(path, F.inline(F.concat(F.array(*both), F.array_compact(F.transform("_h", named)))))
 
 
 def check_targets(inventory: DataFrame, targets: list[dict], path: str = "path") -> DataFrame:

@@ -52,6 +52,18 @@ def relief_report(t):
     return rounded(effects.relief_report(t.placements(), ["camera"], "label", "h_true", "h_meas"), 6, "k", "c", "between_rms", "within_rms")
 
 
+@query("relief_field", f"""WITH {PLACEMENTS}, s AS (SELECT camera, label, h_true AS h, h_true - h_meas AS m, h_true * (o_orderkey % 97) / 97 AS hx, h_true * (o_orderkey % 89) / 89 AS hy, (o_orderkey % 7) / 7 AS w FROM placements),
+  a AS (SELECT camera, label, count(*) AS n, regr_slope(m, h) AS k, regr_intercept(m, h) AS c, regr_slope(hx, h) AS ax, regr_intercept(hx, h) AS bx, regr_slope(hy, h) AS ay, regr_intercept(hy, h) AS b_y, median(w) AS within_rms FROM s GROUP BY ALL HAVING count(*) >= 3),
+  r AS (SELECT camera, label, m - (k * h + c) AS m1, hx - (ax * h + bx) AS x1, hy - (ay * h + b_y) AS y1 FROM s JOIN a USING (camera, label)), b AS (SELECT camera, label, sum(m1 * x1) / sum(x1 * x1) AS p, sum(y1 * x1) / sum(x1 * x1) AS q, sqrt(avg(m1 * m1)) AS between_rms FROM r GROUP BY ALL),
+  v AS (SELECT camera, label, m1 - p * x1 AS m2, y1 - q * x1 AS y2 FROM r JOIN b USING (camera, label)), d AS (SELECT camera, label, sum(m2 * y2) / sum(y2 * y2) AS ky FROM v GROUP BY ALL), e AS (SELECT camera, label, sqrt(avg(pow(m2 - ky * y2, 2))) AS field_rms FROM v JOIN d USING (camera, label) GROUP BY ALL)
+  SELECT camera, label, n, round(k, 5) AS compression, round(c, 5) AS "offset", round(between_rms, 5) AS between_rms, round(within_rms, 6) AS within_rms, CASE WHEN n >= 8 THEN round(field_rms, 5) END AS field_rms, CASE WHEN n >= 8 THEN round(c - (p - ky * q) * bx - ky * b_y, 4) END AS field_c0,
+  CASE WHEN n >= 8 THEN round(k - (p - ky * q) * ax - ky * ay, 4) END AS field_k0, CASE WHEN n >= 8 THEN round(p - ky * q, 4) END AS field_kx, CASE WHEN n >= 8 THEN round(ky, 4) END AS field_ky FROM a JOIN b USING (camera, label) JOIN d USING (camera, label) JOIN e USING (camera, label)""")
+def relief_field(t):
+    p = t.placements().withColumn("x", F.col("o_orderkey") % 97 / 97).withColumn("y", F.col("o_orderkey") % 89 / 89).withColumn("w", F.col("o_orderkey") % 7 / 7)
+    r = effects.relief_field(p, ["camera", "label"], "x", "y", "h_true", "h_meas", "w")
+    return rounded(rounded(rounded(r, 5, "compression", "offset", "between_rms", "field_rms"), 6, "within_rms"), 4, "field_c0", "field_k0", "field_kx", "field_ky")
+
+
 @query("plane_separation_report", f"""WITH {PLACEMENTS}, c AS (SELECT label, camera, median(h_meas) AS m FROM placements GROUP BY ALL), d AS (SELECT label, max(m) - min(m) AS camera_delta FROM c GROUP BY label)
   SELECT label, round(median(h_meas), 8) AS measured_median, count(*) AS n, round(avg(h_true), 6) AS nominal, round(stddev_samp(h_meas), 6) AS scatter, round(any_value(camera_delta), 8) AS camera_delta, round(median(h_meas) - avg(h_true), 6) AS error FROM placements JOIN d USING (label) GROUP BY label""")
 def plane_separation_report(t):
@@ -643,19 +655,34 @@ def rolling_rate(t):
 
 @query("metadata_inventory", "SELECT event_id AS path, 'k' AS keypath, json_extract_string(props, '$.k') AS value FROM events")
 def metadata_inventory(t):
-    return runs.metadata_inventory(t.table("events").select(F.col("event_id").alias("path"), F.col("props").alias("value")))
+    return runs.metadata_inventory(t.table("events").select(F.col("event_id").alias("path"), F.col("props").alias("value")), **runs.FOR_READING)
 
 
 @query("metadata_inventory_nested", """SELECT conv_id * 100000 + turn AS path, unnest(['turn', 'who.role', 'who.ids[0]', 'who.ids[1]', 'size']) AS keypath, unnest([CAST(turn AS VARCHAR), role, CAST(conv_id AS VARCHAR), CAST(turn + 1 AS VARCHAR), CAST(length(text) AS VARCHAR)]) AS value FROM conversations""")
 def metadata_inventory_nested(t):
     c = t.table("conversations")
     doc = F.to_json(F.struct("turn", F.struct("role", F.array("conv_id", F.col("turn") + 1).alias("ids")).alias("who"), F.length("text").alias("size")))
-    return runs.metadata_inventory(c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("path"), doc.alias("value")))
+    return runs.metadata_inventory(c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("path"), doc.alias("value")), **runs.FOR_READING)
+
+
+@query("metadata_inventory_whole", """SELECT l_orderkey AS path, 'lines[' || i || '].' || k AS keypath, CAST(CASE k WHEN 'part' THEN l_partkey ELSE l_linenumber END AS VARCHAR) AS value FROM
+  (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem), (VALUES ('part'), ('line')) k(k) UNION ALL SELECT l_orderkey, 'note', repeat('x', 400) FROM lineitem GROUP BY l_orderkey""")
+def metadata_inventory_whole(t):
+    lines = t.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    body = F.transform("l", lambda x: F.struct(x["l_partkey"].alias("part"), x["l_linenumber"].alias("line")))
+    return runs.metadata_inventory(lines.select(F.col("l_orderkey").alias("path"), F.to_json(F.struct(body.alias("lines"), F.repeat(F.lit("x"), 400).alias("note"))).alias("value")))
+
+
+@query("csv_inventory", """SELECT p_partkey AS path, unnest(['[columns]', '[n_columns]', 'col.id', 'col.a, b', 'col.name']) AS keypath,
+  unnest(['id, a, b, name', '3', p_partkey || ' | ' || p_size, p_brand || ';"x" | ', p_type || ' | 7']) AS value FROM part""")
+def csv_inventory(t):
+    doc = F.format_string('id,"a, b",name\n%s,"%s;""x""",%s\r\n%s,,7\n', F.col("p_partkey").cast("string"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"))
+    return runs.csv_inventory(t.table("part").select(F.col("p_partkey").alias("path"), doc.alias("value")))
 
 
 @query("check_targets", "SELECT 'k values' AS target, count(*) AS hits, count(*) AS strong, CASE WHEN count(*) > 0 THEN 'LIKELY PRESENT' ELSE 'NOT FOUND' END AS status FROM events UNION ALL SELECT 'exposure', 0, 0, 'NOT FOUND' UNION ALL SELECT 'purchases', count(*), 0, 'PARTIAL' FROM events WHERE event_type = 'purchase'")
 def check_targets(t):
-    inv = runs.metadata_inventory(t.table("events").select(F.concat_ws("/", "event_type", "event_id").alias("path"), F.col("props").alias("value")))
+    inv = runs.metadata_inventory(t.table("events").select(F.concat_ws("/", "event_type", "event_id").alias("path"), F.col("props").alias("value")), **runs.FOR_READING)
     return runs.check_targets(inv, [{"name": "k values", "hints": ["/"], "needs": ["k"]}, {"name": "exposure", "hints": ["exposure"], "needs": ["us"]}, {"name": "purchases", "hints": ["Purchase"], "needs": ["nothing"]}])
 
 
