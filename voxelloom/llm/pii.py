@@ -56,12 +56,20 @@ def _between(n: Column, low: int, high: int) -> Column:
     return (n >= low) & (n <= high)
 
 
+def _holds(text: Column, *parts: str) -> Column:
+    """Whether a text holds one of some strings."""
+    out = text.contains(parts[0])
+    for p in parts[1:]:
+        out = out | text.contains(p)
+    return out
+
+
 def _mixed(value: Column) -> Column:
     """Whether a value looks drawn rather than written: a letter, a digit and at least five different characters."""
     return value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 5)
 
 
-_NAMES = (r"(?i:pass(?:word|wd|phrase|code)?|pwd|passwort|kennwort|contraseña|mot de passe|(?:client[ _-]?)?secret|(?:[a-z]{2,12}[_-])?token|"
+_NAMES = (r"(?i:pass(?:word|wd|phrase|code)?|pwd|passwort|kennwort|contraseña|mot de passe|(?:client[ _-]?)?secret|token|"
           r"(?:api|access|auth|secret|private)[ _-]?key)")
 _SET = r"""[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"""
 
@@ -85,13 +93,13 @@ KINDS = (
     Kind("social_security", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
          lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: ~m.rlike(r"^(?:000|666|9..)|-00-|0000$"), 0.3, r"\bssn\b|social security|seguro social", 0.4, 0.5),
     Kind("access_key", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])",
-         lambda t: t.rlike(r"AKIA|ASIA|gh[pousr]_|AIza|xox[abprs]-|sk_live_"), lambda m: m.rlike("[0-9]"), 0.8, r"key|secret|token|credential"),
+         lambda t: _holds(t, "AKIA", "ASIA", "AIza", "xox", "sk_live_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"), lambda m: m.rlike("[0-9]"), 0.8, r"key|secret|token|credential"),
     Kind("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
          lambda t: t.contains("eyJ"), lambda m: F.lit(True), 0.8, r"token|bearer|authorization|jwt"),
     Kind("private_key", r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----(?:[^-]++(?:-----END (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----)?+)?+",
          lambda t: t.contains("PRIVATE KEY-----"), lambda m: F.lit(True), 0.8, r"key|pem|ssh|certificate"),
-    Kind("secret", rf"(?<![A-Za-z0-9])(?:{_NAMES}){_SET}[^\s\"',;]{{8,}}+",
-         lambda t: t.rlike(rf"(?:{_NAMES}){_SET}"), lambda m: let(F.regexp_extract(m, rf"{_SET}(.+)$", 1), _mixed), 0.6, r"login|user|config|credential|export|connect|account"),
+    Kind("secret", rf"(?<![A-Za-z0-9])(?:(?:[A-Za-z]{{2,12}}[_-])?(?i:token)|{_NAMES}){_SET}[^\s\"',;]{{8,}}+",
+         lambda t: _holds(t, ":", "=") & t.rlike(rf"[A-Za-z]{_SET}[^\s\"',;]{{8}}") & t.rlike(rf"(?:{_NAMES}){_SET}"), lambda m: let(F.regexp_extract(m, rf"{_SET}(.+)$", 1), _mixed), 0.6, r"login|user|config|credential|export|connect|account"),
 )
 BASE = ("email", "ip", "card", "phone")
 SECRETS = ("access_key", "web_token", "private_key", "secret")
