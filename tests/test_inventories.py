@@ -48,6 +48,13 @@ def test_csv_headers(spark):
     assert "null.csv" not in got and runs.csv_inventory(df.filter("false")).count() == 0
 
 
+def test_rolling_rate_keeps_null_keys(spark):
+    rows = [(k, i) for k in ("a", None) for i in range(6)]
+    df = spark.createDataFrame(rows, "g string, i long").withColumn("ts", F.timestamp_seconds(F.col("i") * 2))
+    got = {(r["g"], r["i"]): r["rate"] for r in runs.rolling_rate(df, ["g"], "ts", [("i", "asc")], 3).collect()}
+    assert got == {(k, i): 0.5 if i else None for k, i in rows}
+
+
 def test_relief_field(spark):
     rng = np.random.default_rng(3)
     parts = []

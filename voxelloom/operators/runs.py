@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators.groups import lag_in_group, nearest, order_statistics, quantiles, rank_in_group, truncated
+from voxelloom.operators.groups import _beside, lag_in_group, nearest, order_statistics, quantiles, rank_in_group, truncated
 from voxelloom.session import materialise
 
 # fixed values: camera names in canonical order
@@ -98,12 +98,12 @@ def acquisition_rate(sets: DataFrame, by: list[str], ts: str, payload_mb: float,
 
 
 def rolling_rate(frames: DataFrame, by: list[str], ts: str, order: list[tuple[str, str]], rows: int = 120, **kw) -> DataFrame:
-    """(n - 1) / (last - first) over the last ``rows`` stamps of each group."""
+    """(n - 1) / (last - first) over the last ``rows`` stamps of each group; NULL is a group key like any other."""
     cols = frames.columns
     ranked = rank_in_group(frames, by, order, "_i", **kw)
     back = ranked.select(*by, (F.col("_i") + (rows - 1)).alias("_i"), F.col(ts).alias("_first"))
     start = ranked.groupBy(*by).agg(F.min(ts).alias("_start"))
-    j = ranked.join(back, [*by, "_i"], "left").join(start, by)
+    j = _beside(_beside(ranked, back, [*by, "_i"], "left"), start, by, "left")
     n = F.least(F.col("_i") + 1, F.lit(rows))
     span = (F.unix_micros(ts) - F.unix_micros(F.coalesce("_first", "_start"))) / 1e6
     return j.withColumn("rate", F.when(span > 0, (n - 1) / span)).select(*cols, "rate")
