@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from voxelloom.streaming.stateful import in_order
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,9 +40,8 @@ def settle_trigger_timed(frames: DataFrame, thresh: float, need: int, rearm: flo
             done.append((k[0], None, None, None, True, True))
             count, armed, since, idle = 0, False, now, idle + 1
         else:
-            rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
             idle = 0
-            for ts, seq, grey in zip(rows["ts"], rows["seq"], rows["grey"]):
+            for ts, seq, grey in (r for rows in in_order(batches, ["ts", "seq", "grey"]) for r in zip(rows["ts"], rows["seq"], rows["grey"])):
                 grey, diff, fired, forced = np.asarray(grey, float), None, False, False
                 if prev is not None:
                     diff = float(np.abs(grey - np.asarray(prev, float)).sum()) / max(len(grey), 1)
@@ -62,8 +64,15 @@ def settle_trigger_timed(frames: DataFrame, thresh: float, need: int, rearm: flo
     return frames.groupBy(key).applyInPandasWithState(step, out, "prev array<double>, count int, armed boolean, since double, idle int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _touching(cell: tuple) -> list[tuple]:
+    return [tuple(c + d for c, d in zip(cell, way)) for way in product((-1, 0, 1), repeat=3)]
+
+
 class _Novelty(StatefulProcessor):
-    """Accepted poses by cell of their place; a pose is compared with those of its own and the touching cells."""
+    """Accepted poses by cell of their place; a pose is compared with those of its own and the touching cells.
+
+    A call reads a cell from the state store when it first needs it and writes the cells it changed at its end.
+    """
 
     def __init__(self, key: str, min_rot_deg: float, min_trans: float):
         self.key, self.min_rot, self.min_trans = key, min_rot_deg, min_trans
@@ -72,27 +81,37 @@ class _Novelty(StatefulProcessor):
         self.cells = handle.getMapState("cells", "x long, y long, z long", "poses array<double>")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        done = [(key[0], int(seq), ts, self._accept(rot, t)) for ts, seq, rot, t in zip(frame["ts"], frame["seq"], frame["R"], frame["t"])]
-        yield pd.DataFrame(done, columns=[self.key, "seq", "ts", "accepted"])
+        self.held: dict[tuple, np.ndarray] = {}
+        self.near: dict[tuple, np.ndarray] = {}  # poses of a cell and all that touch it
+        self.changed: set[tuple] = set()
+        for frame in in_order(rows, ["ts", "seq", "R", "t"]):
+            done = [(key[0], int(seq), ts, self._accept(rot, t)) for ts, seq, rot, t in zip(frame["ts"], frame["seq"], frame["R"], frame["t"])]
+            yield pd.DataFrame(done, columns=[self.key, "seq", "ts", "accepted"])
+        for cell in sorted(self.changed):
+            self.cells.updateValue(cell, (self.held[cell].ravel().tolist(),))
+
+    def _poses(self, cell: tuple) -> np.ndarray:
+        if cell not in self.held:
+            known = self.cells.containsKey(cell)
+            self.held[cell] = np.asarray(self.cells.getValue(cell)[0] if known else [], float).reshape(-1, 12)
+        return self.held[cell]
 
     def _accept(self, rot, t) -> bool:
         if rot is None or t is None:
             return True
         pose = np.concatenate([np.asarray(rot, float), np.asarray(t, float)])
         own = tuple(int(math.floor(v / self.min_trans)) for v in pose[9:])
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                for dz in (-1, 0, 1):
-                    cell = (own[0] + dx, own[1] + dy, own[2] + dz)
-                    if self.cells.containsKey(cell) and not self._far(pose, self.cells.getValue(cell)[0]):
-                        return False
-        held = list(self.cells.getValue(own)[0]) if self.cells.containsKey(own) else []
-        self.cells.updateValue(own, (held + pose.tolist(),))
+        if own not in self.near:
+            self.near[own] = np.concatenate([self._poses(c) for c in _touching(own)])
+        if not self._far(pose, self.near[own]):
+            return False
+        self.held[own] = np.vstack([self._poses(own), pose])
+        self.changed.add(own)
+        for cell in _touching(own):
+            self.near.pop(cell, None)
         return True
 
-    def _far(self, pose: np.ndarray, held) -> bool:
-        seen = np.asarray(held, float).reshape(-1, 12)
+    def _far(self, pose: np.ndarray, seen: np.ndarray) -> bool:
         turn = np.degrees(np.arccos(np.clip((seen[:, :9] @ pose[:9] - 1) / 2, -1, 1)))
         way = np.sqrt(((seen[:, 9:] - pose[9:]) ** 2).sum(1))
         return bool(((turn >= self.min_rot) | (way >= self.min_trans)).all())
@@ -106,8 +125,8 @@ def novel_views(views: DataFrame, min_rot_deg: float, min_trans: float, key: str
 
     ``views``: key, ts, seq, R array<double>(9), t array<double>(3). A view without a pose is new and is not remembered.
     State is a map from cells of edge ``min_trans`` to the poses accepted there, in RocksDB: a view reads the 27 cells
-    where a near pose can be and writes one, so what it costs does not grow with all that was accepted, and how many
-    poses a cell can hold is bounded by ``min_rot_deg``.
+    where a near pose can be, so what it costs does not grow with all that was accepted, and how many poses a cell can hold
+    is bounded by ``min_rot_deg``. Cells read once stay in hand until the batch of the key ends.
     """
     views.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     types = dict(views.dtypes)
