@@ -87,3 +87,30 @@ def test_two_passes_over_stacked_boxes(stacked, met):
             gone |= set() if best is None else {best[1]}
     assert got == sorted(want + [("planar", b[1]) for b in planar if b[1] not in gone])
     assert max(met) <= 24
+
+
+def _hidden(a, cam, rows):
+    """Samples of box ``a`` that another box hides, by stepping along each line of sight."""
+    n = 0
+    for i, j in ((0, 0), (-0.4, -0.4), (0.4, -0.4), (0.4, 0.4), (-0.4, 0.4)):
+        x, k = (a[2] + a[4] * i, a[3] + a[5] * j, a[7]), cam
+        at = [[k[c] + (x[c] - k[c]) * (0.02 + 0.96 * t / 4000) for c in range(3)] for t in range(4001)]
+        n += any(abs(u - b[2]) < b[4] / 2 and abs(v - b[3]) < b[5] / 2 and 0.005 < h < b[7] - 0.005 for b in rows if b[1] != a[1] for u, v, h in at)
+    return n / 5
+
+
+def test_occlusion_by_stacked_boxes(spark, monkeypatch):
+    rows = [("a", 20 * p + k, 0.7 * p, 0.31 * (p % 3), 0.45, 0.27, 0.0, 0.13 + 0.09 * (p % 4)) for p in range(9) for k in range(10)]
+    df = spark.createDataFrame(rows, "g string, id long, cu double, cv double, length double, width double, yaw double, top double")
+    views = {"far": (-2.3, 0.77, 1.1), "low": (7.03, -0.4, 0.21), "along": (1.4, 5.0, 0.9)}
+    cams = spark.createDataFrame([("a", n, *k) for n, k in views.items()], "g string, camera string, ku double, kv double, kh double")
+    seen, plain = [], boxes._on_cells
+    monkeypatch.setattr(boxes, "_on_cells", lambda b, *a, **k: (seen.append(b.count()), plain(b, *a, **k))[1])
+    got = {(r["id"], r["camera"]): r["hidden"] for r in boxes.occluded_views(df, cams, ["g"]).collect()}
+    assert len(got) == len(rows) * len(views) and len(set(got.values())) > 2
+    for p in range(9):
+        # of the ten on one place two are enough: they hide the others alike
+        few = [r for r in rows if r[1] % 20 < 2]
+        for n, k in views.items():
+            assert {got[20 * p + i, n] for i in range(10)} == {_hidden(rows[10 * p], k, few)}, (p, n)
+    assert seen == [9]
