@@ -34,6 +34,16 @@ _HEAD = struct.Struct("<4sIQQQQ")  # magic, ids of a block, ids, documents, word
 _LIMITS = np.array([1 << int(b) for b in BITS[1:]], np.uint64)  # selector s holds ids below _LIMITS[s - 1]
 
 
+_LOW = (np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right") + 1).astype(np.uint8)
+
+
+def _levels(ids: np.ndarray) -> np.ndarray:
+    """The smallest selector that holds each id; ids below 65,536 are looked up."""
+    if ids.size and int(ids.max()) >= len(_LOW):
+        return (np.searchsorted(_LIMITS, ids, "right") + 1).astype(np.uint8)
+    return _LOW[ids.astype(np.uint16)]
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, index of each block's first word and the number of words, escaped ids) of unsigned 64-bit ids.
 
@@ -46,7 +56,7 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     whole = np.zeros(blocks * block, np.uint64)
     whole[:n] = ids
     grid[:, :block] = whole.reshape(blocks, block)
-    level = (np.searchsorted(_LIMITS, grid, "right") + 1).astype(np.uint8)  # the smallest selector that holds the id
+    level = _levels(grid)
     level[:, block:] = 1
     level = level.ravel()
     chosen = np.where(level == ESCAPED, 0, 15).astype(np.uint8)
