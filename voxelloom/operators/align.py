@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from voxelloom.operators.groups import median, quantiles
 from voxelloom.operators.rasters import histogram
 from voxelloom.operators.spatial import k_nearest, k_nearest_any
-from voxelloom.session import materialise
+from voxelloom.session import few, materialise
 
 
 FIT = T.StructType([
@@ -122,12 +122,14 @@ def ransac_transform(pairs: DataFrame, by: list[str], tol: float, trials: int =
 
 
 def gauge_from_deck(points: DataFrame, by: list[str], along_normal: str, target: Column | float, iters: int = 4, band: float = 0.15, min_points: int = 500, **kw) -> DataFrame:
-    """Scale that puts the median of P.n on the deck, refined in a band about it."""
+    """Scale that puts the median of P.n on the deck, refined in a band about it. Equal rows are met once, with a count."""
     goal = target if isinstance(target, Column) else F.lit(float(target))
-    rows = materialise(points.select(*by, F.col(along_normal).alias("_d"), goal.cast("double").alias("_t")), "gauge")
+    rows = points.select(*by, F.col(along_normal).alias("_d"), goal.cast("double").alias("_t"))
+    rows = materialise(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_k")), "gauge")
+    kw = {"count": "_k", **kw}
     s = materialise(median(rows, by, "_d", "_m", **kw).drop("n").join(rows.groupBy(*by).agg(F.first("_t").alias("_t")), by).select(*by, "_t", (F.col("_t") / F.col("_m")).alias("scale")), "gauge-s")
     for _ in range(iters):
-        near = rows.drop("_t").join(s, by).filter(F.abs(F.col("scale") * F.col("_d") - F.col("_t")) <= band)
+        near = rows.drop("_t").join(few(s), by).filter(F.abs(F.col("scale") * F.col("_d") - F.col("_t")) <= band)
         m = median(near, by, "_d", "_m", **kw).filter(F.col("n") >= min_points).drop("n")
         s = materialise(s.join(m, by, "left").select(*by, "_t", F.coalesce(F.col("_t") / F.col("_m"), F.col("scale")).alias("scale")), "gauge-s")
     return s.drop("_t")
@@ -138,21 +140,24 @@ def gauge_multi_camera(points: DataFrame, by: list[str], lo: float = 0.5, hi: fl
 
     Height is affine in the scale: ``h0 + s * h1`` with ``h0`` the camera's height and ``h1`` the point's
     height over its camera. The bracket of every group closes in the same pass, one median per pass, by
-    false position; an end kept twice weighs half, so both ends move and few passes are needed.
+    false position; an end kept twice weighs half, so both ends move and few passes are needed. Equal
+    points are met once, with a count.
     """
-    rows = materialise(points.select(*by, F.col("h0").cast("double").alias("_a"), F.col("h1").cast("double").alias("_b")), "gauge")
+    rows = points.select(*by, F.col("h0").cast("double").alias("_a"), F.col("h1").cast("double").alias("_b"))
+    rows = materialise(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_k")), "gauge")
+    kw = {"count": "_k", **kw}
 
     def med(at: DataFrame, name: str) -> DataFrame:
         return median(rows.join(at, by).withColumn("_h", F.col("_a") + F.col("_s") * F.col("_b")), by, "_h", name, **kw).drop("n")
 
-    groups = rows.select(*by).distinct()
+    groups = few(materialise(rows.select(*by).distinct(), "gauge-groups"))
     ends = med(groups.withColumn("_s", F.lit(lo)), "_fl").join(med(groups.withColumn("_s", F.lit(hi)), "_fr"), by)
     state = materialise(ends.filter(F.col("_fl") * F.col("_fr") <= 0).select(
         *by, F.lit(lo).alias("_l"), "_fl", F.lit(hi).alias("_r"), "_fr", F.lit(0).alias("_kept"), F.lit(lo).alias("scale"), F.lit(float("inf")).alias("_res")), "gauge-state")
     for _ in range(iters):
         cut = (F.col("_l") * F.col("_fr") - F.col("_r") * F.col("_fl")) / (F.col("_fr") - F.col("_fl"))
         mid = state.withColumn("_s", F.when(F.col("_fr") == F.col("_fl"), F.col("_l")).otherwise(cut))
-        f = mid.join(med(mid.select(*by, "_s"), "_fm"), by)
+        f = mid.join(med(few(mid.select(*by, "_s")), "_fm"), by)
         left = F.col("_fl") * F.col("_fm") <= 0  # the root is in the left part: the right end moves
         state = materialise(f.select(
             *by,
