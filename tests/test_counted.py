@@ -1,5 +1,7 @@
 """Passes over hot groups meet equal rows once, with a count, and give what plain passes give."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,25 @@ def test_equal_rows_are_met_once(rows, monkeypatch, name):
         assert len(got) == len(want) and all(x == pytest.approx(y, rel=1e-9) for a, b in zip(got, want) for x, y in zip(a, b))
     written.pop("fit-rows", None)
     assert written and max(written.values()) <= 3 * 35, written
+
+
+def test_bilinear_samples_meet_one_row_each(spark):
+    from voxelloom.operators import joins
+
+    z = {(u, v): 1.0 + 0.3 * u + 0.07 * u * v for u in range(6) for v in range(4) if (u, v) != (2, 2)}
+    pix = spark.createDataFrame([("a", u, v, d) for (u, v), d in z.items()], "camera string, u long, v long, z double")
+    at = [("a", i, 0.13 * i % 6.3 - 0.4, 0.29 * i % 4.1 - 0.3) for i in range(300)] + [("b", 900, 1.5, 1.5), ("a", 901, None, 1.0), ("a", 902, 2.0, 1.0)]
+    keys = spark.createDataFrame(at, "camera string, kp_id long, u double, v double")
+    for inverse in (False, True):
+        df = joins.sample_depth(keys, pix, ["camera"], 6, 4, "bilinear", inverse)
+        got = {r["kp_id"]: r["depth"] for r in df.collect()}
+        assert len(got) == len(at) and sum(v is not None for v in got.values()) > 50
+        for camera, i, u, v in at:
+            four = None if u is None else [(z.get((math.floor(u) + a, math.floor(v) + b)), (u % 1 if a else 1 - u % 1) * (v % 1 if b else 1 - v % 1)) for a in (0, 1) for b in (0, 1)]
+            if camera != "a" or four is None or any(d is None for d, _ in four):
+                assert got[i] is None, i
+            else:
+                want = 1 / sum(w / d for d, w in four) if inverse else sum(w * d for d, w in four)
+                assert got[i] == pytest.approx(want, rel=1e-12), i
+        plan = df._jdf.queryExecution().toString()
+        assert "Exchange hashpartitioning" not in plan and "Generate" not in plan  # keypoints stay where they are

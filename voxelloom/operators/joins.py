@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelloom.operators.groups import median, quantiles
 from voxelloom.operators.rasters import cell_floor
-from voxelloom.session import materialise
+from voxelloom.session import few, materialise
 
 CELL = ["iu", "iv"]
 
@@ -130,23 +132,28 @@ def zbuffer_overlap(
 
 
 def sample_depth(keypoints: DataFrame, pixels: DataFrame, by: list[str], width: int, height: int, method: str = "nearest", inverse: bool = False, kid: str = "kp_id") -> DataFrame:
-    """Depth at keypoints: rounded and clipped pixel, or bilinear (NULL unless all four pixels have depth)."""
+    """Depth at keypoints: rounded and clipped pixel, or bilinear (NULL unless all four pixels have depth).
+
+    Squares of four pixels are made first, so each keypoint meets one row; a small grid is not shuffled to.
+    """
     value = F.col("z")
     grid = pixels.filter(F.col("z") > 0).select(*by, F.col("u").cast("long").alias("pu"), F.col("v").cast("long").alias("pv"), (1.0 / value if inverse else value).alias("_z"))
     if method == "nearest":
+        grid = few(materialise(grid, "sample-grid"))
         k = keypoints.withColumn("pu", F.greatest(F.lit(0), F.least(F.lit(width - 1), F.rint("u"))).cast("long")).withColumn(
             "pv", F.greatest(F.lit(0), F.least(F.lit(height - 1), F.rint("v"))).cast("long"))
         out = k.join(grid, [*by, "pu", "pv"], "left").drop("pu", "pv")
         return out.withColumn("depth", 1.0 / F.col("_z") if inverse else F.col("_z")).drop("_z")
     u0, v0 = F.floor("u"), F.floor("v")
     fu, fv = F.col("u") - u0, F.col("v") - v0
-    corners = F.array(*[
-        F.struct((u0 + a).cast("long").alias("pu"), (v0 + b).cast("long").alias("pv"), ((fu if a else 1.0 - fu) * (fv if b else 1.0 - fv)).alias("w"))
-        for a in (0, 1) for b in (0, 1)])
-    spread = keypoints.select(*by, kid, F.explode(corners).alias("_c")).select(*by, kid, "_c.*")
-    hit = spread.join(grid, [*by, "pu", "pv"]).groupBy(*by, kid).agg(F.count(F.lit(1)).alias("_k"), F.sum(F.col("w") * F.col("_z")).alias("_s"))
-    depth = F.when(F.col("_k") == 4, 1.0 / F.col("_s") if inverse else F.col("_s"))
-    return keypoints.join(hit, [*by, kid], "left").withColumn("depth", depth).drop("_k", "_s")
+    corners = [(a, b) for a in (0, 1) for b in (0, 1)]
+    of = F.explode(F.array(*[F.struct((F.col("pu") - a).alias("pu"), (F.col("pv") - b).alias("pv"), F.lit(i).alias("i")) for i, (a, b) in enumerate(corners)]))
+    squares = grid.select(*by, "_z", of.alias("_c")).groupBy(*by, "_c.pu", "_c.pv").agg(
+        F.count(F.lit(1)).alias("_k"), *[F.max(F.when(F.col("_c.i") == i, F.col("_z"))).alias(f"_z{i}") for i in range(4)])
+    squares = few(materialise(squares.filter("_k = 4").drop("_k"), "sample-squares"))
+    s = reduce(lambda x, y: x + y, [(fu if a else 1.0 - fu) * (fv if b else 1.0 - fv) * F.col(f"_z{i}") for i, (a, b) in enumerate(corners)])
+    at = keypoints.withColumns({"pu": u0.cast("long"), "pv": v0.cast("long")}).join(squares, [*by, "pu", "pv"], "left")
+    return at.withColumn("depth", 1.0 / s if inverse else s).select(*keypoints.columns, "depth")
 
 
 def cross_view_residual(projected: DataFrame, pixels: DataFrame, by: list[str], width: int, height: int, pid: str = "pid", **kw) -> DataFrame:
