@@ -114,3 +114,25 @@ def test_occlusion_by_stacked_boxes(spark, monkeypatch):
         for n, k in views.items():
             assert {got[20 * p + i, n] for i in range(10)} == {_hidden(rows[10 * p], k, few)}, (p, n)
     assert seen == [9]
+
+
+def test_plane_screen_among_copies(spark, monkeypatch):
+    np = pytest.importorskip("numpy")
+    from voxelloom.operators import planes
+
+    rng = np.random.default_rng(5)
+    tilt = [(0.0, 0.0, 1.0), (0.02, 0.0, 0.9998), (0.3, 0.0, 0.954)]
+    # ten planes on each of few places, some with a like number of points, one without any
+    rows = [("a" if i % 3 else None, i, *tilt[i // 10 % 3], round(0.1 + 0.0004 * (i // 10 % 9), 4), int(rng.integers(5, 9)) if i % 11 else None) for i in range(240)]
+    rows.append(("a", 500, *tilt[0], float("nan"), 3))
+    df = spark.createDataFrame(rows, "g string, plane_id long, nx double, ny double, nz double, d double, n long")
+
+    def weaker(p, q):
+        turn = np.degrees(np.arccos(min(1.0, abs(sum(p[i] * q[i] for i in (2, 3, 4))))))
+        return p[0] and p[0] == q[0] and p[6] and q[6] and p[1] != q[1] and turn <= 2.0 and abs(p[5] - q[5]) < 0.0005 and (q[6] > p[6] or q[6] == p[6] and q[1] < p[1])
+
+    met, plain = [], planes.materialise
+    monkeypatch.setattr(planes, "materialise", lambda d, tag="table": (met.append(d.count()), plain(d, tag))[1])
+    got = sorted(r["plane_id"] for r in planes.plane_screen(df, ["g"], 0.05, None, 2.0, 0.0005).collect())
+    assert got == [p[1] for p in rows if not any(weaker(p, q) for q in rows)] and 0 < len(got) < len(rows)
+    assert met == [len({(p[0], *p[2:6]) for p in rows if p[6] is not None and p[5] == p[5]})] and met[0] <= 60

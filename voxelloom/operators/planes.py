@@ -225,16 +225,25 @@ def assign_plane(points: DataFrame, planes: DataFrame, by: list[str], tol: float
 
 
 def plane_screen(planes: DataFrame, by: list[str], deck_d: float, reference: DataFrame | None, max_tilt: float, min_offset: float) -> DataFrame:
-    """Drops planes below the deck, planes whose reference fit tilts, and weaker duplicates of another plane."""
+    """Drops planes below the deck, planes whose reference fit tilts, and weaker duplicates of another plane.
+
+    Planes alike in normal and offset are one row with their strongest, and meet only those of the offsets near by.
+    """
     keep = planes.filter(F.col("d") >= deck_d)
     if reference is not None:
         r = reference.select(*by, "plane_id", *[F.col(c).alias("r" + c) for c in ("nx", "ny", "nz")])
         keep = keep.join(r, [*by, "plane_id"]).filter(tilt_deg(vec("nx", "ny", "nz"), vec("rnx", "rny", "rnz")) <= max_tilt).drop("rnx", "rny", "rnz")
-    other = keep.select(*by, F.col("plane_id").alias("_id"), F.col("n").alias("_n"), *[F.col(c).alias("_" + c) for c in ("nx", "ny", "nz", "d")])
+    if min_offset <= 0:
+        return keep
+    shape = [*by, "nx", "ny", "nz", "d"]
+    rank = F.struct((-F.col("n")).alias("w"), F.col("plane_id").alias("id"))  # the stronger is the smaller
+    cell = F.floor(F.col("d") / (1.001 * min_offset)).cast("long")
+    known = keep.filter(F.col("n").isNotNull() & (F.abs("d") < float("inf")))
+    alike = materialise(known.groupBy(*shape).agg(F.min(rank).alias("_s")).withColumn("_c", cell), "screen-planes")
+    other = alike.select(*by, *[F.col(c).alias("_" + c) for c in ("nx", "ny", "nz", "d")], F.col("_s").alias("_o"), F.explode(F.array(*[F.col("_c") + k for k in (-1, 0, 1)])).alias("_c"))
     same = (tilt_deg(vec("nx", "ny", "nz"), vec("_nx", "_ny", "_nz")) <= max_tilt) & (F.abs(F.col("d") - F.col("_d")) < min_offset)
-    stronger = (F.col("_n") > F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_id") < F.col("plane_id")))
-    dup = keep.join(other, by).filter((F.col("_id") != F.col("plane_id")) & same & stronger).select(*by, "plane_id").distinct()
-    return keep.join(dup, [*by, "plane_id"], "left_anti")
+    strongest = alike.join(other, [*by, "_c"]).filter(same).groupBy(*shape).agg(F.min("_o").alias("_best"))
+    return keep.join(strongest, shape, "left").filter(~F.coalesce(F.col("_best") < rank, F.lit(False))).select(*keep.columns)
 
 
 def two_plane_scale_offset(planes: DataFrame, camera: str = "camera", surface: str = "surface") -> DataFrame:
