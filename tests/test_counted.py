@@ -69,3 +69,19 @@ def test_bilinear_samples_meet_one_row_each(spark):
                 assert got[i] == pytest.approx(want, rel=1e-12), i
         plan = df._jdf.queryExecution().toString()
         assert "Exchange hashpartitioning" not in plan and "Generate" not in plan  # keypoints stay where they are
+
+
+def test_hypotheses_are_counted_in_one_loop(spark):
+    from voxelloom.operators import planes
+
+    pts = [("a" if i % 4 else "b", i, 0.1 * (i % 13), 0.07 * (i % 17), 0.5 + 0.002 * (i % 3) if i % 5 else 0.1 * (i % 7)) for i in range(400)]
+    df = spark.createDataFrame(pts, "g string, pid long, x double, y double, z double")
+    hyp = planes.hypotheses(df, ["g"], 16, 3, "pid")
+    best = planes.best_hypothesis(df, hyp, ["g"], 0.01)
+    assert best._jdf.queryExecution().toString().count("count_if(") == 0  # a column for each trial was not compiled
+    got = {r["g"]: r for r in best.collect()}
+    for h in hyp.collect():
+        mine = [p for p in pts if p[0] == h["g"]]
+        counts = [sum(abs(e["nx"] * p[2] + e["ny"] * p[3] + e["nz"] * p[4] + e["d"]) <= 0.01 for p in mine) for e in h["hyp"]]
+        first, r = h["hyp"][counts.index(max(counts))], got[h["g"]]
+        assert (r["total"], r["inliers"], r["nx"], r["ny"], r["nz"], r["d"]) == (len(mine), max(counts), first["nx"], first["ny"], first["nz"], first["d"])
