@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
 from voxelloom.operators import align, boxes, spatial
@@ -86,3 +87,22 @@ def test_icp_gates_at_all_distances_and_says_whether_it_converged(spark):
 def test_cluster_bootstrap_draws_as_often_as_the_reference(spark):
     got = entry_mod.queries()["cluster_bootstrap"](spark, FOLDER).collect()
     assert got and all(20 < r["draws"] <= 400 for r in got)
+
+
+def test_neighbours_where_one_cell_of_the_cap_holds_most_points(spark):
+    rng = np.random.default_rng(12)
+    b = np.vstack([rng.normal(0, 0.01, (1500, 3)), np.repeat(rng.uniform(-1, 1, (4, 3)), 30, axis=0), rng.uniform(-40, 40, (60, 3))])
+    a = np.vstack([rng.normal(0, 0.02, (150, 3)), b[1490:1530], rng.uniform(-45, 45, (60, 3)), [[np.nan, 0, 0]]])
+    to = lambda p: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "pid long, x double, y double, z double")
+    cells, depth = spatial.target_cells(to(np.vstack([b, [[np.inf, 0, 0]]])), [], 8.0, levels=2)
+    assert depth > 2 and cells.filter("pts is not null").agg(F.max("m")).first()[0] <= spatial.LEAF
+    dist = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    for k in (1, 3):
+        want = {(i, r): (int(j), dist[i, j]) for i in range(len(a) - 1) for r, j in enumerate(np.lexsort((np.arange(len(b)), dist[i]))[:k]) if dist[i, j] <= 8.0}
+        got = {(r["pid"], r["rank"]): (r["nn"], r["dist"]) for r in spatial.k_nearest(to(a), to(b), [], 8.0, k, levels=2).collect()}
+        assert got.keys() == want.keys()
+        for key, (nn, d) in got.items():
+            assert nn == want[key][0] and abs(d - want[key][1]) < 1e-12
+    own = spatial.k_nearest(to(b), to(b), [], 0.5, 1, levels=2, exclude_self=True).collect()
+    near = np.sqrt(((b[:, None] - b[None]) ** 2).sum(2)) + np.where(np.eye(len(b)) > 0, np.inf, 0)
+    assert {r["pid"]: round(r["dist"], 9) for r in own} == {i: round(near[i].min(), 9) for i in range(len(b)) if near[i].min() <= 0.5}

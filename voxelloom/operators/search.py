@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.geometry import cam_to_rig, dot, vec
 from voxelloom.operators.groups import median
-from voxelloom.operators.spatial import k_nearest
+from voxelloom.operators.spatial import k_nearest, target_cells
 from voxelloom.session import materialise
 
 NOISE = 1e-9  # waves that one raster does not carry
@@ -313,6 +313,7 @@ def depth_scale(points: DataFrame, cameras: DataFrame, by: list[str], reference:
     ref = rows.filter(F.col("camera") == reference)
     length = median(ref, by, F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), "length").filter((F.col("n") >= min_points) & (F.col("length") >= 1e-6)).select(*by, "length")
     length = materialise(length, "scale-lengths")
+    index = target_cells(ref, by, cap, 1, pid, levels=levels)
 
     def scores(ks: DataFrame) -> DataFrame:
         """by..., probe, k, score for rows of by..., probe, k; clouds are met in units of k, so one search radius serves all."""
@@ -321,13 +322,12 @@ def depth_scale(points: DataFrame, cameras: DataFrame, by: list[str], reference:
         side = at.filter(F.col("camera") != reference)
         x, y, z = cam_to_rig((F.col("k") * F.col("x"), F.col("k") * F.col("y"), F.col("k") * F.col("z")))
         side = materialise(side.select(*keys, "k", pid, (x / F.col("k")).alias("_x"), (y / F.col("k")).alias("_y"), (z / F.col("k")).alias("_z")).withColumnsRenamed({"_x": "x", "_y": "y", "_z": "z"}), "scale-sides")
-        names = side.select(*keys).distinct()
-        target = ref.select(*by, pid, "x", "y", "z").join(names, by)
-        near = k_nearest(side, target, keys, cap, 1, pid, pid, levels=levels).select(*keys, pid, "nn")
+        searched = side.withColumn("_sid", F.struct("probe", "camera", pid))  # one reference cloud serves every scale and camera
+        near = k_nearest(searched, ref, by, cap, 1, "_sid", pid, levels=levels, index=index).select(*by, "_sid.probe", "_sid.camera", F.col("_sid." + pid).alias(pid), "nn")
         r = ref.select(*by, F.col(pid).alias("nn"), *[F.col(c).alias("r" + c) for c in "xyz"], "nx", "ny", "nz")
-        pairs = side.join(near, [*keys, pid]).join(r, [*by, "nn"])
         gap = F.abs(sum(((F.col(c) - F.col("r" + c)) * F.col("n" + c) for c in "yz"), (F.col("x") - F.col("rx")) * F.col("nx")))
-        per = median(pairs, keys, gap, "gap").filter(F.col("n") >= min_points).join(length, by)
+        pairs = materialise(side.join(near, [*keys, pid]).join(r, [*by, "nn"]).select(*keys, gap.alias("_gap")), "scale-gaps")
+        per = median(pairs, keys, "_gap", "gap").filter(F.col("n") >= min_points).join(length, by)
         got = per.groupBy(*by, "probe").agg(F.avg(F.col("gap") / F.col("length")).alias("score"))
         return materialise(ks.join(got, [*by, "probe"], "left").select(*by, "probe", "k", "score"), "scale-scores")
 
