@@ -234,8 +234,9 @@ def depth_scale_search(src: DataFrame, dst: DataFrame, by: list[str], scales: li
 
     s = src.withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in scales]))).select(*by, "k", "pid", *[(F.col(c) * F.col("k")).alias(c) for c in "xyz"])
     s = materialise(s, "scaled")
-    d = dst.withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in scales])))
-    nn = k_nearest(s, d, [*by, "k"], cap, 1, "pid", "pid", levels=levels).select(*by, "k", "pid", "nn")
+    # the target is the same at every scale: the rows of all scales meet it in one search
+    found = k_nearest(s.withColumn("_sid", F.struct("k", "pid")), dst, by, cap, 1, "_sid", "pid", levels=levels)
+    nn = found.select(*by, "_sid.k", "_sid.pid", "nn")
     ref = dst.select(*by, F.col("pid").alias("nn"), *[F.col(c).alias("r" + c) for c in "xyz"], "nx", "ny", "nz")
     pairs = materialise(s.join(nn, [*by, "k", "pid"]).join(ref, [*by, "nn"]), "p2plane")
     return point_to_plane(pairs, [*by, "k"], **kw)
