@@ -106,3 +106,14 @@ def test_neighbours_where_one_cell_of_the_cap_holds_most_points(spark):
     own = spatial.k_nearest(to(b), to(b), [], 0.5, 1, levels=2, exclude_self=True).collect()
     near = np.sqrt(((b[:, None] - b[None]) ** 2).sum(2)) + np.where(np.eye(len(b)) > 0, np.inf, 0)
     assert {r["pid"]: round(r["dist"], 9) for r in own} == {i: round(near[i].min(), 9) for i in range(len(b)) if near[i].min() <= 0.5}
+
+
+def test_radius_support_in_shared_cells_and_beyond(spark):
+    rng = np.random.default_rng(13)
+    p = np.vstack([rng.normal(0, 0.05, (300, 3)), rng.uniform(-1, 1, (200, 3))])
+    cam = [None if i % 50 == 0 else i % 3 for i in range(len(p))]
+    rows = [(i, c, *map(float, r)) for i, (c, r) in enumerate(zip(cam, p))] + [(900, 1, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "pid long, camera long, x double, y double, z double")
+    got = {r["pid"]: r["supported"] for r in spatial.radius_support(df, [], 0.1).collect()}
+    near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) <= 0.1
+    assert got == {900: False} | {i: any(near[i, j] and cam[j] is not None and cam[j] != c for j in range(len(p))) if c is not None else False for i, c in enumerate(cam)}
