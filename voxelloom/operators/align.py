@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from voxelloom.operators.groups import median, quantiles
 from voxelloom.operators.rasters import histogram
-from voxelloom.operators.spatial import k_nearest, k_nearest_any
+from voxelloom.operators.spatial import k_nearest, k_nearest_any, target_cells
 from voxelloom.session import few, materialise
 
 
@@ -67,11 +67,13 @@ def icp_planar(src: DataFrame, dst: DataFrame, by: list[str], cap: float, iters:
     s = materialise(src.select(*by, "pid", "x", "y"), "icp-src")
     d = materialise(dst.select(*by, F.col("pid").alias("nn"), F.col("x").alias("bx"), F.col("y").alias("by_")), "icp-dst")
     pose = materialise(s.select(*by).distinct().withColumns({"yaw": F.lit(0.0), "tx": F.lit(0.0), "ty": F.lit(0.0), "rms": F.lit(None).cast("double"), "pairs": F.lit(0).cast("long"), "step": F.lit(1.0), "converged": F.lit(False)}), "icp-pose")
+    target = d.withColumnsRenamed({"bx": "x", "by_": "y"})
+    index = target_cells(target, by, cap, 1, "nn", ("x", "y"), levels)  # every pass searches the same cells
     for _ in range(iters):
         moved = s.join(pose, by).select(
             *by, "pid", (F.cos("yaw") * F.col("x") - F.sin("yaw") * F.col("y") + F.col("tx")).alias("x"), (F.sin("yaw") * F.col("x") + F.cos("yaw") * F.col("y") + F.col("ty")).alias("y"))
         moved = materialise(moved, "icp-moved")
-        nn = k_nearest_any(moved, d.withColumnsRenamed({"bx": "x", "by_": "y"}), by, cap, 1, "pid", "nn", ("x", "y"), levels).drop("rank")
+        nn = k_nearest_any(moved, target, by, cap, 1, "pid", "nn", ("x", "y"), levels, index=index).drop("rank")
         gate = quantiles(nn, by, "dist", {"_g": keep}).drop("n")
         near = nn.join(gate, by).filter(F.col("dist") <= F.greatest(F.col("_g"), F.lit(floor)))
         pairs = near.join(moved, [*by, "pid"]).join(d, [*by, "nn"])
