@@ -100,3 +100,16 @@ def test_sight_edge_bleed(spark):
     want = {b: (60, sum(bled(b, np.array(v[1:4]), v[4], v[5]) for k, *v in pts if k == b)) for b in range(1, 6)}
     assert got == want and sum(n for _, n in want.values()) > 3
     assert boxes.sight_edge_bleed(points.filter(F.lit(False)), edges, ["g"], 0.1).count() == 0
+
+
+def test_edges_out_of_a_boxs_reach_are_left_and_the_rest_met_in_the_join(spark):
+    rng = np.random.default_rng(8)
+    cols = "g int, id int, camera string, ax double, ay double, az double, bx double, by_ double, bz double, kx double, ky double, kz double, top double"
+    near = [(0, b, "c", *rng.uniform(-0.5, 0.5, 6).tolist(), 3.0, 3.0, 2.0, 0.5) for b in range(3) for _ in range(4)]
+    far = [(0, b, "c", *(rng.uniform(-0.5, 0.5, 6) + 40).tolist(), 3.0, 3.0, 2.0, 0.5) for b in range(3) for _ in range(200)]
+    points = spark.createDataFrame([(0, b, "c", i, *rng.uniform(-0.6, 0.6, 2).tolist(), float("nan") if i == 0 else float(rng.uniform(0, 0.3)), 0.1, 0.1) for b in range(3) for i in range(80)],
+                                   "g int, id int, camera string, pid int, x double, y double, z double, h double, h_self double")
+    got = [boxes.sight_edge_bleed(points, spark.createDataFrame(e, cols), ["g"], 0.1) for e in (near, near + far + near)]
+    assert "LeftSemi" in got[1]._jdf.queryExecution().toString() and "collect_list" not in got[1]._jdf.queryExecution().toString()
+    a, b = (sorted((r["id"], r["n"], r["bled"]) for r in g.collect()) for g in got)
+    assert a == b and all(n == 80 for _, n, _ in a) and 0 < sum(k for *_, k in a) < 240
