@@ -136,3 +136,19 @@ def test_plane_screen_among_copies(spark, monkeypatch):
     got = sorted(r["plane_id"] for r in planes.plane_screen(df, ["g"], 0.05, None, 2.0, 0.0005).collect())
     assert got == [p[1] for p in rows if not any(weaker(p, q) for q in rows)] and 0 < len(got) < len(rows)
     assert met == [len({(p[0], *p[2:6]) for p in rows if p[6] is not None and p[5] == p[5]})] and met[0] <= 60
+
+
+def test_query_peels_every_level(spark, monkeypatch):
+    from voxelloom.operators import recovery
+    from voxelloom.plans import catalog, load_catalog
+
+    asked = {}
+    whole = recovery.peel_unclaimed
+
+    def spy(points, claimed, by, *args, **kw):
+        asked.update(kw)
+        return whole(points.limit(0), None, by, *args, **kw)
+
+    monkeypatch.setattr(recovery, "peel_unclaimed", spy)
+    load_catalog().QUERIES["peel_unclaimed"](catalog.Tables(spark, "/root/testdata/sf0.001"))
+    assert asked.get("max_levels") is None and asked["min_points"] == 20
