@@ -152,3 +152,29 @@ def test_query_peels_every_level(spark, monkeypatch):
     monkeypatch.setattr(recovery, "peel_unclaimed", spy)
     load_catalog().QUERIES["peel_unclaimed"](catalog.Tables(spark, "/root/testdata/sf0.001"))
     assert asked.get("max_levels") is None and asked["min_points"] == 20
+
+
+def test_boxes_that_differ_meet_as_blocks(spark, monkeypatch):
+    """200 differing boxes on one place: pairs of blocks are rows, pairs of boxes (40,000) are not; turned boxes, too."""
+    rows = [("a", k, 0.001 * (k % 9), 0.0, 0.3 + k / 1000, 0.2 + k % 11 / 100, 0.1 * (k % 4) if k > 100 else 0.0, 0.1 + k % 5 / 10) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, id long, cu double, cv double, length double, width double, yaw double, top double")
+    other = df.select("g", *[F.col(c).alias("o_" + c) for c in df.columns[1:]])
+    want = {r["id"]: r for r in df.join(other, "g").filter("id <> o_id").withColumn("_gap", boxes.rect_gap()).withColumn("_in", boxes.rect_distance(F.col("cu"), F.col("cv"), "o_") <= 0).groupBy("id").agg(
+        F.min("_gap").alias("gap"), F.array_sort(F.collect_list(F.when((F.col("_gap") < 0.005) & (F.col("o_top") - F.col("top") > 0.02), F.col("o_id")))).alias("by"),
+        F.max(F.when(F.col("_in") & (F.col("o_top") - F.col("top") < -0.02), F.struct("o_top", "o_id"))).alias("s")).collect()}
+    met, plain = [], boxes.near_pairs
+    monkeypatch.setattr(boxes, "near_pairs", lambda *a, **k: (lambda out: (met.append(out.count()), out)[1])(plain(*a, **k)))
+    near = {r["id"]: r for r in boxes.nearest_gap(df, ["g"], 0.05, 0.5).collect()}
+    got = {r["id"]: r for r in boxes.box_relations(df, ["g"], 0.5).collect()}
+    for i, w in want.items():
+        assert abs(near[i]["gap"] - w["gap"]) < 1e-12 and abs(got[i]["gap"] - w["gap"]) < 1e-12
+        assert got[i]["blocked_by"] == w["by"] and got[i]["blockers"] == len(w["by"]) and got[i]["supported_by"] == (w["s"]["o_id"] if w["s"] else None)
+    assert max(met) <= 40
+
+
+def test_query_lists_what_blocks(spark):
+    from voxelloom.plans import catalog, load_catalog
+
+    got = load_catalog().QUERIES["box_relations"](catalog.Tables(spark, "/root/testdata/sf0.01")).collect()
+    assert all(len(r["blocked_by"].split()) == r["blockers"] for r in got) and any(r["blockers"] for r in got)
+    assert all((r["supported_by"] is not None) == r["height_inferred"] for r in got) and all(r["gap"] is not None for r in got)
