@@ -494,3 +494,31 @@ def test_relative_rotation_error(spark):
     df = spark.createDataFrame(rows, "run int, camera string, R_est array<double>, R_cal array<double>")
     got = {r["run"]: (r["cameras"], r["rotation_error_deg"]) for r in camera_bias.relative_rotation_error(df, ["run"]).collect()}
     assert all(got[k][0] == k + 1 and abs(got[k][1] - want[k]) < 1e-5 for k in want)
+
+
+def test_scale_search_estimates_normals_and_marks_the_best(spark):
+    """A curved sheet seen by two cameras, depth too short by a tenth: normals from 30 neighbours, the reference's own range, the best scale."""
+    from voxelloom.operators import align
+
+    rng = np.random.default_rng(5)
+    u, v = rng.uniform(-0.5, 0.5, 600), rng.uniform(-0.5, 0.5, 600)
+    p = np.column_stack([u, v, 2 + 0.3 * np.sin(3 * u) * np.cos(2 * v)])
+    true, c = 1.1, np.array([0.6, -0.2, 0.0])
+    ref, side = p / true, c + (p[::2] - c) / true
+    dst = spark.createDataFrame([(0, k, *map(float, a)) for k, a in enumerate(ref)], "g int, pid long, x double, y double, z double")
+    src = spark.createDataFrame([(0, "s", k, *map(float, a), *map(float, c)) for k, a in enumerate(side)], "g int, camera string, pid long, x double, y double, z double, cx double, cy double, cz double")
+    got = {r["k"]: r for r in align.depth_scale_search(src, dst, ["g"], [1.0, 1.1, 1.2], 0.2, normal_radius=0.12, min_points=50).collect()}
+    normal = []
+    for a in ref:
+        d = np.linalg.norm(ref - a, axis=1)
+        near = [i for i in np.argsort(d, kind="stable")[:30] if d[i] <= 0.12]
+        normal.append(np.linalg.eigh(np.cov(ref[near].T))[1][:, 0] if len(near) > 2 else [0, 0, 1])
+    scores = {}
+    for k in (1.0, 1.1, 1.2):
+        moved = (c + (side - c) * k) / k
+        d = np.linalg.norm(moved[:, None] - ref[None], axis=2)
+        at, ok = d.argmin(1), d.min(1) <= 0.2
+        gap = np.abs(((moved - ref[at]) * np.asarray(normal)[at]).sum(1))[ok]
+        scores[k] = np.median(gap) / np.median(np.linalg.norm(ref, axis=1))
+        assert got[k]["n"] == ok.sum() and abs(got[k]["relative"] - scores[k]) < 1e-9 and abs(got[k]["range_median"] - k * np.median(np.linalg.norm(ref, axis=1))) < 1e-9
+    assert [k for k, r in got.items() if r["best"]] == [min(scores, key=scores.get)] == [1.1]

@@ -230,18 +230,31 @@ def consensus_scale_vote(points: DataFrame, by: list[str], h: str, alphas: list[
     return scored.withColumn("score", F.col("votes") + F.col("parcel_points") - F.col("void_points") - F.col("sky_points")).drop("b")
 
 
-def depth_scale_search(src: DataFrame, dst: DataFrame, by: list[str], scales: list[float], cap: float, levels: int = 3, **kw) -> DataFrame:
-    """Relative point-to-plane disagreement at each scale about the camera origin; ``dst`` carries normals. Best scale per group."""
-    from voxelloom.operators.joins import point_to_plane
+def depth_scale_search(src: DataFrame, dst: DataFrame, by: list[str], scales: list[float], cap: float, levels: int = 3, normal_radius: float = 0.05, min_points: int = 100, **kw) -> DataFrame:
+    """Relative point-to-plane disagreement at each scale: by..., k, n, p2plane_median, range_median, relative, best.
+
+    At scale k each cloud is scaled about its own camera: the reference ``dst`` about the origin, ``src`` about its
+    ``camera``'s centre cx cy cz. A side camera's score is the median distance of its points to the plane of their nearest reference
+    point within ``cap`` k over the median range of the reference cloud, a scale's the mean of the sides' with
+    ``min_points`` pairs; ``p2plane_median`` is the mean of the sides', ``n`` their pairs. Normals that ``dst`` does not carry are
+    estimated (``joins.estimate_normals``). ``best`` marks the scale of least disagreement of a group, the smaller of equals.
+    """
+    from voxelloom.operators.joins import estimate_normals, point_to_plane
 
-    s = src.withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in scales]))).select(*by, "k", "pid", *[(F.col(c) * F.col("k")).alias(c) for c in "xyz"])
+    dst = dst if "nx" in dst.columns else materialise(estimate_normals(dst, by, normal_radius, levels=levels), "scale-normals")
+    # clouds are met in units of k: the target is the same at every scale, and the rows of all scales meet it in one search
+    s = src.withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in scales]))).select(
+        *by, "k", "camera", "pid", *[(F.col(c) - F.col("c" + c) + F.col("c" + c) / F.col("k")).alias(c) for c in "xyz"])
     s = materialise(s, "scaled")
-    # the target is the same at every scale: the rows of all scales meet it in one search
-    found = k_nearest(s.withColumn("_sid", F.struct("k", "pid")), dst, by, cap, 1, "_sid", "pid", levels=levels)
-    nn = found.select(*by, "_sid.k", "_sid.pid", "nn")
+    found = k_nearest(s.withColumn("_sid", F.struct("k", "camera", "pid")), dst, by, cap, 1, "_sid", "pid", levels=levels)
+    nn = found.select(*by, "_sid.k", "_sid.camera", "_sid.pid", "nn")
     ref = dst.select(*by, F.col("pid").alias("nn"), *[F.col(c).alias("r" + c) for c in "xyz"], "nx", "ny", "nz")
-    pairs = materialise(s.join(nn, [*by, "k", "pid"]).join(ref, [*by, "nn"]), "p2plane")
-    return point_to_plane(pairs, [*by, "k"], **kw)
+    pairs = materialise(s.join(nn, [*by, "k", "camera", "pid"]).join(ref, [*by, "nn"]), "p2plane")
+    side = point_to_plane(pairs, [*by, "k", "camera"], dst, by, min_points, **kw)
+    score = materialise(side.groupBy(*by, "k").agg(
+        F.sum("n").alias("n"), (F.col("k") * F.avg("p2plane_median")).alias("p2plane_median"), (F.col("k") * F.first("range_median")).alias("range_median"), F.avg("relative").alias("relative")), "scale-scores")
+    least = score.groupBy(*by).agg(F.min(F.struct("relative", "k")).alias("_b")).select(*by, F.col("_b.k").alias("_best"))
+    return score.join(least, by).withColumn("best", F.col("k") == F.col("_best")).drop("_best")
 
 
 def photometric_yaw(points: DataFrame, cameras: DataFrame, pixels: DataFrame, by: list[str], yaws: list[float], pid: str = "pid") -> DataFrame:

@@ -272,15 +272,32 @@ def descriptor_match(src: DataFrame, dst: DataFrame, by: list[str], ratio: float
     return two.filter(F.col("d1") < ratio * F.col("d2")).withColumnRenamed("_s", kid)
 
 
-def point_to_plane(nn: DataFrame, by: list[str], **kw) -> DataFrame:
-    """Nearest-neighbour residual along the reference normal, over the median range.
+def estimate_normals(points: DataFrame, by: list[str], radius: float, most: int = 30, pid: str = "pid", levels: int = 3) -> DataFrame:
+    """``points`` with nx ny nz (nz >= 0): the axis of least spread of up to ``most`` nearest points within ``radius``, itself included.
 
-    ``nn`` carries ``x y z``, the neighbour ``rx ry rz`` and its normal ``nx ny nz``.
+    With fewer than three of them the normal is (0, 0, 1).
+    """
+    from voxelloom.operators.planes import plane_fit
+    from voxelloom.operators.spatial import k_nearest
+
+    p = materialise(points, "normal-points")
+    near = k_nearest(p, p, by, radius, most, pid, pid, levels=levels)
+    around = near.select(*by, pid, "nn").join(p.select(*by, F.col(pid).alias("nn"), "x", "y", "z"), [*by, "nn"])
+    fit = plane_fit(around, [*by, pid]).select(*by, pid, "nx", "ny", "nz")
+    up = {"nx": F.coalesce("nx", F.lit(0.0)), "ny": F.coalesce("ny", F.lit(0.0)), "nz": F.coalesce("nz", F.lit(1.0))}
+    return p.join(fit, [*by, pid], "left").withColumns(up)
+
+
+def point_to_plane(nn: DataFrame, by: list[str], reference: DataFrame, on: list[str], min_points: int = 1, **kw) -> DataFrame:
+    """Nearest-neighbour residual along the reference normal, over the median range of the reference cloud.
+
+    ``nn`` carries ``x y z``, the neighbour ``rx ry rz`` and its normal ``nx ny nz``; ``reference`` (``on`` x y z, ``on`` among
+    ``by``) is the whole reference cloud. Groups of fewer than ``min_points`` pairs give nothing.
     """
     r = nn.withColumn("_r", F.abs((F.col("x") - F.col("rx")) * F.col("nx") + (F.col("y") - F.col("ry")) * F.col("ny") + (F.col("z") - F.col("rz")) * F.col("nz")))
-    med = quantiles(r, by, "_r", {"p2plane_median": 0.5}, **kw)
-    rng = median(r.withColumn("_g", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)), by, "_g", "range_median", **kw).drop("n")
-    return med.join(rng, by).withColumn("relative", F.col("p2plane_median") / F.col("range_median"))
+    med = quantiles(r, by, "_r", {"p2plane_median": 0.5}, **kw).filter(F.col("n") >= min_points)
+    rng = median(reference, on, F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), "range_median", **kw).drop("n")
+    return med.join(rng, on).withColumn("relative", F.col("p2plane_median") / F.col("range_median"))
 
 
 def match_planes_to_truth(planes: DataFrame, truth: DataFrame, by: list[str], tol: float, max_scale_dev: float, span_tol: float = 0.010, span_below: int = 3) -> DataFrame:

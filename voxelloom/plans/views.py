@@ -632,9 +632,10 @@ def consensus_scale_vote(t):
 
 @query("depth_scale_search")
 def depth_scale_search(t):
+    # every camera's cloud about the rig; cameras 5 to 9 stand beside the reference
     p = t.points3().withColumn("rig", F.lit(0)).withColumn("z", F.col("z") + 2)
-    dst = p.withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
-    return rounded(align.depth_scale_search(p.filter("camera > 4"), dst.filter("camera <= 4"), ["rig"], [0.95, 1.0, 1.05], 0.3, 2), 6, "p2plane_median", "range_median", "relative")
+    src = p.filter("camera > 4").withColumns({"cx": 0.05 * F.col("camera"), "cy": 0.02 * F.col("camera"), "cz": F.lit(0.0)})
+    return rounded(align.depth_scale_search(src, p.filter("camera <= 4"), ["rig"], [0.95, 1.0, 1.05], 0.3, 2, normal_radius=0.1, min_points=5), 6, "p2plane_median", "range_median", "relative")
 
 
 @query("photometric_yaw")
