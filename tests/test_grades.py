@@ -69,3 +69,23 @@ def test_grade_row_equals_numpy(spark):
     assert close("cond", s[1] / s[0])
     thin, none = rows["r2"], rows["r3"]
     assert thin["n_points"] == 30 and thin["err_median_mm"] is None and thin["accuracy_mm"] is None and none["n_points"] is None and none["subset"] == "b"
+
+
+def test_every_point_has_its_own_neighbour(spark):
+    """Line items share their ids here: chamfer medians of the query against all pairs, for the last run."""
+    import duckdb
+    import numpy as np
+
+    from voxelloom.plans import catalog, load_catalog
+
+    folder = "/root/testdata/sf0.01"
+    got = {r["run"]: r for r in load_catalog().QUERIES["grade_table"](catalog.Tables(spark, folder)).collect()}
+    run = max(r for r in got if got[r]["accuracy_mm"] is not None)
+    c = duckdb.connect().execute(f"""SELECT l_linenumber < 5 AS own, l_quantity - 25.5 AS u, round(l_discount * 100) - 5 AS v, l_extendedprice / 1000 AS h FROM '{folder}/lineitem.parquet'
+        WHERE year(l_shipdate) = {run} AND abs(l_quantity - 25.5) <= 22.05 AND abs(round(l_discount * 100) - 5) <= 4.05""").fetchnumpy()
+    p = np.column_stack([c["u"], c["v"], c["h"]])
+    a, b = p[c["own"]], p[~c["own"]]
+    near = lambda x, y: np.concatenate([np.sqrt(((q[:, None] - y[None]) ** 2).sum(2).min(1)) for q in np.array_split(x, 20)])
+    there, back = near(a, b), near(b, a)
+    assert abs(got[run]["accuracy_mm"] - np.median(there)) < 1e-6 and abs(got[run]["completeness_mm"] - np.median(back)) < 1e-6
+    assert abs(got[run]["complete_at_10mm"] - (back < 1.0).mean()) < 2e-6
