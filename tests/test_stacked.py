@@ -178,3 +178,27 @@ def test_query_lists_what_blocks(spark):
     got = load_catalog().QUERIES["box_relations"](catalog.Tables(spark, "/root/testdata/sf0.01")).collect()
     assert all(len(r["blocked_by"].split()) == r["blockers"] for r in got) and any(r["blockers"] for r in got)
     assert all((r["supported_by"] is not None) == r["height_inferred"] for r in got) and all(r["gap"] is not None for r in got)
+
+
+def test_overlaps_of_boxes_that_differ_are_not_rows(spark, monkeypatch):
+    """150 differing boxes on one place: the greedy walk and the most overlapped planar box, without rows of pairs."""
+    rows = [("a", k, 0.001 * (k % 9), 0.0, 0.3 + k / 500, 0.2 + k % 11 / 100, 0.0, 0.1 + k % 5 / 10, float(k * 37 % 151)) for k in range(150)]
+    df = spark.createDataFrame(rows, "g string, id long, cu double, cv double, length double, width double, yaw double, top double, s double")
+    met, plain = [], boxes.near_pairs
+    monkeypatch.setattr(boxes, "near_pairs", lambda *a, **k: (lambda out: (met.append(out.count()), out)[1])(plain(*a, **k)))
+    got = {r["id"]: (r["kept"], r["lost_to"]) for r in boxes.suppress_overlaps(df, ["g"], 0.5, 0.6, 0.15, F.col("s")).collect()}
+    kept = []
+    for a in sorted(rows, key=lambda r: (-r[8], r[1])):
+        over = [b for b in kept if abs(a[7] - b[7]) < 0.15 and _iou(a, b) > 0.6]
+        assert got[a[1]] == (not over, over[0][1] if over else None), a[1]
+        kept += [] if over else [a]
+    both = {(r["id"], r["origin"]) for r in boxes.resolve_two_passes(df.filter("id % 3 > 0"), df.filter("id % 3 = 0"), ["g"], 0.5, 0.6, 0.15, 1.2).collect()}
+    soft, planar, want = [r for r in rows if r[1] % 3 == 0], [r for r in rows if r[1] % 3], set()
+    gone = set()
+    for a in soft:
+        near = [(_iou(a, b), -b[1], b) for b in planar if abs(a[7] - b[7]) < 0.15 and _iou(a, b) > 0.6]
+        top = max(near)[2] if near else None
+        wins = top is not None and a[4] * a[5] / (top[4] * top[5]) >= 1.2
+        want |= {(a[1], "recovery")} if wins or top is None else set()
+        gone |= {top[1]} if wins else set()
+    assert both == want | {(b[1], "planar") for b in planar if b[1] not in gone} and max(met) <= 60
