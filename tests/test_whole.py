@@ -117,3 +117,16 @@ def test_radius_support_in_shared_cells_and_beyond(spark):
     got = {r["pid"]: r["supported"] for r in spatial.radius_support(df, [], 0.1).collect()}
     near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) <= 0.1
     assert got == {900: False} | {i: any(near[i, j] and cam[j] is not None and cam[j] != c for j in range(len(p))) if c is not None else False for i, c in enumerate(cam)}
+
+
+def test_pixels_of_few_groups_stay_where_they_are(spark):
+    """A pass of the depth field broadcasts fits and planes; pixels are neither shuffled nor given lists."""
+    from voxelloom.operators import depth_field
+
+    pixels = spark.range(1000).selectExpr("id % 2 AS g", "2.0 + id % 7 / 10 AS z", "id % 11 / 50 AS rx", "id % 5 / 50 AS ry")
+    planes = spark.createDataFrame([(g, n, 0.0, 0.0, 1.0, z) for g in (0, 1) for n, z in (("deck", 2.0), ("top", 2.3))], "g long, plane string, nx double, ny double, nz double, off double")
+    fit = spark.createDataFrame([(g, 1.0, 0.0, 0.0, 0.0) for g in (0, 1)], "g long, s double, a double, b double, c double")
+    got = depth_field._assigned(pixels, fit, planes, ["g"], 0.15)
+    plan = got._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "broadcast" in plan
+    assert got.count() == sum(abs(2.0 + i % 7 / 10 - z) <= 0.15 for i in range(1000) for z in (2.0, 2.3))

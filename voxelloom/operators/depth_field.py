@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelloom.session import materialise
+from voxelloom.session import few, materialise
 
 THETA = "sabc"
 _SOLVED = T.StructType([T.StructField(k, T.DoubleType()) for k in THETA])
@@ -65,16 +65,11 @@ def _solver(fix_scale: bool, ridge_s: float, ridge_c: float):
 
 def _assigned(pixels: DataFrame, fit: DataFrame, planes: DataFrame, by: list[str], window: float) -> DataFrame:
     """by..., plane, dz, q, xq, yq, r, off: each pixel with every plane within ``window`` of its corrected depth."""
-    arr = planes.groupBy(*by).agg(F.collect_list(F.struct("plane", "nx", "ny", "nz", "off")).alias("_pl"))  # a handful per group
-    now = pixels.join(fit.select(*by, *THETA), by).join(arr, by).withColumn("_dc", F.col("z") * (F.col("s") + F.col("a") * F.col("rx") + F.col("b") * F.col("ry")) + F.col("c"))
-
-    def seen(p: Column) -> Column:
-        r = p["nx"] * F.col("rx") + p["ny"] * F.col("ry") + p["nz"]
-        return F.struct(p["plane"].alias("plane"), r.alias("r"), p["off"].alias("off"), F.when(F.abs(r) > 1e-9, p["off"] / r).alias("zt"))
-
-    near = F.filter(F.transform("_pl", seen), lambda p: (p["zt"] > 0) & (F.abs(F.col("_dc") - p["zt"]) <= window))
-    q = F.col("z") * F.col("_p.r")
-    return now.withColumn("_p", F.explode(near)).select(*by, "_p.plane", (F.col("_dc") - F.col("_p.zt")).alias("dz"), q.alias("q"), (F.col("rx") * q).alias("xq"), (F.col("ry") * q).alias("yq"), F.col("_p.r").alias("r"), F.col("_p.off").alias("off"))
+    # a handful of planes for each group; pixels of a few groups stay where they are, and no list is walked for a pixel
+    known = few(materialise(fit.select(*by, *THETA).join(planes.select(*by, "plane", "nx", "ny", "nz", "off"), by), "field-known"))
+    now = pixels.join(known, by).withColumns({"_dc": F.col("z") * (F.col("s") + F.col("a") * F.col("rx") + F.col("b") * F.col("ry")) + F.col("c"), "r": F.col("nx") * F.col("rx") + F.col("ny") * F.col("ry") + F.col("nz")})
+    now = now.withColumn("_zt", F.when(F.abs("r") > 1e-9, F.col("off") / F.col("r"))).filter((F.col("_zt") > 0) & (F.abs(F.col("_dc") - F.col("_zt")) <= window)).withColumn("q", F.col("z") * F.col("r"))
+    return now.select(*by, "plane", (F.col("_dc") - F.col("_zt")).alias("dz"), "q", (F.col("rx") * F.col("q")).alias("xq"), (F.col("ry") * F.col("q")).alias("yq"), "r", "off")
 
 
 def field_fit(
@@ -151,13 +146,13 @@ def field_fit_bootstrapped(
     boot = every.filter(F.col("plane") == bootstrap)
     rest = every.join(boot.select(*by).distinct(), by, "left_semi").filter(F.col("plane") != bootstrap)
     groups = materialise(rows.select(*by).distinct(), "field-groups")
-    known = materialise(groups.join(boot.select(*by).distinct(), by, "left_semi"), "field-known")
-    lone = groups.join(known, by, "left_anti")
+    known = few(materialise(groups.join(boot.select(*by).distinct(), by, "left_semi"), "field-known"))
+    lone = few(materialise(groups.join(known, by, "left_anti"), "field-lone"))
     one, log1 = field_fit(rows.join(known, by, "left_semi"), boot, by, windows(wide, final, passes), dof=3, **options)
     one = materialise(one, "field-one")
     held = field_residuals(rows, rest, one.filter("solved"), by, final, min_eval).groupBy(*by).agg(F.max("rms").alias("held_rms"))
     more = rest.select(*by).distinct()
-    second = one.filter("solved").join(more, by, "left_semi")
+    second = few(materialise(one.filter("solved").join(more, by, "left_semi"), "field-second"))
     two, log2 = field_fit(rows.join(second.select(*by), by, "left_semi"), every, by, windows(narrow, final, passes), start=second, **options)
     two = materialise(two, "field-two")
     worst = field_residuals(rows, every, two.filter("accepted > 0"), by, final, min_eval).groupBy(*by).agg(F.max("rms").alias("worst_rms"))
